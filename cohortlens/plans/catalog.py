@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 
-FAMILIES = ("clean", "derived",)
+FAMILIES = ("clean", "derived", "joined", "windowed", "checked", "disclosed")
 
 
 for _f in FAMILIES:

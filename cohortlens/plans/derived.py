@@ -82,15 +82,15 @@ def _(t: Tables):
 
 
 @query("f08_salary_equity", """
-    select l_suppkey unitid, round(avg(l_extendedprice) filter (l_returnflag = 'A'), 2) sal_men,
-      round(avg(l_extendedprice) filter (l_returnflag = 'R'), 2) sal_women,
+    select l_suppkey unitid, round(avg(l_extendedprice) filter (l_returnflag = 'A'), 6) sal_men,
+      round(avg(l_extendedprice) filter (l_returnflag = 'R'), 6) sal_women,
       round(avg(l_extendedprice) filter (l_returnflag = 'R') / avg(l_extendedprice) filter (l_returnflag = 'A'), 6) sal_w_to_m
     from lineitem where l_linenumber = 7 group by 1""")
 def _(t: Tables):
     sal = t.lineitem.groupBy(F.col("l_suppkey").alias("unitid"), F.col("l_linenumber").alias("arank")).agg(
         F.avg(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice"))).alias("saeq9am"),
         F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("saeq9aw"))
-    return rounded(rounded(fe.salary_equity(sal), ["sal_w_to_m"]), ["sal_men", "sal_women"], 2)
+    return rounded(rounded(fe.salary_equity(sal), ["sal_w_to_m"]), ["sal_men", "sal_women"], 6)
 
 
 @query("f09_institution_features", """
@@ -381,9 +381,9 @@ def _(t: Tables):
 
 
 @query("f28_missing_boards", """
-    select r_name board from region where r_name not in (select board from board_year where funding > 0)""", "board_year")
+    select board, year from board_year where not completers > 800""", "board_year")
 def _(t: Tables):
-    return fe.missing_members(t.board_year.filter("funding > 0"), t.region.select(F.col("r_name").alias("board")), ["board"])
+    return fe.missing_members(t.board_year.filter("completers > 800"), t.board_year.select("board", "year"), ["board", "year"])
 
 
 @query("f29_measure_grid", """
