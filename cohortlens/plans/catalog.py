@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 
-FAMILIES = ("clean", "derived", "joined", "windowed", "checked", "disclosed")
+FAMILIES = ("clean", "derived", "joined", "windowed", "checked", "disclosed", "aggregated", "inferred")
 
 
 for _f in FAMILIES:

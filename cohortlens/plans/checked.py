@@ -134,13 +134,13 @@ def _(t: Tables):
 
 @query("q12_sign_repair", """
     , c as (select board, year, completers * 100.0 v, case board when 'ASIA' then 1 when 'AFRICA' then 2 when 'EUROPE' then 3 when 'AMERICA' then 4 else 5 end o from board_year),
-    wrong as (select year, board, o, case when board = 'ASIA' and year % 2 = 0 then -v else v end v from c),
+    wrong as (select year, board, o, case when board = 'ASIA' and year >= 1998 then -v else v end v from c),
     tot as (select year, sum(v) total from c group by 1), gap as (select year, total - sum(v) g from wrong join tot using (year) group by year, total)
     select year, board, case when abs(g) > 5 and board = 'ASIA' then -v else v end v, abs(g) > 5 and board = 'ASIA' repaired, true ties from wrong join gap using (year)""", "board_year")
 def _(t: Tables):
     dim = t.spark.createDataFrame([("ASIA", 1), ("AFRICA", 2), ("EUROPE", 3), ("AMERICA", 4)], "board string, o int")
     c = t.board_year.join(dim, "board", "left").select("year", "board", F.coalesce("o", F.lit(5)).alias("o"), (F.col("completers") * 100.0).alias("v"))
-    wrong = c.withColumn("v", F.when((F.col("board") == "ASIA") & (F.col("year") % 2 == 0), -F.col("v")).otherwise(F.col("v")))
+    wrong = c.withColumn("v", F.when((F.col("board") == "ASIA") & (F.col("year") >= 1998), -F.col("v")).otherwise(F.col("v")))
     tot = c.groupBy("year").agg(F.sum("v").alias("total"))
     return q.sign_repair(wrong, tot, ["year"], "board", "o", "v", "total")
 
@@ -155,22 +155,26 @@ def _(t: Tables):
 
 
 @query("q13_conflicting_values", """
-    select l_orderkey, min(l_suppkey) low, max(l_suppkey) high from lineitem group by 1, l_linenumber having min(l_suppkey) <> max(l_suppkey)""")
+    select l_orderkey, l_linenumber, min(l_suppkey) low, max(l_suppkey) high from lineitem group by 1, 2 having min(l_suppkey) <> max(l_suppkey)""")
 def _(t: Tables):
-    return q.disagreements(t.lineitem, ["l_orderkey", "l_linenumber"], "l_suppkey").drop("l_linenumber")
+    return q.disagreements(t.lineitem, ["l_orderkey", "l_linenumber"], "l_suppkey")
 
 
 @query("q14_published_rate_gap", """
-    , p as (select abs(completers / cohort_size * 100 - floor(completers / cohort_size * 100 + case when unitid % 9 = 0 then 2 else 0 end)) g from sup_panel)
+    , p as (select abs(completers / cohort_size * 100 - floor(completers / cohort_size * 100 + case when control < 5 then 2 else 0 end)) g from sup_panel)
     select count(g) n, round(max(g), 6) max_gap, count_if(g > 1) n_outside from p""", "sup_panel")
 def _(t: Tables):
     pct = nulls.ratio("completers", "cohort_size") * 100
-    p = t.sup_panel.withColumn("published", F.floor(pct + F.when(F.col("unitid") % 9 == 0, 2).otherwise(0)))
+    p = t.sup_panel.withColumn("published", F.floor(pct + F.when(F.col("control") < 5, 2).otherwise(0)))
     return rounded(q.published_rate_gap(p, "completers", "cohort_size", "published"), ["max_gap"])
 
 
 @query("k04_validation_report", """
-    select 2 n_rules, 1 n_failed""")
+    with r as (select 'error' severity, (select count(*) from (select o_orderkey from orders group by 1 having count(*) > 1)) bad
+      union all select 'error', (select count_if(o_totalprice < 1000) from orders) union all select 'warn', (select count_if(o_totalprice > 300000) from orders))
+    select severity, count(*) n_rules, count_if(bad > 0) n_failed, cast(sum(bad) as bigint) n_offending from r group by 1""")
 def _(t: Tables):
-    res = q.validate(t.orders, [q.unique_key("o_orderkey"), q.in_range("o_totalprice", 1000)], id_col="o_orderkey")
-    return res.agg(F.count("*").alias("n_rules"), F.count_if(F.col("status") == "fail").alias("n_failed"))
+    res = q.validate(t.orders, [q.unique_key("o_orderkey"), q.in_range("o_totalprice", 1000), q.in_range("o_totalprice", None, 300000, severity="warn")],
+                     id_col="o_orderkey")
+    return res.groupBy("severity").agg(F.count("*").alias("n_rules"), F.count_if(F.col("status") == "fail").alias("n_failed"),
+                                       F.sum("n_offending").alias("n_offending"))
