@@ -13,23 +13,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import specfun
 from ..functions.nulls import ratio
 from . import ordering
+from .lineage import cut
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_p(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), np.nan, specfun.norm_two_sided(z.fillna(0)))).replace({np.nan: None}).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(specfun.f_sf(f.to_numpy(), d1.to_numpy(), d2.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(specfun.chi2_sf(x.to_numpy(), df.to_numpy()))
 
@@ -80,7 +82,7 @@ def _moments(df: DataFrame, label: str, value: str) -> DataFrame:
 
 def levene(df: DataFrame, label: str, value: str) -> DataFrame:
     """Brown-Forsythe test: one-way ANOVA on absolute deviations from the group median."""
-    med = ordering.medians(df, [label], value, "_med").withColumnRenamed(label, "_l")
+    med = cut(ordering.medians(df, [label], value, "_med")).withColumnRenamed(label, "_l")
     dev = df.join(med, F.col(label) == F.col("_l")).select(label, F.abs(F.col(value) - F.col("_med")).alias("d"))
     g = _moments(dev, label, "d")
     t = g.agg(F.sum("n").alias("N"), F.count("*").cast("double").alias("k"), ratio(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("gm"),

@@ -15,9 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import specfun
 from ..functions.nulls import ratio
+from .lineage import cut
 from .resample import bootstrap_rows
 
 
@@ -117,7 +119,7 @@ def residual_shape(scored: DataFrame, residual: str = "residual") -> DataFrame:
 
 # --- count regression ------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma_col(x: pd.Series) -> pd.Series:
     return pd.Series(specfun.lgamma(x.to_numpy()))
 
@@ -192,11 +194,8 @@ def fit_negative_binomial(d: DataFrame, rounds: int = 12) -> dict:
 
 def count_models(df: DataFrame, y: str, x: str) -> DataFrame:
     """Poisson and NB2 fits of a count on log size, side by side."""
-    d = count_rows(df, y, x).persist()
-    try:
-        rows = [("poisson", fit_poisson(d)), ("negative binomial", fit_negative_binomial(d))]
-    finally:
-        d.unpersist()
+    d = cut(count_rows(df, y, x))
+    rows = [("poisson", fit_poisson(d)), ("negative binomial", fit_negative_binomial(d))]
     data = [(m, r["n"], float(r["intercept"]), float(r["slope"]), r["alpha"], float(r["aic"]), r["dispersion"]) for m, r in rows]
     return df.sparkSession.createDataFrame(data, "model string, n long, intercept double, elasticity double, alpha double, aic double, dispersion double")
 
@@ -230,7 +229,7 @@ def event_study(df: DataFrame, group: str, entity: str, time: str, value: str, p
                 inv = np.linalg.pinv(m[:p, :p])
                 out.append((g, (inv @ m[:p, p]).tolist(), inv.ravel().tolist()))
             yield pd.DataFrame(out, columns=["_g", "beta", "inv"])
-    coef = gram.mapInPandas(solve, f"_g {gtype}, beta array<double>, inv array<double>")
+    coef = cut(gram.mapInPandas(solve, f"_g {gtype}, beta array<double>, inv array<double>"))
     r = w.join(coef, F.col(group) == F.col("_g"))
     fit = reduce(lambda a, e: a + e, [F.col(n) * F.get("beta", F.lit(i)) for i, n in enumerate(names)])
     resid = r.withColumn("_u", F.col("_y") - fit)
@@ -354,12 +353,13 @@ def loading_stability(z: DataFrame, entity: str, cols: list[str], k: int = 3, re
                     c = comps[i] * (np.sign(comps[i] @ ref[i]) or 1)
                     out.append((int(rep), i + 1, float(abs(c @ ref[i])), c.tolist()))
             yield pd.DataFrame(out, columns=["rep", "component", "congruence", "loadings"])
-    return sums.mapInPandas(decompose, "rep int, component int, congruence double, loadings array<double>")
+    return cut(sums).mapInPandas(decompose, "rep int, component int, congruence double, loadings array<double>")
 
 
 def loading_summary(stability: DataFrame, cols: list[str]) -> DataFrame:
     """Sd of every loading and the median and 5th percentile of the congruence, per component."""
     from . import ordering
+    stability = cut(stability)
     sd = stability.groupBy("component").agg(*[F.stddev_pop(F.get("loadings", F.lit(i))).alias(f"sd_{c}") for i, c in enumerate(cols)])
     q = ordering.quantiles(stability, ["component"], "congruence", {"congruence_median": 0.5, "congruence_p5": 0.05})
     return sd.join(q, "component")

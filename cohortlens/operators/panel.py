@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import false_if_null
 from . import ordering
 from .guards import assert_unique, require
+from .lineage import cut
 
 KEYS = ["unitid", "survey_year"]
 
@@ -171,13 +172,13 @@ def robust_z(df: DataFrame, groups: list[str], cols: dict[str, int], min_mad: fl
     """Within-group (x - median) / (1.4826 MAD), oriented by +1/-1/0 (0 keeps the sign) and capped.
 
     Returns columns z_<col>; NULL for a group whose MAD is at or below ``min_mad``. All columns go
-    through one long quantile pass for the medians and one for the MADs.
+    through one long quantile pass for the medians and one for the MADs; each leaves a small table.
     """
     names = list(cols)
-    med = _wide(ordering.multi_quantiles(df, groups, names, {"q": 0.5}), groups, names, "q", "_med_")
+    med = cut(_wide(ordering.multi_quantiles(df, groups, names, {"q": 0.5}), groups, names, "q", "_med_"))
     j = _attach(df, med, groups)
     dev = j.select(*groups, *[F.abs(F.col(c) - F.col(f"_med_{c}")).alias(c) for c in names])
-    mad = _wide(ordering.multi_quantiles(dev, groups, names, {"q": 0.5}), groups, names, "q", "_mad_")
+    mad = cut(_wide(ordering.multi_quantiles(dev, groups, names, {"q": 0.5}), groups, names, "q", "_mad_"))
     j = _attach(j, mad, groups)
     out = {}
     for c, sign in cols.items():

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from . import ordering
+from .lineage import cut
 
 
 def hash32(*parts: Column | str | int) -> Column:
@@ -30,7 +31,7 @@ def positions(df: DataFrame, group: str, entity: str, cols: list[str]) -> DataFr
     """Rows with a dense 0-based position inside their group, and the group size."""
     at = ordering.row_positions(df.select(group, entity), [group], [entity]).select(
         group, entity, (F.col("position") - 1).alias("pos"), F.col("n_total").alias("size"))
-    return at.join(df.select(group, entity, *cols), [group, entity])
+    return cut(at.join(df.select(group, entity, *cols), [group, entity]))
 
 
 def bootstrap_rows(df: DataFrame, group: str, entity: str, cols: list[str], reps: int, seed: int = 0) -> DataFrame:
@@ -46,7 +47,7 @@ def bootstrap_median_difference(df: DataFrame, group: str, entity: str, value: s
                                 level: float = 0.95, seed: int = 0) -> DataFrame:
     """Percentile interval of median(a) - median(b) under independent resampling."""
     rows = bootstrap_rows(df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()), group, entity, [value], reps, seed)
-    med = ordering.medians(rows, ["rep", group], value, "m")
+    med = cut(ordering.medians(rows, ["rep", group], value, "m"))
     diff = med.groupBy("rep").agg((F.max(F.when(F.col(group) == a, F.col("m"))) - F.max(F.when(F.col(group) == b, F.col("m")))).alias("d"))
     tail = (1 - level) / 2
     return ordering.quantiles(diff, [], "d", {"low": tail, "high": 1 - tail})
@@ -90,16 +91,16 @@ def weight_draws(df: DataFrame, entity: str, zs: list[str], draws: int, seed: in
 
 def rank_intervals(df: DataFrame, entity: str, composite: str, zs: list[str], draws: int, seed: int = 0) -> DataFrame:
     """Equal-weight rank and the 5th, 50th and 95th percentile of the rank across weight draws."""
-    ok = df.filter(F.col(composite).isNotNull())
+    ok = cut(df.filter(F.col(composite).isNotNull()).select(entity, composite, *zs))
     base = ordering.average_rank(ok.select(entity, composite), [], composite, "base_rank", descending=True)
     ranked = ordering.average_rank(weight_draws(ok, entity, zs, draws, seed), ["draw"], "score", "rank", descending=True)
-    q = ordering.quantiles(ranked, [entity], "rank", {"rank_p5": 0.05, "rank_median": 0.5, "rank_p95": 0.95})
+    q = ordering.quantiles(cut(ranked), [entity], "rank", {"rank_p5": 0.05, "rank_median": 0.5, "rank_p95": 0.95})
     return base.select(entity, "base_rank").join(q, entity).withColumn("width", F.col("rank_p95") - F.col("rank_p5"))
 
 
 def rank_correlations(df: DataFrame, entity: str, composite: str, zs: list[str], draws: int, seed: int = 0) -> DataFrame:
     """Spearman correlation of every draw's ranking with the equal-weight ranking: (draw, rho)."""
-    ok = df.filter(F.col(composite).isNotNull())
+    ok = cut(df.filter(F.col(composite).isNotNull()).select(entity, composite, *zs))
     base = ordering.average_rank(ok.select(entity, composite), [], composite, "base_rank", descending=True).select(entity, "base_rank")
     ranked = ordering.average_rank(weight_draws(ok, entity, zs, draws, seed), ["draw"], "score", "rank", descending=True)
     return ranked.join(base, entity).groupBy("draw").agg(F.corr("rank", "base_rank").alias("rho"))

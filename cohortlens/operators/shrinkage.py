@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import specfun
 from ..functions.nulls import ratio_pos
@@ -80,7 +81,7 @@ def fit_priors(df: DataFrame, group: str, k: str, n: str) -> DataFrame:
                                "prior_sd": F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(specfun.beta_ppf(p.to_numpy(), a.to_numpy(), b.to_numpy()))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import false_if_null, ratio
 from . import ordering
+from .lineage import cut
 
 
 def stored_totals(df: DataFrame, level: str, total_code: str, value: str, also: Column | None = None) -> DataFrame:
@@ -94,11 +95,11 @@ def complete_totals(df: DataFrame, entity: str, time: str, value: str) -> DataFr
 def robust_location(df: DataFrame, value: str, trim: float = 0.99) -> DataFrame:
     """Mean, sd, median, scaled MAD and IQR for all rows and for rows at or below the trim quantile."""
     d = df.filter(F.col(value).isNotNull())
-    cut = ordering.quantiles(d, [], value, {"cut": trim}).select("cut").scalar()
+    top = cut(ordering.quantiles(d, [], value, {"top": trim})).select("top").scalar()
     both = d.select(F.col(value).cast("double").alias("_v"), F.explode(F.when(
-        F.col(value) <= cut, F.array(F.lit("all"), F.lit("trimmed"))).otherwise(F.array(F.lit("all")))).alias("sample"))
+        F.col(value) <= top, F.array(F.lit("all"), F.lit("trimmed"))).otherwise(F.array(F.lit("all")))).alias("sample"))
     basic = both.groupBy("sample").agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    q = ordering.quantiles(both, ["sample"], "_v", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    q = cut(ordering.quantiles(both, ["sample"], "_v", {"median": 0.5, "q1": 0.25, "q3": 0.75}))
     dev = both.join(q.select("sample", "median"), "sample").select("sample", F.abs(F.col("_v") - F.col("median")).alias("_d"))
     mad = ordering.medians(dev, ["sample"], "_d", "mad")
     return (basic.join(q, "sample").join(mad, "sample")

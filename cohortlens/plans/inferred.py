@@ -12,6 +12,7 @@ from ..operators import panel as pn
 from ..operators import resample as rs
 from ..operators import shrinkage as sh
 from ..operators import summary as sm
+from ..operators.lineage import cut
 from .derived import rounded
 from .registry import query
 from .tables import Tables
@@ -84,7 +85,7 @@ _HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
 _BOOT = """
     , d as (select r_name g, unitid * 10000 + survey_year id, completers / cohort_size v from sup_panel join nation on control = n_nationkey
       join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')),
-    at as (select *, row_number() over (partition by g order by id) - 1 pos, count(*) over (partition by g) n from d)"""
+    pos_t as (select *, row_number() over (partition by g order by id) - 1 pos, count(*) over (partition by g) n from d)"""
 
 
 def _two_boards(t: Tables):
@@ -93,8 +94,8 @@ def _two_boards(t: Tables):
 
 
 @query("t05_bootstrap_interval", _BOOT + f"""
-    , draws as (select g, rep, {_HASH.format("'11|' || g || '|' || rep || '|' || pos")} % n idx from at, (select unnest(generate_series(0, 199)) rep)),
-    m as (select rep, draws.g, median(v) m from draws join at on draws.g = at.g and draws.idx = at.pos group by 1, 2),
+    , draws as (select g, rep, {_HASH.format("'11|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 199)) rep)),
+    m as (select rep, draws.g, median(v) m from draws join pos_t on draws.g = pos_t.g and draws.idx = pos_t.pos group by 1, 2),
     df as (select rep, max(m) filter (g = 'ASIA') - max(m) filter (g = 'EUROPE') d from m group by 1)
     select round(quantile_cont(d, 0.025), 6) low, round(quantile_cont(d, 0.975), 6) high from df""", "sup_panel")
 def _(t: Tables):
@@ -103,8 +104,8 @@ def _(t: Tables):
 
 
 @query("t06_permutation_test", _BOOT + f"""
-    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH.format("'12|' || rep || '|' || id")}, id) rk, g from at, (select unnest(generate_series(0, 199)) rep)),
-    k as (select count(*) filter (g = 'ASIA') na, count(*) n, sum(v) s, avg(v) filter (g = 'ASIA') - avg(v) filter (g = 'EUROPE') obs from at),
+    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 199)) rep)),
+    k as (select count(*) filter (g = 'ASIA') na, count(*) n, sum(v) s, avg(v) filter (g = 'ASIA') - avg(v) filter (g = 'EUROPE') obs from pos_t),
     x as (select rep, sum(v) x from sh, k where rk <= na group by 1)
     select round(any_value(obs), 6) observed, count_if(round(abs(x / na - (s - x) / (n - na)), 9) >= round(abs(obs), 9)) hits,
       round((count_if(round(abs(x / na - (s - x) / (n - na)), 9) >= round(abs(obs), 9)) + 1) / (count(*) + 1), 6) p from x, k""", "sup_panel")
@@ -280,7 +281,7 @@ def _indicators(t: Tables):
 
 
 def _composite(t: Tables):
-    z = pn.robust_z(_indicators(t), ["peer_group"], INDICATORS)
+    z = pn.robust_z(cut(_indicators(t)), ["peer_group"], INDICATORS)
     comp, n = inf.composite(z, [f"z_{c}" for c in SCORED], 3)
     return z.withColumns({"composite": comp, "n_indicators": n})
 
@@ -329,7 +330,7 @@ def focal_scorecard(t: Tables, focal: int):
     """Focal value, peer quartiles, percentile and oriented z for every indicator, with the composite."""
     from ..operators.peers import focal_row
     names = list(INDICATORS)
-    comp = _composite(t)
+    comp = cut(_composite(t))
     at = focal_row(comp, F.col("unitid") == focal, f"unitid {focal}")
     group = comp.filter(F.col("peer_group") == at["peer_group"])
     q = ordering.multi_quantiles(group, [], names, {"peer_median": 0.5, "peer_q1": 0.25, "peer_q3": 0.75}).withColumnRenamed("n", "n_reporting")
