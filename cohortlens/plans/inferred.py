@@ -343,7 +343,12 @@ def focal_scorecard(t: Tables, focal: int):
 
 @query("t09_shrinkage_by_band")
 def _(t: Tables):
-    truth = t.lineitem.groupBy(F.col("l_partkey").alias("unitid")).agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("truth"))
-    s = sh.shrink(t.cohort, sh.fit_priors(t.cohort, "brand", "k", "n"), "brand", "k", "n").join(truth, "unitid")
+    # priors and shrinkage from the cohorts up to 1998, scored against the later cohorts of the same parts
+    returned, early = F.col("l_returnflag") == "R", F.year("l_shipdate") <= 1998
+    c = t.lineitem.groupBy(F.col("l_partkey").alias("unitid")).agg(
+        F.count_if(early).alias("n"), F.count_if(early & returned).alias("k"),
+        F.avg(F.when(~early, returned.cast("double"))).alias("truth")).filter(F.col("truth").isNotNull())
+    c = cut(c.join(t.part.select(F.col("p_partkey").alias("unitid"), F.col("p_brand").alias("brand")), "unitid"))
+    s = sh.shrink(c, sh.fit_priors(c, "brand", "k", "n"), "brand", "k", "n")
     s = s.withColumn("size_band", labels.band(F.col("n"), [0, 25, 50, 100, 250, 1000, 10**12], ["<25", "25-49", "50-99", "100-249", "250-999", "1000+"]))
     return sm.banded_rmse(s, "size_band", "truth", {"raw": "raw_rate", "shrunk": "post_mean"})

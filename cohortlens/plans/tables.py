@@ -35,7 +35,8 @@ VIEWS = {
         select c_custkey unitid, c_nationkey, c_mktsegment, c_acctbal,
           cast(floor(c_acctbal / 1000) as integer) band from customer""",
     "metric_panel": """
-        select unitid, metric, survey_year as year, num, cohort_size den, r_name board, '' src
+        select unitid, metric, survey_year as year, num, cohort_size den, r_name board,
+          case when cohort_size > 100 then 'large' else '' end src
         from (
           select unitid, survey_year, control, cohort_size, 'retention' metric, completers num from sup_panel
           union all
@@ -143,7 +144,7 @@ class Tables:
     def metric_panel(self) -> DataFrame:
         wide = self.sup_panel.join(self.boards, "control").select(
             "unitid", F.col("survey_year").alias("year"), F.col("cohort_size").alias("den"), "board",
-            F.lit("").alias("src"), F.col("completers").alias("retention"), F.col("admits").alias("admit"),
+            F.when(F.col("cohort_size") > 100, "large").otherwise("").alias("src"), F.col("completers").alias("retention"), F.col("admits").alias("admit"),
             F.col("enrolled").alias("yield"))
         return wide.unpivot(["unitid", "year", "den", "board", "src"], ["retention", "admit", "yield"], "metric", "num")
 
