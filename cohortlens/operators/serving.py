@@ -108,7 +108,10 @@ def serving_records(df: DataFrame, key: str, year: str, series: list[str], attri
     at = df.groupBy(key).agg(*[F.any_value(a).alias(a) for a in attributes], *[
         F.map_from_entries(F.collect_list(F.struct(F.col(year), F.col(s)))).alias(f"_{s}") for s in series])
     out = at.withColumn("_years", years)
-    return out.select(key, *attributes, *[F.transform("_years", lambda y, s=s: F.col(f"_{s}")[y]).alias(s) for s in series])
+
+    def in_order(name: str) -> Column:
+        return F.transform("_years", lambda y: F.col(f"_{name}")[y])
+    return out.select(key, *attributes, *[in_order(s).alias(s) for s in series])
 
 
 def to_json_records(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 
-FAMILIES = ("clean", "derived", "joined", "windowed", "checked", "disclosed", "aggregated", "inferred", "funded", "modelled")
+FAMILIES = ("clean", "derived", "joined", "windowed", "checked", "disclosed", "aggregated", "inferred", "funded", "modelled", "served", "landed")
 
 
 for _f in FAMILIES:
