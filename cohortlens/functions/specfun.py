@@ -6,8 +6,6 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
 def lgamma(x):
@@ -52,7 +50,8 @@ def trigamma(x):
 
 
 def norm_two_sided(z):
-    return _erfc(np.abs(np.asarray(z, dtype=float)) / math.sqrt(2))
+    z = np.abs(np.asarray(z, dtype=float)) / math.sqrt(2)
+    return np.array([math.erfc(v) for v in z.ravel()]).reshape(z.shape)
 
 
 def _beta_fraction(a, b, x, steps=400):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import false_if_null, ratio
 from ..functions.text import fiscal_label
 from .guards import assert_empty
+from .lineage import cut
 
 # Weights of the eight metrics of the funding step.
 WEIGHTS = {
@@ -48,6 +49,17 @@ def formula_windows(spark: SparkSession, start: int, metrics: list[str], *, wind
     return spark.createDataFrame(rows, "metric string, position int, year int")
 
 
+def windows_by_start(starts: DataFrame, start: str, metrics: list[str], *, windows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Window rows of every formula year in a table: (start_year, metric, position, year)."""
+    spec = WINDOWS if windows is None else windows
+    rows = []
+    for m in metrics:
+        first, last = spec.get(m, DEFAULT_WINDOW)
+        rows += [F.struct(F.lit(m).alias("metric"), F.lit(i + 1).alias("position"), (F.col(start) - back).alias("year"))
+                 for i, back in enumerate(range(first, last - 1, -1))]
+    return starts.select(F.col(start).alias("start_year"), F.inline(F.array(*rows)))
+
+
 def label_years(windows: DataFrame) -> DataFrame:
     return windows.withColumn("fiscal", fiscal_label("year"))
 
@@ -98,16 +110,14 @@ def board_series(windowed: DataFrame, keep: DataFrame, how: str = "pooled") -> D
                                              F.when(F.col("_count"), F.col("_n")).otherwise(rate).alias("value"))
 
 
-def metric_allocation(prior: DataFrame, d: DataFrame, scenario: list[str] | None = None) -> DataFrame:
-    """Per metric: prior share times D, normalised over the boards.
+def metric_allocation(prior: DataFrame, d: DataFrame) -> DataFrame:
+    """Per metric: prior share times D, normalised over the boards (sums by aggregate, joined back).
 
-    Sums per (scenario, metric) are an aggregate joined back. Use ``refuse_missing`` first when a
-    missing D must stop the job.
+    Use ``refuse_missing`` first when a missing D must stop the job.
     """
-    keys = [*(scenario or []), "metric"]
     j = d.join(prior, "board").withColumn("_ad", F.col("prior") * F.col("d"))
-    total = j.groupBy(*keys).agg(F.sum("_ad").alias("_s"))
-    return j.join(total, keys).select(*keys, "board", "prior", "d", "_s", ratio("_ad", "_s").alias("allocation"))
+    total = j.groupBy("metric").agg(F.sum("_ad").alias("_s"))
+    return j.join(total, "metric").select("metric", "board", "prior", "d", "_s", ratio("_ad", "_s").alias("allocation"))
 
 
 def refuse_missing(d: DataFrame) -> DataFrame:
@@ -125,18 +135,24 @@ def weight_table(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(m, float(w)) for m, w in weights.items()], "metric string, weight double")
 
 
-def step2_shares(prior: DataFrame, d: DataFrame, weights: dict[str, float], scenario: list[str] | None = None) -> DataFrame:
-    """Weighted shares by board; a metric absent from d keeps the prior share. Shares add to one."""
-    keys = scenario or []
-    alloc = metric_allocation(prior, d, scenario).join(weight_table(prior.sparkSession, weights), "metric")
-    g = alloc.groupBy(*keys, "board").agg(F.sum(F.col("weight") * F.col("allocation")).alias("_a"), F.sum("weight").alias("_w"), F.any_value("prior").alias("prior"))
-    return g.select(*keys, "board", "prior", (F.col("_a") + (1 - F.col("_w")) * F.col("prior")).alias("share"))
+def step2_shares(prior: DataFrame, d: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Weighted shares by board; a metric absent from d keeps the prior share. Shares add to one.
+
+    A board without D for a metric that others have cannot be allocated: its share is NULL.
+    """
+    w = weight_table(prior.sparkSession, weights)
+    used = d.select("metric").distinct().join(w, "metric").agg(F.struct(F.count("*").alias("k"), F.sum("weight").alias("w"))).scalar()
+    alloc = metric_allocation(prior, d).join(w, "metric")
+    g = alloc.groupBy("board").agg(F.sum(F.col("weight") * F.col("allocation")).alias("_a"), F.count("allocation").alias("_k"),
+                                   F.any_value("prior").alias("prior")).withColumn("_u", used)
+    share = F.when(F.col("_k") == F.col("_u.k"), F.col("_a") + (1 - F.col("_u.w")) * F.col("prior"))
+    return g.select("board", "prior", share.alias("share"))
 
 
 def board_d(panel: DataFrame, start: int, metrics: list[str], *, windows: dict | None = None, how: str = "pooled", shift: int = 0) -> DataFrame:
     """D per (metric, board) for one formula year."""
     w = shift_unpublished(formula_windows(panel.sparkSession, start, metrics, windows=windows, shift=shift), panel)
-    inside = in_window(panel, w)
+    inside = cut(in_window(panel, w))
     return d_ratio(board_series(inside, consistent_reporters(inside), how), ["metric", "board"])
 
 

@@ -3,14 +3,17 @@
 A window over one group, or Spark's exact ``percentile``, puts a whole group into one task.
 Here a third of all rows may share one group, or even one value:
 
-1. rows are first counted per (group, value), so ties cost one row;
-2. the sorted (group, value) sequence is cut into buckets of about equal row count. The cuts
-   come from the K rows with the smallest hash: a uniform sample that is the same in every
+1. rows are first counted per (group, value), so ties cost one row, and the counts are written
+   once as a table in the shared folder (every later step reads them several times);
+2. if the table is proven small (its row count is known from the file footers), one ordinary
+   window finishes the job;
+3. otherwise the sorted (group, value) sequence is cut into buckets of about equal row count. The
+   cuts come from the K rows with the smallest hash: a uniform sample that is the same in every
    re-execution, so both uses below agree even when a lost executor forces recomputation;
-3. totals per (group, bucket) give each bucket its starting offset (a window over at most
+4. totals per (group, bucket) give each bucket its starting offset (a window over at most
    B rows per group), and the running sum inside a bucket is an ordinary, bounded window.
 
-Everything is lazy; nothing is collected, and groups need not fit anywhere.
+Nothing is collected, and groups need not fit anywhere.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+SMALL_ROWS = 1_000_000  # up to here a group cannot outgrow one task, whatever the skew
 SAMPLE_PER_BUCKET = 16
 MAX_BUCKETS = 2048
 
@@ -30,12 +36,11 @@ def bucket_count(df: DataFrame) -> int:
     return max(2, min(n, MAX_BUCKETS))
 
 
-def _bucketed(counts: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Add _bucket: position of the row's key among the sampled cut points (binary search)."""
     buckets = bucket_count(counts)
     key = F.struct(*keys)
-    # hashing the measures too keeps the sample on the same shuffle as the main branch
-    sample = (counts.select(key.alias("k"), F.xxhash64(*keys, *measures).alias("h"))
+    sample = (counts.select(key.alias("k"), F.xxhash64(*keys).alias("h"))
               .orderBy("h", "k").limit(SAMPLE_PER_BUCKET * buckets))
     cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("s")).select(
         F.filter("s", lambda _, i: F.pmod(i + 1, F.lit(SAMPLE_PER_BUCKET)) == 0).alias("cuts"))
@@ -55,7 +60,16 @@ def running(counts: DataFrame, groups: list[str], order: list[str], measures: li
     """
     gs = groups or ["_all"]
     base = counts if groups else counts.withColumn("_all", F.lit(0))
-    keyed = _bucketed(base, gs + order, measures)
+    base = cut(base)
+    if base.count() <= SMALL_ROWS:
+        before, whole = W.partitionBy(*gs).orderBy(*order).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*gs)
+        return base.select(*counts.columns, *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
+                           *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
+    return _running_bucketed(base, gs, order, measures, counts.columns)
+
+
+def _running_bucketed(base: DataFrame, gs: list[str], order: list[str], measures: list[str], keep: list[str]) -> DataFrame:
+    keyed = _bucketed(base, gs + order)
     per_bucket = keyed.groupBy(*gs, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     before = W.partitionBy(*gs).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*gs)
@@ -65,14 +79,12 @@ def running(counts: DataFrame, groups: list[str], order: list[str], measures: li
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
     inside = W.partitionBy(*gs, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumns({f"_l_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    # null-safe equality keeps the optimizer from pushing an IS NOT NULL of the bucket below the count,
-    # which would keep the two branches from sharing one shuffle
-    same = F.col("_bucket").eqNullSafe(F.col("_o_bucket"))
+    same = F.col("_bucket") == F.col("_o_bucket")
     for g in gs:
         same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     out = local.join(offsets, same)
     out = out.withColumns({f"{m}_below": F.col(f"_l_{m}") + F.col(f"_o_{m}") for m in measures})
-    return out.select(*counts.columns, *[f"{m}_below" for m in measures], *[f"{m}_total" for m in measures])
+    return out.select(*keep, *[f"{m}_below" for m in measures], *[f"{m}_total" for m in measures])
 
 
 def value_counts(df: DataFrame, groups: list[str], value: Column | str, extra: dict[str, Column] | None = None) -> DataFrame:

@@ -124,4 +124,4 @@ def to_json_records(df: DataFrame) -> DataFrame:
 def long_series(df: DataFrame, key: str, years: str, series: list[str]) -> DataFrame:
     """Parallel arrays of a serving document back to long rows (key, year, series...)."""
     z = F.explode(F.arrays_zip(F.col(years).alias("year"), *[F.col(s) for s in series])).alias("z")
-    return df.select(key, z).select(key, F.col(f"z.{years}").alias("year"), *[F.col(f"z.{s}").alias(s) for s in series])
+    return df.select(key, z).select(key, F.col("z.year"), *[F.col(f"z.{s}").alias(s) for s in series])

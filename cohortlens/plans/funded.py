@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls
 from ..operators import funding as fu
+from ..operators.lineage import cut
 from .derived import rounded
 from .registry import query
 from .tables import Tables
@@ -26,16 +27,23 @@ _WIN = """
     prior as (select board, funding / sum(funding) over () a from board_year where year = 2000),
     alloc as (select metric, board, a, d, sum(a * d) over (partition by metric) s, a * d / sum(a * d) over (partition by metric) al from d join prior using (board)),
     wt as (select * from (values ('retention', 0.4::double), ('admit', 0.3), ('yield', 0.1)) v(metric, w)),
-    sh as (select board, a, sum(w * al) + 0.2::double * a share from alloc join wt using (metric) group by board, a)"""
+    sh as (select board, a, case when count(al) = 3 then sum(w * al) + 0.2::double * a end share from alloc join wt using (metric) group by board, a)"""
 V = "metric_panel board_year"
 
 
+def panel(t: Tables):
+    """The long metric panel, written once per query: windows, reporters and series all read it."""
+    if "_panel_once" not in t.__dict__:
+        t.__dict__["_panel_once"] = cut(t.metric_panel)
+    return t.__dict__["_panel_once"]
+
+
 def _windows(t: Tables, metrics=METRICS):
     return fu.formula_windows(t.spark, T, metrics, windows=WINDOWS)
 
 
 def _windowed(t: Tables):
-    return fu.in_window(t.metric_panel, _windows(t))
+    return fu.in_window(panel(t), _windows(t))
 
 
 def _series(t: Tables, how="pooled"):
@@ -44,7 +52,7 @@ def _series(t: Tables, how="pooled"):
 
 
 def _d(t: Tables):
-    return fu.board_d(t.metric_panel, T, METRICS, windows=WINDOWS)
+    return fu.board_d(panel(t), T, METRICS, windows=WINDOWS)
 
 
 def _prior(t: Tables):
@@ -68,8 +76,8 @@ def _(t: Tables):
       (select unitid from metric_panel where metric = 'yield' and year between 1997 and 2000 group by 1 having count(distinct year) = 4 and count(distinct src) = 1) group by 1, 2)
     select board, year, cast(v as bigint) as value from c""", "metric_panel")
 def _(t: Tables):
-    panel = t.metric_panel.filter("metric = 'yield'").withColumn("den", F.lit(None).cast("long"))
-    w = fu.in_window(panel, _windows(t, ["yield"]))
+    counts = panel(t).filter("metric = 'yield'").withColumn("den", F.lit(None).cast("long"))
+    w = fu.in_window(counts, _windows(t, ["yield"]))
     return fu.board_series(w, fu.consistent_reporters(w)).select("board", "year", F.col("value").cast("long").alias("value"))
 
 
@@ -92,12 +100,8 @@ def _(t: Tables):
     select distinct p.metric, f.t as start_year, y::int as year, 'FY ' || y || '-' || lpad(((y + 1) % 100)::varchar, 2, '0') fiscal from metric_panel p, (select distinct year as t from metric_panel) f,
       lateral (select unnest(generate_series(case when p.metric = 'yield' then t - 4 else t - 5 end, case when p.metric = 'yield' then t - 1 else t - 2 end)) y)""", "metric_panel")
 def _(t: Tables):
-    years = [r[0] for r in t.metric_panel.select("year").distinct().orderBy("year").limit(100).collect()]
-    parts = [fu.label_years(fu.formula_windows(t.spark, y, METRICS, windows=WINDOWS)).withColumn("start_year", F.lit(y)) for y in years]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", "start_year", "year", "fiscal")
+    starts = panel(t).select("year").distinct()
+    return fu.label_years(fu.windows_by_start(starts, "year", METRICS, windows=WINDOWS)).select("metric", "start_year", "year", "fiscal")
 
 
 _REDIS = """
@@ -124,12 +128,12 @@ _FUNDS = """
 
 @query("b06_reconstruction", _WIN + _FUNDS + "select board, round(act, 6) actual_pct, round(pred, 6) predicted_pct, round(pred - act, 6) error from rec", V)
 def _(t: Tables):
-    return rounded(fu.reconstruct(t.metric_panel, t.board_year, T, W, METRICS, windows=WINDOWS), ["actual_pct", "predicted_pct", "error"])
+    return rounded(fu.reconstruct(panel(t), t.board_year, T, W, METRICS, windows=WINDOWS), ["actual_pct", "predicted_pct", "error"])
 
 
 @query("b06_fit_quality", _WIN + _FUNDS + "select round(corr(act, pred), 6) correlation, round(sqrt(avg(pow(pred - act, 2))), 6) rmse from rec", V)
 def _(t: Tables):
-    return rounded(fu.fit_quality(fu.reconstruct(t.metric_panel, t.board_year, T, W, METRICS, windows=WINDOWS)), ["correlation", "rmse"])
+    return rounded(fu.fit_quality(fu.reconstruct(panel(t), t.board_year, T, W, METRICS, windows=WINDOWS)), ["correlation", "rmse"])
 
 
 @query("b06_window_fallback", """
@@ -137,7 +141,7 @@ def _(t: Tables):
     select metric, (y - first + 1)::int as position, (y - (first + 3 > newest)::int)::int as year, first + 3 > newest shifted from
       (values ('retention', 1998), ('admit', 1998), ('yield', 1999)) v(metric, first) join mx using (metric), lateral (select unnest(generate_series(first, first + 3)) y)""", "metric_panel")
 def _(t: Tables):
-    return fu.shift_unpublished(fu.formula_windows(t.spark, 2003, METRICS, windows=WINDOWS), t.metric_panel)
+    return fu.shift_unpublished(fu.formula_windows(t.spark, 2003, METRICS, windows=WINDOWS), panel(t))
 
 
 def _variant_sql(name, ser_expr, years, weights):
@@ -152,7 +156,7 @@ def _variant_sql(name, ser_expr, years, weights):
     ser_{name} as (select metric, board, pos, {ser_expr} v from pw_{name} semi join keep_{name} using (metric, unitid) group by 1, 2, 3),
     d_{name} as (select metric, board, avg(v) / avg(v) filter (pos <= 3) d from ser_{name} group by 1, 2),
     al_{name} as (select metric, board, a, a * d / sum(a * d) over (partition by metric) al from d_{name} join prior using (board)),
-    sh_{name} as (select board, a, sum(w * al) + {rest}::double * a share from al_{name} join (select * from (values {ws}) x(metric, w)) using (metric) group by board, a),
+    sh_{name} as (select board, a, case when count(al) = {len(weights)} then sum(w * al) + {rest}::double * a end share from al_{name} join (select * from (values {ws}) x(metric, w)) using (metric) group by board, a),
     rec_{name} as (select (f1 / f0 - 1) * 100 act, (share * tot / f0 - 1) * 100 pred from sh_{name} join b0 using (board) join b1 using (board), tot)"""
 
 
@@ -170,7 +174,7 @@ _ALLW = {"retention": 0.4, "admit": 0.3, "yield": 0.1}
     union all select 'admit neutral', round(corr(act, pred), 6), round(sqrt(avg(pow(pred - act, 2))), 6) from rec_neutral""", V)
 def _(t: Tables):
     cases = {"base": {}, "one year earlier": {"shift": -1}, "mean of rates": {"how": "mean"}, "admit neutral": {"neutral": ("admit",)}}
-    return rounded(fu.variants(t.metric_panel, t.board_year, T, W, METRICS, cases, WINDOWS), ["correlation", "rmse"])
+    return rounded(fu.variants(panel(t), t.board_year, T, W, METRICS, cases, WINDOWS), ["correlation", "rmse"])
 
 
 @query("b08_marginal_value", _WIN + """
@@ -218,7 +222,7 @@ def _(t: Tables):
     keep = fu.consistent_reporters(w)
     base = fu.pooled_d(w.join(keep, ["metric", "unitid"], "left_semi"), ["board"]).withColumn("variant", F.lit("consistent reporters"))
     every = fu.pooled_d(w, ["board"]).withColumn("variant", F.lit("all as reported"))
-    flat = fu.held_flat(w, t.metric_panel.filter("metric = 'retention'"), keep, 1995, 1999)
+    flat = fu.held_flat(w, panel(t).filter("metric = 'retention'"), keep, 1995, 1999)
     return rounded(base.unionByName(every).unionByName(fu.pooled_d(flat, ["board"]).withColumn("variant", F.lit("hidden units held flat"))), ["d"])
 
 
@@ -252,7 +256,7 @@ _SPLICE = _WIN + """
 
 def _definitions(t: Tables):
     w = _windowed(t).filter("metric = 'retention'")
-    extra = t.metric_panel.filter("metric = 'yield'").select("unitid", "year", F.col("num").alias("_n"), F.col("den").alias("_d"))
+    extra = panel(t).filter("metric = 'yield'").select("unitid", "year", F.col("num").alias("_n"), F.col("den").alias("_d"))
     incl = w.join(extra, ["unitid", "year"]).withColumns({"num": F.col("num") + F.col("_n"), "den": F.col("den") + F.col("_d")})
 
     def series(x):

@@ -28,25 +28,21 @@ _MW = """
     v as (select *, ra - n_a * (n_a + 1) / 2 u, n_a + n_b nn from u)"""
 
 
-def _sectors(t: Tables) -> list[str]:
-    return [r[0] for r in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(50).collect()]
-
-
 @query("t01_cliffs_delta", _MW + """
     select a, b, n_a, n_b, round(2 * u / (n_a * n_b) - 1, 6) cliffs_delta from v""", "cust_panel")
 def _(t: Tables):
-    return rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", _sectors(t)).select("a", "b", "n_a", "n_b", "cliffs_delta"), ["cliffs_delta"])
+    return rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", SEGMENTS).select("a", "b", "n_a", "n_b", "cliffs_delta"), ["cliffs_delta"])
 
 
 @query("t02_mann_whitney_u", _MW + """
     select a, b, round(u, 4) u, round(greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sqrt(n_a * n_b / 12 * (nn + 1 - ties / (nn * (nn - 1)))), 6) z from v""", "cust_panel")
 def _(t: Tables):
-    return rounded(rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", _sectors(t)).select("a", "b", "u", "z"), ["u"], 4), ["z"])
+    return rounded(rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", SEGMENTS).select("a", "b", "u", "z"), ["u"], 4), ["z"])
 
 
 @query("t02_mann_whitney_p_holm")
 def _(t: Tables):
-    return inf.holm(inf.mann_whitney(t.cust_panel, "sector", "n", _sectors(t)), "p", "pair")
+    return inf.holm(inf.mann_whitney(t.cust_panel, "sector", "n", SEGMENTS), "p", "pair")
 
 
 @query("t03_holm_adjustment", """
