@@ -12,7 +12,7 @@ _local_dir: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a temporary folder only for a local master without one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
