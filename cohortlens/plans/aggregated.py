@@ -60,7 +60,7 @@ def _(t: Tables):
     select sector, count(*) n, round(avg(cast(survey_year > 1998 as int)), 6) share_public, arg_max(unitid, (total_enrollment, unitid)) largest_member,
       round(median(n), 4) median_n, round(median(total_enrollment), 2) median_total_enrollment from cust_panel group by 1""", "cust_panel")
 def _(t: Tables):
-    p = sm.cluster_profile(t.cust_panel, "sector", ["n", "total_enrollment"], F.col("survey_year") > 1998, "total_enrollment", "unitid")
+    p = sm.cluster_profile(t.once("cust_panel"), "sector", ["n", "total_enrollment"], F.col("survey_year") > 1998, "total_enrollment", "unitid")
     return rounded(rounded(p, ["share_public"]), ["median_n", "median_total_enrollment"], 2)
 
 
@@ -101,7 +101,7 @@ def _(t: Tables):
     , b as (select * from cust_panel where unitid in (select unitid from cust_panel group by 1 having count(*) = (select count(distinct survey_year) from cust_panel)))
     select survey_year, cast(sum(n) as bigint) total, count(*) n from b group by 1""", "cust_panel")
 def _(t: Tables):
-    return sm.complete_totals(t.cust_panel, "unitid", "survey_year", "n")
+    return sm.complete_totals(t.once("cust_panel"), "unitid", "survey_year", "n")
 
 
 @query("a18_histogram", """
@@ -110,7 +110,7 @@ def _(t: Tables):
     select least(17, floor((total_enrollment - lo) / ((hi - lo) / 18)))::int bin, round(lo + least(17, floor((total_enrollment - lo) / ((hi - lo) / 18)))::int * ((hi - lo) / 18), 4) bin_low,
       sector, count(*) n from cust_panel, h group by all""", "cust_panel")
 def _(t: Tables):
-    return rounded(sm.histogram(t.cust_panel, "total_enrollment", "sector"), ["bin_low"], 4)
+    return rounded(sm.histogram(t.once("cust_panel"), "total_enrollment", "sector"), ["bin_low"], 4)
 
 
 @query("a23_definition_ratio", """
@@ -150,7 +150,7 @@ def _(t: Tables):
     select sample, round(avg(v), 2) mean, round(stddev_samp(v), 2) sd, round(any_value(med), 2) median, round(1.4826 * median(abs(v - med)), 2) mad,
       round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 2) iqr from s join m using (sample) group by 1""", "cust_panel")
 def _(t: Tables):
-    return rounded(sm.robust_location(t.cust_panel, "total_enrollment"), ["mean", "sd", "median", "mad", "iqr"], 2)
+    return rounded(sm.robust_location(t.once("cust_panel"), "total_enrollment"), ["mean", "sd", "median", "mad", "iqr"], 2)
 
 
 @query("a27_tail_mass", """

@@ -139,7 +139,7 @@ def _(t: Tables):
     select year, board, case when abs(g) > 5 and board = 'ASIA' then -v else v end v, abs(g) > 5 and board = 'ASIA' repaired, true ties from wrong join gap using (year)""", "board_year")
 def _(t: Tables):
     dim = t.spark.createDataFrame([("ASIA", 1), ("AFRICA", 2), ("EUROPE", 3), ("AMERICA", 4)], "board string, o int")
-    c = t.board_year.join(dim, "board", "left").select("year", "board", F.coalesce("o", F.lit(5)).alias("o"), (F.col("completers") * 100.0).alias("v"))
+    c = t.once("board_year").join(dim, "board", "left").select("year", "board", F.coalesce("o", F.lit(5)).alias("o"), (F.col("completers") * 100.0).alias("v"))
     wrong = c.withColumn("v", F.when((F.col("board") == "ASIA") & (F.col("year") >= 1998), -F.col("v")).otherwise(F.col("v")))
     tot = c.groupBy("year").agg(F.sum("v").alias("total"))
     return q.sign_repair(wrong, tot, ["year"], "board", "o", "v", "total")
@@ -149,7 +149,7 @@ def _(t: Tables):
     , g as (select year, sum(completers) - sum(fte) / 25.5 a, sum(cohort_size - completers) - 800 b from board_year group by 1)
     select year from g where abs(a - b) > 500""", "board_year")
 def _(t: Tables):
-    g = t.board_year.groupBy("year").agg((F.sum("completers") - F.sum("fte") / 25.5).alias("a"),
+    g = t.once("board_year").groupBy("year").agg((F.sum("completers") - F.sum("fte") / 25.5).alias("a"),
                                          (F.sum(F.col("cohort_size") - F.col("completers")) - 800).alias("b"))
     return q.eliminations_net(g, "a", "b", 500).select("year")
 

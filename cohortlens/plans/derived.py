@@ -217,9 +217,9 @@ def _(t: Tables):
     f as (select year, round_even((select cpi from c where year = 2000) / cpi, 5) factor from c)
     select board, year, round(funding * factor * 1.5, 0) funding, factor from board_year join f using (year)""", "board_year")
 def _(t: Tables):
-    cpi = t.board_year.groupBy("year").agg(F.avg(nulls.ratio("funding", "fte")).alias("cpi"))
+    cpi = t.once("board_year").groupBy("year").agg(F.avg(nulls.ratio("funding", "fte")).alias("cpi"))
     factors = fe.deflator(cpi, 2000, "year", "cpi")
-    real = fe.real_terms(t.board_year, factors, "year", ["funding"], extra=1.5)
+    real = fe.real_terms(t.once("board_year"), factors, "year", ["funding"], extra=1.5)
     return real.join(factors, "year").select("board", "year", R("funding", 0).alias("funding"), "factor")
 
 
@@ -289,7 +289,7 @@ def _(t: Tables):
     select unitid, round(case when b > a then pow(l / f, 1.0 / (b - a)) - 1 end, 6) cagr, n = (select count(distinct survey_year) from cust_panel) complete
     from s""", "cust_panel")
 def _(t: Tables):
-    g = fe.series_growth(t.cust_panel, ["unitid"], "survey_year", "total_enrollment")
+    g = fe.series_growth(t.once("cust_panel"), ["unitid"], "survey_year", "total_enrollment")
     return g.select("unitid", R("cagr", 6).alias("cagr"), "complete")
 
 
@@ -344,7 +344,7 @@ def _(t: Tables):
 
 
 def _vintages(t: Tables):
-    long = t.board_year.select("board", "year", F.col("completers").alias("resident"), F.col("cohort_size").alias("total"))
+    long = t.once("board_year").select("board", "year", F.col("completers").alias("resident"), F.col("cohort_size").alias("total"))
     long = long.unpivot(["board", "year"], ["resident", "total"], "series", "value")
     older = long.filter("year <= 1998")
     newer = long.filter("year >= 1997").withColumn("value", F.when(F.col("year") >= 2001, F.lit(0)).otherwise(
@@ -383,7 +383,7 @@ def _(t: Tables):
 @query("f28_missing_boards", """
     select board, year from board_year where not completers > 800""", "board_year")
 def _(t: Tables):
-    return fe.missing_members(t.board_year.filter("completers > 800"), t.board_year.select("board", "year"), ["board", "year"])
+    return fe.missing_members(t.once("board_year").filter("completers > 800"), t.once("board_year").select("board", "year"), ["board", "year"])
 
 
 @query("f29_measure_grid", """

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls
 from ..operators import funding as fu
-from ..operators.lineage import cut
 from .derived import rounded
 from .registry import query
 from .tables import Tables
@@ -33,9 +32,7 @@ V = "metric_panel board_year"
 
 def panel(t: Tables):
     """The long metric panel, written once per query: windows, reporters and series all read it."""
-    if "_panel_once" not in t.__dict__:
-        t.__dict__["_panel_once"] = cut(t.metric_panel)
-    return t.__dict__["_panel_once"]
+    return t.once("metric_panel")
 
 
 def _windows(t: Tables, metrics=METRICS):
@@ -56,7 +53,7 @@ def _d(t: Tables):
 
 
 def _prior(t: Tables):
-    return fu.prior_shares(t.board_year.filter(F.col("year") == T - 1), "board", "funding")
+    return fu.prior_shares(t.once("board_year").filter(F.col("year") == T - 1), "board", "funding")
 
 
 @query("a13_consistent_reporters", _WIN + "select metric, unitid from keep", V)
@@ -110,7 +107,7 @@ _REDIS = """
 
 
 def _redistribution(t: Tables):
-    f = t.board_year.groupBy("board").agg(F.sum(F.when(F.col("year") == 1999, F.col("funding"))).alias("b"), F.sum(F.when(F.col("year") == 2000, F.col("funding"))).alias("n"))
+    f = t.once("board_year").groupBy("board").agg(F.sum(F.when(F.col("year") == 1999, F.col("funding"))).alias("b"), F.sum(F.when(F.col("year") == 2000, F.col("funding"))).alias("n"))
     return fu.redistribution(f, "b", "n")
 
 
@@ -128,12 +125,12 @@ _FUNDS = """
 
 @query("b06_reconstruction", _WIN + _FUNDS + "select board, round(act, 6) actual_pct, round(pred, 6) predicted_pct, round(pred - act, 6) error from rec", V)
 def _(t: Tables):
-    return rounded(fu.reconstruct(panel(t), t.board_year, T, W, METRICS, windows=WINDOWS), ["actual_pct", "predicted_pct", "error"])
+    return rounded(fu.reconstruct(panel(t), t.once("board_year"), T, W, METRICS, windows=WINDOWS), ["actual_pct", "predicted_pct", "error"])
 
 
 @query("b06_fit_quality", _WIN + _FUNDS + "select round(corr(act, pred), 6) correlation, round(sqrt(avg(pow(pred - act, 2))), 6) rmse from rec", V)
 def _(t: Tables):
-    return rounded(fu.fit_quality(fu.reconstruct(panel(t), t.board_year, T, W, METRICS, windows=WINDOWS)), ["correlation", "rmse"])
+    return rounded(fu.fit_quality(fu.reconstruct(panel(t), t.once("board_year"), T, W, METRICS, windows=WINDOWS)), ["correlation", "rmse"])
 
 
 @query("b06_window_fallback", """
@@ -174,7 +171,7 @@ _ALLW = {"retention": 0.4, "admit": 0.3, "yield": 0.1}
     union all select 'admit neutral', round(corr(act, pred), 6), round(sqrt(avg(pow(pred - act, 2))), 6) from rec_neutral""", V)
 def _(t: Tables):
     cases = {"base": {}, "one year earlier": {"shift": -1}, "mean of rates": {"how": "mean"}, "admit neutral": {"neutral": ("admit",)}}
-    return rounded(fu.variants(panel(t), t.board_year, T, W, METRICS, cases, WINDOWS), ["correlation", "rmse"])
+    return rounded(fu.variants(panel(t), t.once("board_year"), T, W, METRICS, cases, WINDOWS), ["correlation", "rmse"])
 
 
 @query("b08_marginal_value", _WIN + """
@@ -199,7 +196,7 @@ def _(t: Tables):
 def _(t: Tables):
     def at(y):
         return F.max(F.when(F.col("year") == y, F.col("completers")))
-    s = t.board_year.groupBy("board").agg((F.abs(nulls.ratio(at(1997), at(1996)) - 1) + 0.01).alias("step"))
+    s = t.once("board_year").groupBy("board").agg((F.abs(nulls.ratio(at(1997), at(1996)) - 1) + 0.01).alias("step"))
     return rounded(fu.reward_path(s, "board", "step"), ["gain"])
 
 

@@ -31,18 +31,18 @@ _MW = """
 @query("t01_cliffs_delta", _MW + """
     select a, b, n_a, n_b, round(2 * u / (n_a * n_b) - 1, 6) cliffs_delta from v""", "cust_panel")
 def _(t: Tables):
-    return rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", SEGMENTS).select("a", "b", "n_a", "n_b", "cliffs_delta"), ["cliffs_delta"])
+    return rounded(inf.rank_comparisons(t.once("cust_panel"), "sector", "n", SEGMENTS).select("a", "b", "n_a", "n_b", "cliffs_delta"), ["cliffs_delta"])
 
 
 @query("t02_mann_whitney_u", _MW + """
     select a, b, round(u, 4) u, round(greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sqrt(n_a * n_b / 12 * (nn + 1 - ties / (nn * (nn - 1)))), 6) z from v""", "cust_panel")
 def _(t: Tables):
-    return rounded(rounded(inf.rank_comparisons(t.cust_panel, "sector", "n", SEGMENTS).select("a", "b", "u", "z"), ["u"], 4), ["z"])
+    return rounded(rounded(inf.rank_comparisons(t.once("cust_panel"), "sector", "n", SEGMENTS).select("a", "b", "u", "z"), ["u"], 4), ["z"])
 
 
 @query("t02_mann_whitney_p_holm")
 def _(t: Tables):
-    return inf.holm(inf.mann_whitney(t.cust_panel, "sector", "n", SEGMENTS), "p", "pair")
+    return inf.holm(inf.mann_whitney(t.once("cust_panel"), "sector", "n", SEGMENTS), "p", "pair")
 
 
 @query("t03_holm_adjustment", """
@@ -69,12 +69,12 @@ def _(t: Tables):
     union all select 'welch', round((a / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * l), 6), (k - 1)::double, round((k * k - 1) / (3 * l), 4) from we
     union all select 'kruskal', round(s, 6), d1::double, null from kr""", "sup_panel")
 def _(t: Tables):
-    return rounded(rounded(inf.variance_tests(t.sup_panel, "control", "admits"), ["statistic"]), ["df2"], 4)
+    return rounded(rounded(inf.variance_tests(t.once("sup_panel"), "control", "admits"), ["statistic"]), ["df2"], 4)
 
 
 @query("t04_variance_test_p")
 def _(t: Tables):
-    return inf.with_p(inf.variance_tests(t.cust_panel, "sector", "total_enrollment"))
+    return inf.with_p(inf.variance_tests(t.once("cust_panel"), "sector", "total_enrollment"))
 
 
 _HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
@@ -85,7 +85,7 @@ _BOOT = """
 
 
 def _two_boards(t: Tables):
-    return t.sup_panel.join(t.boards, "control").select(F.col("board").alias("g"), (F.col("unitid") * 10000 + F.col("survey_year")).alias("id"),
+    return t.once("sup_panel").join(t.boards, "control").select(F.col("board").alias("g"), (F.col("unitid") * 10000 + F.col("survey_year")).alias("id"),
                                                         nulls.ratio("completers", "cohort_size").alias("v"))
 
 
@@ -210,7 +210,7 @@ def _(t: Tables):
 
 
 def _event(t: Tables):
-    d = pn.balanced(t.sup_panel.join(t.boards, "control").withColumn("v", nulls.ratio("completers", "cohort_size") * 100), "unitid", "survey_year", "v")
+    d = pn.balanced(t.once("sup_panel").join(t.boards, "control").withColumn("v", nulls.ratio("completers", "cohort_size") * 100), "unitid", "survey_year", "v")
     return ln.event_study(d, "board", "unitid", "survey_year", "v", [1995, 1996, 1997, 1998, 1999, 2000, 2001], 1998)
 
 

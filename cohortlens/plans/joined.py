@@ -53,7 +53,7 @@ def _(t: Tables):
     select coalesce(unitid_to, unitid) unitid, survey_year, cast(sum(n) as bigint) n, count(*) merged from r where rn = 1 group by 1, 2""",
        "cust_panel changes")
 def _(t: Tables):
-    moved = pn.apply_crosswalk(t.cust_panel, t.changes)
+    moved = pn.apply_crosswalk(t.cust_panel, t.once("changes"))
     return moved.groupBy(*K).agg(F.sum("n").alias("n"), F.count("*").alias("merged"))
 
 
@@ -67,7 +67,7 @@ def _(t: Tables):
     select survey_year, count(*) n from cust_panel where unitid not in (select unitid_from from changes where unitid_from = unitid_to and lower(reason) = 'closed')
     group by 1""", "cust_panel changes")
 def _(t: Tables):
-    return t.cust_panel.join(pn.closed_entities(t.changes), "unitid", "left_anti").groupBy("survey_year").agg(F.count("*").alias("n"))
+    return t.cust_panel.join(pn.closed_entities(t.once("changes")), "unitid", "left_anti").groupBy("survey_year").agg(F.count("*").alias("n"))
 
 
 @query("j07_rule_peers", """
@@ -76,7 +76,7 @@ def _(t: Tables):
     select s.unitid, round(s.total_enrollment, 2) size from s, tgt where s.survey_year = 1997 and s.unitid <> 7 and s.sector = tgt.sector
       and s.total_enrollment between tgt.total_enrollment * 0.75 and tgt.total_enrollment * 1.25""", "cust_panel")
 def _(t: Tables):
-    p = pe.rule_peers(t.cust_panel, 7, 1997, ["sector"])
+    p = pe.rule_peers(t.once("cust_panel"), 7, 1997, ["sector"])
     return p.select("unitid", R("total_enrollment", 2).alias("size"))
 
 
@@ -86,7 +86,7 @@ def _(t: Tables):
     from s a left join s b on a.survey_year = b.survey_year and a.sector = b.sector and a.unitid <> b.unitid
       and b.x between a.x * 0.75 and a.x * 1.25 group by 1, 2""", "cust_panel")
 def _(t: Tables):
-    out = pe.peer_band_summary(t.cust_panel, ["survey_year", "sector"], "unitid", "total_enrollment", "n")
+    out = pe.peer_band_summary(t.once("cust_panel"), ["survey_year", "sector"], "unitid", "total_enrollment", "n")
     return out.select("unitid", "survey_year", "n_peers", R("peer_mean", 6).alias("peer_mean"))
 
 
@@ -103,7 +103,7 @@ _NEAR_SQL = """
 
 
 def _near(t: Tables):
-    d = t.cust_panel.groupBy("unitid").agg(F.count("*").alias("level"), F.any_value("sector").alias("control"),
+    d = t.once("cust_panel").groupBy("unitid").agg(F.count("*").alias("level"), F.any_value("sector").alias("control"),
                                            F.sum("n").alias("fte"), F.avg("total_enrollment").alias("price"))
     c = t.customer.select(F.col("c_custkey").alias("unitid"), F.col("c_nationkey").alias("family"), F.col("c_acctbal").alias("bal"))
     return d.join(c, "unitid")

@@ -192,7 +192,7 @@ def _(t: Tables):
     rows = [F.lit("FY 1999-00  FY 2000-01   Total FTE by FY 1999-00"), F.concat(F.lit("Plain College  "), num(a), F.lit("  ("), num(b), F.lit(")")),
             F.concat(F.lit("Split College "), split, F.lit(" "), num(b)), F.concat(F.lit("Public Summary  "), num(a + b), F.lit(" "), num(b)),
             F.concat(F.lit("All: $"), num(b), F.lit(" "), num(b)), F.concat(F.lit("Too many "), num(b), F.lit(" 11 12 13")), F.lit("A heading without numbers")]
-    return parsers.parse_fte_lines(w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text")))
+    return parsers.parse_fte_lines(cut(w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text"))))
 
 
 @query("s16_board_rows", """
@@ -207,7 +207,7 @@ def _(t: Tables):
     rows = [F.concat(F.lit("North Mesa University "), num(a * 9), F.lit(" "), num(b)), F.lit("Table of appropriations"), F.lit("North Mesa"),
             F.concat(F.lit("University $"), num(a), F.lit(" $"), num(b)), F.concat(F.lit("Lake College ("), num(b), F.lit(") "), num(a)),
             F.concat(F.lit("Lake College "), num(b * 3), F.lit(" "), num(a)), F.concat(F.lit("Somewhere else "), num(b), F.lit(" "), num(a))]
-    lines = w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text"))
+    lines = cut(w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text")))
     out = parsers.parse_board_lines(lines, "Table of appropriations", [("NMU", "^North Mesa University"), ("LC", "^Lake")])
     return out.select("doc", "board", F.get("numbers", 0).alias("num1"), F.get("numbers", 1).alias("num2"))
 
@@ -251,7 +251,7 @@ def _(t: Tables):
     a, b = num("a"), num("b")
     rows = [F.lit("Tuition caption, (including 5 7 9"), F.concat(F.lit("Tuition and fees (Notes 3, 13) $ "), a, F.lit("  -  $ "), b, F.lit(" 77")),
             F.concat(F.lit("Operating loss ("), b, F.lit(") 12 - 44")), F.concat(F.lit("Tuition and fees "), b, F.lit(" 1 2 3")), F.lit("Unrelated 1 2 3")]
-    lines = w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text"))
+    lines = cut(w.select("doc", F.posexplode(F.array(*rows)).alias("line_no", "text")))
     return parsers.statement_lines(lines, [("tuition", "Tuition and fees"), ("loss", "Operating loss")])
 
 

@@ -19,7 +19,7 @@ R = F.round
 
 
 def _universe(t: Tables):
-    return t.cust_panel.filter("survey_year = 1999").join(
+    return t.once("cust_panel").filter("survey_year = 1999").join(
         t.customer.select(F.col("c_custkey").alias("unitid"), F.col("c_nationkey").alias("level"), "c_acctbal"), "unitid")
 
 
@@ -67,8 +67,8 @@ def _(t: Tables):
     , s as (select list(n order by n) l from cust_panel)
     select unitid, survey_year, round(total_enrollment, 2) total_enrollment, n, round(n / l[1 + floor(0.9 * (len(l) - 1))::int], 6) rel_size from cust_panel, s""", "cust_panel")
 def _(t: Tables):
-    s = sv.scatter_extract(t.cust_panel, "total_enrollment", "n", "n", ["unitid", "survey_year"])
-    return rounded(rounded(s.select("unitid", "survey_year", "total_enrollment", t.cust_panel["n"], "rel_size"), ["total_enrollment"], 2), ["rel_size"])
+    s = sv.scatter_extract(t.once("cust_panel"), "total_enrollment", "n", "n", ["unitid", "survey_year"])
+    return rounded(rounded(s.select("unitid", "survey_year", "total_enrollment", t.once("cust_panel")["n"], "rel_size"), ["total_enrollment"], 2), ["rel_size"])
 
 
 @query("a20_group_series", """
@@ -125,7 +125,7 @@ def _(t: Tables):
 
 
 def _records(t: Tables):
-    return sv.serving_records(t.cust_panel, "unitid", "survey_year", ["n"], ["sector"])
+    return sv.serving_records(t.once("cust_panel"), "unitid", "survey_year", ["n"], ["sector"])
 
 
 @query("k05_serving_records", """
@@ -142,7 +142,7 @@ def _(t: Tables):
 def _(t: Tables):
     path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
     years = F.array_sort(F.collect_set("survey_year"))
-    rec = _records(t).withColumn("years", t.cust_panel.agg(years).scalar())
+    rec = _records(t).withColumn("years", t.once("cust_panel").agg(years).scalar())
     sinks.write_serving(rec, {"source": "panel"}, path)
     back, _ = sinks.read_serving(t.spark, path, "unitid bigint, sector string, n array<bigint>, years array<int>")
     return sv.long_series(back, "unitid", "years", ["n"]).select("unitid", "year", "n")

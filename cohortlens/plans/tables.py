@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 VIEWS = {
     "sup_panel": """
         select l_suppkey unitid, year(l_shipdate) survey_year, any_value(s_nationkey) control,
@@ -91,6 +93,13 @@ class Tables:
         self.__dict__[name] = df
         return df
 
+    def once(self, name: str) -> DataFrame:
+        """A derived view written once, for queries that read it several times."""
+        key = f"_once_{name}"
+        if key not in self.__dict__:
+            self.__dict__[key] = cut(getattr(self, name))
+        return self.__dict__[key]
+
     @cached_property
     def sup_panel(self) -> DataFrame:
         # aggregate first, then join the supplier attributes: the join sees entity-years, not lines

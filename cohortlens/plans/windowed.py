@@ -22,7 +22,7 @@ R = F.round
     select unitid, survey_year, lag(n, 1) over w n_lag1, lag(n, 2) over w n_lag2, lag(n, 3) over w n_lag3 from cust_panel
     window w as (partition by unitid order by survey_year)""", "cust_panel")
 def _(t: Tables):
-    p = guards.assert_unique(t.cust_panel.select("unitid", "survey_year", "n"), ["unitid", "survey_year"], "panel")
+    p = guards.assert_unique(t.once("cust_panel").select("unitid", "survey_year", "n"), ["unitid", "survey_year"], "panel")
     return pn.lags(p, "unitid", "survey_year", "n", 3).drop("n")
 
 
@@ -59,7 +59,7 @@ def _(t: Tables):
       count(*) over (partition by survey_year, n) c from cust_panel)
     select unitid, survey_year, a + (c - 1) / 2 rank_up, d + (c - 1) / 2 rank_down from r""", "cust_panel")
 def _(t: Tables):
-    p = t.cust_panel.select("unitid", "survey_year", "n")
+    p = t.once("cust_panel").select("unitid", "survey_year", "n")
     up = ordering.average_rank(p, ["survey_year"], "n", "rank_up")
     return ordering.average_rank(up, ["survey_year"], "n", "rank_down", descending=True).drop("n")
 
@@ -68,8 +68,8 @@ def _(t: Tables):
     , f as (select n v from cust_panel where unitid = 7 and survey_year = 1997)
     select sector, round(avg(cast(n < v as int)), 6) share_below from cust_panel, f group by 1""", "cust_panel")
 def _(t: Tables):
-    focal = t.cust_panel.filter("unitid = 7 and survey_year = 1997").agg(F.max("n").alias("v")).scalar()
-    p = t.cust_panel.withColumn("_focal", focal)
+    focal = t.once("cust_panel").filter("unitid = 7 and survey_year = 1997").agg(F.max("n").alias("v")).scalar()
+    p = t.once("cust_panel").withColumn("_focal", focal)
     return p.groupBy("sector").agg(R(ordering.share_below(p, "n", F.col("_focal")), 6).alias("share_below"))
 
 
@@ -80,7 +80,7 @@ def _(t: Tables):
       round(case when dt > 1e-9 then least(greatest(-(total_enrollment - mt) / dt, -3), 3) end, 6) z_total_enrollment
     from cust_panel join m using (sector) join d using (sector)""", "cust_panel")
 def _(t: Tables):
-    z = pn.robust_z(t.cust_panel, ["sector"], {"n": 1, "total_enrollment": -1})
+    z = pn.robust_z(t.once("cust_panel"), ["sector"], {"n": 1, "total_enrollment": -1})
     return rounded(z.select("unitid", "survey_year", "z_n", "z_total_enrollment"), ["z_n", "z_total_enrollment"])
 
 
@@ -125,7 +125,7 @@ _PEER_SQL = joined._NEAR_SQL + """,
     from cust_panel p left join m using (survey_year) where p.unitid = 7""", "cust_panel")
 def _(t: Tables):
     near = pe.nearest_peers(joined._near(t), 7, ["fte", "price", "bal"], "fte", 8)
-    s = pe.peer_series(t.cust_panel, near, "unitid", "survey_year", "total_enrollment", 7)
+    s = pe.peer_series(t.once("cust_panel"), near, "unitid", "survey_year", "total_enrollment", 7)
     return s.select("survey_year", R("own", 2).alias("own"), R("peer_median", 2).alias("peer_median"), R("rel_diff", 6).alias("rel_diff"))
 
 
@@ -185,7 +185,7 @@ def _(t: Tables):
     select unitid, survey_year, n from cust_panel where unitid in
       (select unitid from cust_panel group by 1 having count(distinct survey_year) = (select count(distinct survey_year) from cust_panel))""", "cust_panel")
 def _(t: Tables):
-    return pn.balanced(t.cust_panel, "unitid", "survey_year", "n").select("unitid", "survey_year", "n")
+    return pn.balanced(t.once("cust_panel"), "unitid", "survey_year", "n").select("unitid", "survey_year", "n")
 
 
 @query("a12_balanced_vs_unbalanced", """
@@ -195,8 +195,8 @@ def _(t: Tables):
       (select sector, survey_year, avg(n) unbalanced from cust_panel group by 1, 2) left join
       (select sector, survey_year, avg(n) balanced from b group by 1, 2) using (sector, survey_year)""", "cust_panel")
 def _(t: Tables):
-    every = pn.trend_by_group(t.cust_panel, "sector", "survey_year", "n", "unbalanced")
-    bal = pn.trend_by_group(pn.balanced(t.cust_panel, "unitid", "survey_year", "n"), "sector", "survey_year", "n", "balanced")
+    every = pn.trend_by_group(t.once("cust_panel"), "sector", "survey_year", "n", "unbalanced")
+    bal = pn.trend_by_group(pn.balanced(t.once("cust_panel"), "unitid", "survey_year", "n"), "sector", "survey_year", "n", "balanced")
     return rounded(every.join(bal, ["sector", "survey_year"], "left"), ["unbalanced", "balanced"])
 
 
