@@ -169,12 +169,14 @@ def _(t: Tables):
 
 
 @query("t14_simple_regression", """
-    , d as (select log10(total_enrollment) x, log10(tuition_revenue) y from sup_panel)
-    select 'intercept' term, round(regr_intercept(y, x), 6) coef, round(regr_r2(y, x), 6) r2 from d
-    union all select 'log_enroll', round(regr_slope(y, x), 6), round(regr_r2(y, x), 6) from d""", "sup_panel")
+    , d as (select log10(total_enrollment) x, log10(tuition_revenue) y from sup_panel),
+    f as (select regr_slope(y, x) s, regr_intercept(y, x) i, regr_r2(y, x) r2, avg(x) mx, regr_sxx(y, x) sxx, count(*) n from d),
+    e as (select x - mx c, pow((y - i - s * x) / (1 - (1.0 / n + pow(x - mx, 2) / sxx)), 2) w, f.* from d, f),
+    v as (select sqrt(sum(c * c * w)) / any_value(sxx) se_s, sqrt(sum(pow(1.0 / n - mx * c / sxx, 2) * w)) se_i from e)
+    select 'intercept' term, round(i, 6) coef, round(se_i, 6) std_err, round(r2, 6) r2 from f, v union all select 'log_enroll', round(s, 6), round(se_s, 6), round(r2, 6) from f, v""", "sup_panel")
 def _(t: Tables):
     fit = ln.ols(_regression(t), "log_tuition", ["log_enroll"])
-    return rounded(fit.table(t.spark).select("term", "coef").withColumn("r2", F.lit(float(fit.r2))), ["coef", "r2"])
+    return rounded(fit.table(t.spark).select("term", "coef", "std_err").withColumn("r2", F.lit(float(fit.r2))), ["coef", "std_err", "r2"])
 
 
 @query("t15_vif")
