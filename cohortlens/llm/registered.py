@@ -40,3 +40,9 @@ def op3(spark, folder):
     from .line_dedup import dedup_lines
     out = dedup_lines(read(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@registered("op10_jaccard_join")
+def op10(spark, folder):
+    from .jaccard_join import similarity_classes
+    return similarity_classes(read(spark, folder, "documents"))
