@@ -313,13 +313,13 @@ def resigned(members: DataFrame, docs: DataFrame, nodes: DataFrame, bands: Bands
             value, size = raw.view(np.uint64), np.diff(at) // 8
             owner = np.repeat(np.arange(len(size)), size)
             d, sign = block_rows(owner, value, size, bands, seed)
-            at = np.searchsorted(d, np.arange(len(size) + 1)) if np.all(d[1:] >= d[:-1]) else None
-            order = np.argsort(d, kind="stable") if at is None else np.arange(len(d))
+            order = np.argsort(d, kind="stable")
             at = np.searchsorted(d[order], np.arange(len(size) + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(sign[order]))], ["node", "signs"])
 
     again = sets.mapInArrow(run, "node long, signs array<long>")
-    return members.select("sign", "node").join(again, "node").select(F.xxhash64("sign", F.explode("signs").alias("s")).alias("sign"), "node")
+    dealt = members.select("sign", "node").join(again, "node").select("sign", "node", F.explode("signs").alias("again"))
+    return dealt.select(F.xxhash64("sign", "again").alias("sign"), "node")
 
 
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
