@@ -46,3 +46,11 @@ def op3(spark, folder):
 def op10(spark, folder):
     from .jaccard_join import similarity_classes
     return similarity_classes(read(spark, folder, "documents"))
+
+
+@registered("op9_toxicity")
+def op9(spark, folder):
+    from .toxicity import held_out, score_toxicity, train
+    docs = read(spark, folder, "documents")
+    scored = score_toxicity(docs, train(docs, read(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
