@@ -54,3 +54,9 @@ def op9(spark, folder):
     docs = read(spark, folder, "documents")
     scored = score_toxicity(docs, train(docs, read(spark, folder, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@registered("op2_decontaminate")
+def op2(spark, folder):
+    from .decontaminate import contaminated
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
