@@ -14,9 +14,9 @@ difference is at most D = (a + b) * (100 - t) / (100 + t).
 * **Verification** counts common shingles exactly.
 
 Texts with equal sets are one class from the start. A meeting place (bucket) never yields all its pairs: each member
-is paired with the bucket's smallest, the verified links are joined to components, and only buckets that
-still hold several components go on: small ones with the pairs across components, large ones with a second sketch under another
-seed that splits them, and so on. After ``LEVELS`` splits the pairs that are left across components are verified all.
+is paired with the bucket's first and with the one before it, the verified links are joined to components, and only buckets that
+still hold several components go on, one of those with the same members, without members whose shingles no other
+component has: small ones with the pairs across components, large ones in tiles whose sketches are compared in place.
 Sets and classes are known by 64-bit hashes.
 """
 
@@ -34,8 +34,9 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-SMALL_BUCKET = 16  # up to here the pairs across components are fewer than 8 a row
-LEVELS = 3
+SMALL_BUCKET = 128  # up to here the pairs across components are fewer than 64 a row
+TILE = 512
+SAMPLE = 4096  # classes in which heavy shingles are looked for
 STEP = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F),
         U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
 
@@ -118,39 +119,46 @@ def narrow_sketches(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> l
     return [packed[lo // 8: hi // 8].tobytes() for lo, hi in zip(base[:-1], base[1:], strict=True)]
 
 
-def block_rows(owner: np.ndarray, value: np.ndarray, size: np.ndarray, bands: Bands, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, signature) of all blocks, in the document's own band and, where a smaller partner can be
-    in the band below, in that one as well."""
-    if seed:
-        order = grouped_order(owner, mix(value, 100 + seed))
-        owner, value = owner[order], mix(value, 100 + seed)[order]
-    word = mix(value, 31)
+def blocks_of(owner: np.ndarray, value: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The blocks of all sketches side by side: (document index, number in the sketch, parity word, is filled)."""
+    base = np.r_[0, np.cumsum(k)]
+    # blocks are ranges of the hash, and the hashes of a document are sorted
+    cell = base[owner] + (((value >> U64(32)) * k[owner].astype(U64)) >> U64(32)).astype(np.int64)
+    parity, filled = np.zeros(base[-1], U64), np.zeros(base[-1], bool)
+    if len(cell):
+        head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        parity[cell[head]] = np.bitwise_xor.reduceat(mix(value, 31), head)
+        filled[cell[head]] = True
+    doc = np.repeat(np.arange(len(k)), k)
+    return doc, np.arange(base[-1]) - base[doc], parity, filled
+
+
+def block_rows(owner: np.ndarray, value: np.ndarray, size: np.ndarray, bands: Bands, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, signature) of the blocks, in the document's own band and, where a smaller partner can be in the
+    band below, in that one as well.
+
+    Shingles in ``heavy`` (sorted) are left out of both sides' sketches, which cannot raise the difference. A document
+    left with too few filled blocks also sends the sketch of its whole set, and its empty blocks if that has too few.
+    Of two linked documents either one has enough filled blocks, or both send the fuller sketch: they meet.
+    """
+    common = np.zeros(len(value), bool)
+    if len(heavy):
+        common = heavy[np.minimum(np.searchsorted(heavy, value), len(heavy) - 1)] == value
     own = bands.of(np.maximum(size, 1))
     docs, signs = [], []
     for step in (0, 1):
         band = own - step
-        valid = (size > 0) & (band >= 0)
+        short = (size > 0) & (band >= 0)
         band = np.maximum(band, 0)
-        valid &= (bands.blocks[band] > 0) & (size <= bands.partner[band])
-        k = np.where(valid, bands.blocks[band], 0)
-        base = np.r_[0, np.cumsum(k)]
-        use = valid[owner]
-        o = owner[use]
-        # blocks are ranges of the hash, and the hashes of a document are sorted
-        cell = base[o] + (((value[use] >> U64(32)) * k[o].astype(U64)) >> U64(32)).astype(np.int64)
-        parity = np.zeros(base[-1], U64)
-        filled = np.zeros(base[-1], bool)
-        if len(cell):
-            head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            parity[cell[head]] = np.bitwise_xor.reduceat(word[use], head)
-            filled[cell[head]] = True
-        d = np.repeat(np.arange(len(size)), k)
-        block = np.arange(base[-1]) - base[d]
-        enough = np.bincount(d[filled], minlength=len(size)) > bands.bound[band]
-        send = filled | ~enough[d]
-        place = band[d[send]].astype(U64) << U64(41) | block[send].astype(U64) << U64(1) | filled[send].astype(U64)
-        docs.append(d[send])
-        signs.append(mix(parity[send] ^ mix(place, 32 + seed)))
+        short &= (bands.blocks[band] > 0) & (size <= bands.partner[band])
+        for whole in (False, True):
+            use = short[owner] & (True if whole else ~common)
+            doc, block, parity, filled = blocks_of(owner[use], value[use], np.where(short, bands.blocks[band], 0))
+            short = short & (np.bincount(doc[filled], minlength=len(size)) <= bands.bound[band])
+            send = filled | short[doc] if whole else filled
+            place = band[doc[send]].astype(U64) << U64(42) | block[send].astype(U64) << U64(2) | filled[send].astype(U64) << U64(1) | U64(whole)
+            docs.append(doc[send])
+            signs.append(mix(parity[send] ^ mix(place, 32)))
     return np.concatenate(docs), np.concatenate(signs)
 
 
@@ -175,8 +183,26 @@ def class_table(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def signatures(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
-    """(sign, node) of every class; copies within a task send theirs once."""
+def heavy_shingles(docs: DataFrame, nodes: DataFrame, n: int = WORDS) -> np.ndarray:
+    """Shingles in at least three of about ``SAMPLE`` classes, sorted: a hint which shingles would crowd buckets.
+
+    The sample bounds what comes to the driver; results do not depend on it.
+    """
+    total = nodes.count()
+    some = nodes.select("node") if total <= SAMPLE else nodes.select("node").filter(F.col("node") < -(1 << 63) + (1 << 64) * SAMPLE // total)
+    sets = sets_of(docs, nodes, cut(some), n)
+
+    def run(batches):
+        for batch in batches:
+            raw, _ = raw_rows(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64))], ["shingle"])
+
+    often = sets.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n >= 3").select("shingle")
+    return np.sort(often.toArrow().column(0).to_numpy().astype(np.int64).view(U64))
+
+
+def signatures(docs: DataFrame, bands: Bands, shared, n: int = WORDS) -> DataFrame:
+    """(sign, node) of every class; copies within a task send theirs once. shared: the heavy shingles, broadcast."""
 
     def run(batches):
         words, seen = Words("blank"), np.zeros(0, U64)
@@ -190,21 +216,21 @@ def signatures(docs: DataFrame, bands: Bands, n: int = WORDS) -> DataFrame:
             fresh &= (size > 0) & ~np.isin(node, seen)
             seen = np.concatenate([seen, node[fresh]])
             use = fresh[owner]
-            d, sign = block_rows(owner[use], value[use], np.where(fresh, size, 0), bands)
+            d, sign = block_rows(owner[use], value[use], np.where(fresh, size, 0), bands, shared.value)
             yield pa.RecordBatch.from_arrays([signed(sign), signed(node[d])], ["sign", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "sign long, node long")
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(sign, node, head) for signatures that several classes share; head is the bucket's first class.
+    """(sign, node, head, prev) for signatures that several classes share: the bucket's first class and the one before.
 
     One shuffle and an external sort; the task then walks along the rows and remembers only the bucket it is in,
     so a bucket of any size passes.
     """
 
     def run(batches):
-        sign = head = None  # the open bucket
+        sign = head = last = None  # the open bucket
         single = True  # its first row is still held back
         for b in batches:
             s, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
@@ -213,27 +239,28 @@ def buckets(rows: DataFrame) -> DataFrame:
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
             s, v = s[new], v[new]
-            out_s, out_v, out_h = [], [], []
+            out_s, out_v, out_h, out_p = [], [], [], []
             if sign is not None and s[0] == sign:
                 mine = int(np.searchsorted(s, sign, "right"))
                 rest = v[:mine][v[:mine] != head]
                 if len(rest):
                     if single:
-                        out_s.append(s[:1]), out_v.append(np.array([head])), out_h.append(np.array([head]))
+                        out_s.append(s[:1]), out_v.append(np.array([head])), out_h.append(np.array([head])), out_p.append(np.array([head]))
                         single = False
-                    out_s.append(np.full(len(rest), sign)), out_v.append(rest), out_h.append(np.full(len(rest), head))
+                    out_s.append(np.full(len(rest), sign)), out_v.append(rest), out_h.append(np.full(len(rest), head)), out_p.append(np.r_[last, rest[:-1]])
+                    last = rest[-1]
                 s, v = s[mine:], v[mine:]
             if len(s):
                 start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 length = np.diff(np.r_[start, len(s)])
                 first = np.repeat(v[start], length)
                 many = np.repeat(length > 1, length)
-                out_s.append(s[many]), out_v.append(v[many]), out_h.append(first[many])
-                sign, head, single = s[-1], v[start[-1]], length[-1] == 1
+                out_s.append(s[many]), out_v.append(v[many]), out_h.append(first[many]), out_p.append(np.r_[v[0], v[:-1]][many])
+                sign, head, last, single = s[-1], v[start[-1]], v[-1], length[-1] == 1
             if out_s:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_s, out_v, out_h)], ["sign", "node", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_s, out_v, out_h, out_p)], ["sign", "node", "head", "prev"])
 
-    return rows.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(run, "sign long, node long, head long")
+    return rows.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(run, "sign long, node long, head long, prev long")
 
 
 def sketch_test(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -303,23 +330,62 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def resigned(members: DataFrame, docs: DataFrame, nodes: DataFrame, bands: Bands, seed: int, n: int = WORDS) -> DataFrame:
-    """(sign, node): the members of each bucket dealt out again by sketches under another seed."""
-    sets = sets_of(docs, nodes, cut(members.select("node").distinct()), n)
+def could_link(members: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, n: int = WORDS) -> DataFrame:
+    """The members (node, root, ...) of which enough shingles occur in another component of the members.
 
-    def run(batches):
-        for batch in batches:
-            raw, at = raw_rows(batch.column(1))
-            value, size = raw.view(np.uint64), np.diff(at) // 8
-            owner = np.repeat(np.arange(len(size)), size)
-            d, sign = block_rows(owner, value, size, bands, seed)
-            order = np.argsort(d, kind="stable")
-            at = np.searchsorted(d[order], np.arange(len(size) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(sign[order]))], ["node", "signs"])
+    A linked pair shares at least ``percent`` per cent of either set, so a node with more shingles that no
+    other component has cannot gain a link. Counts per shingle, no pairs; nodes that go may take others along, so it runs twice.
+    """
+    for _ in range(2):
+        placed = cut(members.select("node", "root").distinct())
+        sets = sets_of(docs, nodes, placed.select("node"), n)
+
+        def run(batches):
+            for batch in batches:
+                raw, at = raw_rows(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at) // 8))), pa.array(raw.view(np.int64))], ["node", "shingle"])
 
-    again = sets.mapInArrow(run, "node long, signs array<long>")
-    dealt = members.select("sign", "node").join(again, "node").select("sign", "node", F.explode("signs").alias("again"))
-    return dealt.select(F.xxhash64("sign", "again").alias("sign"), "node")
+        rows = cut(sets.mapInArrow(run, "node long, shingle long").join(placed, "node"))
+        abroad = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
+        met = rows.join(abroad, "shingle").groupBy("node").agg(F.count("*").alias("met"))
+        able = met.join(nodes.select("node", "n_shingles"), "node").filter(F.col("met") * 100 >= F.col("n_shingles") * percent).select("node")
+        members = cut(members.join(able, "node", "left_semi"))
+    return members
+
+
+def crowded_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of large buckets that pass the sketch test.
+
+    A bucket is cut into tiles of about ``TILE`` members and each pair of tiles is one bounded group, compared with
+    whole-array operations; only pairs that pass leave it.
+    """
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    rows = (members.select("sign", "node", "root", "rows").join(nodes.select("node", "n_shingles", "sketch"), "node")
+            .withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")}))
+    # tile t meets the tiles above it as the left side, itself and those below as the right side
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
+        F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
+    rows = rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        i, j, tile, node, root, size = (group.column(c).to_numpy() for c in ("i", "j", "tile", "node", "root", "n_shingles"))
+        sketch = group.column("sketch").to_pylist()
+        width = min(map(len, sketch)) // 8  # every sketch folds to the narrowest
+        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in sketch])
+        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        found = []
+        for x in left:
+            y = right[right > x] if i[0] == j[0] else right
+            y = y[root[y] != root[x]]
+            y = y[(size[y] * percent <= size[x] * 100) & (size[x] * percent <= size[y] * 100)]
+            apart = np.bitwise_count(folded[y] ^ folded[x]).sum(1).astype(np.int64)
+            y = y[apart * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return rows.groupBy("sign", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -335,29 +401,26 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     table = cut(class_table(docs, n))
     nodes = cut(table.filter("node is not null").groupBy("node")
                 .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    links = None
-
-    def test(pairs):
-        nonlocal links
-        good = cut(sketch_test(cut(pairs.distinct()), nodes, percent))
-        found = cut(verified(good, docs, nodes, percent, n))
-        links = found if links is None else links.unionByName(found)
-
-    members = cut(buckets(signatures(docs, bands, n)))
-    for level in range(LEVELS + 1):
-        test(members.filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")))
-        roots = components(links)
-        placed = members.join(roots, "node", "left").select("sign", "node", "head", F.coalesce("root", "node").alias("root"))
-        open_ = (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-                 .filter("lo <> hi and rows > 2").select("sign", "rows"))
-        rest = cut(placed.join(open_, "sign"))
-        close = rest if level == LEVELS else rest.filter(F.col("rows") <= SMALL_BUCKET)
-        x, y = close.filter("node <> head").select("sign", F.col("node").alias("a"), F.col("root").alias("ra")), close.filter("node <> head").select("sign", F.col("node").alias("b"), F.col("root").alias("rb"))
-        test(x.join(y, "sign").filter("a < b and ra <> rb").select("a", "b"))
-        far = rest.filter(F.col("rows") > SMALL_BUCKET)
-        if level == LEVELS or far.isEmpty():
-            break
-        members = cut(buckets(resigned(far, docs, nodes, bands, level + 1, n)))
+    shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, nodes, n))
+    members = cut(buckets(signatures(docs, bands, shared, n)))
+
+    # every bucket as a chain and a star
+    near = members.filter("node <> head").select("node", F.explode(F.array("head", "prev")).alias("other"))
+    near = cut(near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct())
+    links = cut(verified(cut(sketch_test(near, nodes, percent)), docs, nodes, percent, n))
+
+    # what still holds several components
+    placed = members.join(components(links), "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
+    open_ = (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
+             .filter("lo <> hi and rows > 2").groupBy("who", "rows").agg(F.min("sign").alias("sign")).select("sign", "rows"))
+    rest = could_link(cut(placed.join(open_, "sign").select("sign", "node", "root", "rows")), docs, nodes, percent, n)
+    few = rest.filter(F.col("rows") <= SMALL_BUCKET)
+    x, y = few.select("sign", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("sign", F.col("node").alias("b"), F.col("root").alias("rb"))
+    across = cut(x.join(y, "sign").filter("a < b and ra <> rb").select("a", "b").distinct())
+    again = sketch_test(across, nodes, percent).unionByName(crowded_pairs(rest.filter(F.col("rows") > SMALL_BUCKET), nodes, percent))
+    again = cut(again.distinct().join(near, ["a", "b"], "left_anti"))
+    links = links.unionByName(cut(verified(again, docs, nodes, percent, n)))
+
     roots = components(links)
     placed = table.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("least"))
