@@ -30,6 +30,11 @@ SUB = 2048  # windows at a time
 
 def pieces(words: Words, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word index, table row) of all character n-grams of the words, in word order."""
+    done = [_pieces(words, sums, start[lo: lo + 8192], end[lo: lo + 8192], lo) for lo in range(0, len(start), 8192)]  # bounded temporaries
+    return tuple(np.concatenate([d[i] for d in done] or [np.zeros(0, np.int32)]) for i in (0, 1))
+
+
+def _pieces(words: Words, sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     length = end - start
     who, row = [], []
     index = np.arange(len(start))
@@ -48,7 +53,7 @@ def pieces(words: Words, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -
     row.append(words.hashes(sums, start[w], end[w], 60))
     who, row = np.concatenate(who), np.concatenate(row)
     order = np.argsort(who, kind="stable")
-    return who[order], (row[order] & U64(CHARS - 1)).astype(np.int64)
+    return (who[order] + base).astype(np.int32), (row[order] & U64(CHARS - 1)).astype(np.int32)
 
 
 class Some:
@@ -244,15 +249,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
 
 def start_from_odds(net: Network, block: Block, y: np.ndarray) -> None:
     """Start the first coordinate of every table row from how much oftener its texts are labelled 1 than 0."""
-    doc_of_word = np.repeat(block.owner, np.minimum(block.size, STRIDE))  # a word counts in the window that starts nearest before it
-    span = np.concatenate([b + np.arange(s) for b, s in zip(block.begin, np.minimum(block.size, STRIDE), strict=True)] or [np.zeros(0, np.int64)])
-    pair = np.unique(doc_of_word * len(block.word_row) + block.word[span]) if len(span) else np.zeros(0, np.int64)
-    d, w = np.divmod(pair, max(1, len(block.word_row)))
-    head, many = np.searchsorted(block.piece_word, np.arange(len(block.word_row))), np.bincount(block.piece_word, minlength=len(block.word_row))
-    rows = np.repeat(head[w], many[w]) + np.arange(many[w].sum()) - np.repeat(np.cumsum(many[w]) - many[w], many[w])
-    for name, docs, row, size in (("words", d, block.word_row[w], WORDS_), ("chars", np.repeat(d, many[w]), block.piece_row[rows], CHARS)):
-        doc, at = np.divmod(np.unique(docs * size + row), size)
-        one, none = (np.bincount(at, (y[doc] == v), minlength=size) for v in (1, 0))
+    head = np.searchsorted(block.piece_word, np.arange(len(block.word_row) + 1))
+    seen = {"words": np.zeros((2, WORDS_)), "chars": np.zeros((2, CHARS))}
+    for d in range(len(y)):
+        some = np.flatnonzero(block.owner == d)
+        used = np.unique(np.concatenate([block.word[block.begin[w]: block.begin[w] + block.size[w]] for w in some]))
+        seen["words"][int(y[d])][np.unique(block.word_row[used])] += 1
+        rows = [block.piece_row[head[w]: head[w + 1]] for w in used]
+        if rows:
+            seen["chars"][int(y[d])][np.unique(np.concatenate(rows))] += 1
+    for name, (none, one) in seen.items():
         odds = np.log((one + 0.5) / (y.sum() + 1)) - np.log((none + 0.5) / ((1 - y).sum() + 1))
         doubt = 2 * np.sqrt(1 / (one + 0.5) + 1 / (none + 0.5))  # only what two standard errors leave
         net.w[name][:, 0] = np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0)
@@ -274,10 +280,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, fit_bytes:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("h"))).select("text", "toxic", "h")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, fit_bytes: int = 20_000) -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, fit_bytes: int = 8_000) -> Network:
     """Learn from labelled rows outside the held-out quarter; see ``training_rows`` for the bound."""
     rows = sorted({(r.h, r.text, r.toxic) for r in training_rows(docs, labels, per_class, fit_bytes).collect()})
-    return fit([r[1] for r in rows], [int(r[2]) for r in rows])
+    texts, known = [r[1] for r in rows], [int(r[2]) for r in rows]
+    del rows
+    return fit(texts, known)
 
 
 def score_toxicity(docs: DataFrame, net: Network) -> DataFrame:
