@@ -60,3 +60,10 @@ def op9(spark, folder):
 def op2(spark, folder):
     from .decontaminate import contaminated
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@registered("op4_byte_bpe")
+def op4(spark, folder):
+    from .merge_replay import decode, encode
+    ids = encode(read(spark, folder, "documents").select("doc_id", "text"))
+    return decode(ids).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
