@@ -67,3 +67,19 @@ def op4(spark, folder):
     from .merge_replay import decode, encode
     ids = encode(read(spark, folder, "documents").select("doc_id", "text"))
     return decode(ids).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered("op8_topk_search", """
+with sound as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id query_id, c.vec_id vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint score
+  from sound q join sound c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, rank::int rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from scored) where rank <= 5""")
+def op8(spark, folder):
+    from .topk_search import top_k
+    return top_k(read(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
