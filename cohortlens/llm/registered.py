@@ -83,3 +83,17 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 def op8(spark, folder):
     from .topk_search import top_k
     return top_k(read(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+@registered("op1_sharding")
+def op1(spark, folder):
+    from .sharding import shard
+    return shard(read(spark, folder, "documents"))
+
+
+@registered("op5_token_files")
+def op5(spark, folder):
+    from .token_files import checksums, fresh_path, read_tokens, write_tokens
+    path = fresh_path(spark)
+    write_tokens(read(spark, folder, "documents"), path)
+    return checksums(read_tokens(spark, path))
