@@ -97,3 +97,17 @@ def op5(spark, folder):
     path = fresh_path(spark)
     write_tokens(read(spark, folder, "documents"), path)
     return checksums(read_tokens(spark, path))
+
+
+@registered("op6_language_crf")
+def op6(spark, folder):
+    from .language_crf import label_languages, train
+    from .toxicity import held_out
+    docs = read(spark, folder, "documents")
+    return label_languages(docs, *train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@registered("op7_token_counts")
+def op7(spark, folder):
+    from .trie_counts import count_tokens
+    return count_tokens(read(spark, folder, "documents"))
