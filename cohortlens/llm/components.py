@@ -9,7 +9,7 @@ from cohortlens.operators.lineage import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b): root is the smallest node it can reach.
+    """(node, root) for the nodes of ``links`` (a, b) but the roots: root is the smallest node that node can reach.
 
     Each round hangs every node's neighbours under the smallest of them, first the larger neighbours, then the
     smaller ones; the rounds grow with the logarithm of the longest path. Every round is written, so a lost
