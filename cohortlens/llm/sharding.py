@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.lineage import cut
 
-FINE, CELLS = 64, 256
+FINE, CELLS = 4, 256
 SLOT_ROWS = 4096
 DIMENSIONS = ["size", "tokens", "rows"]
 
