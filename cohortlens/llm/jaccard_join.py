@@ -16,7 +16,7 @@ difference is at most D = (a + b) * (100 - t) / (100 + t).
 Texts with equal sets are one class from the start. A meeting place (bucket) never yields all its pairs: each member
 is paired with the bucket's first and with the one before it, the verified links are joined to components, and only buckets that
 still hold several components go on, one of those with the same members, without members whose shingles no other
-component has: small ones with the pairs across components, large ones in tiles whose sketches are compared in place.
+component has: their sketches are compared in place, tile by tile.
 Sets and classes are known by 64-bit hashes.
 """
 
@@ -34,7 +34,6 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-SMALL_BUCKET = 128  # up to here the pairs across components are fewer than 64 a row
 TILE = 512
 SAMPLE = 4096  # classes in which heavy shingles are looked for
 STEP = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F),
@@ -353,11 +352,11 @@ def could_link(members: DataFrame, docs: DataFrame, nodes: DataFrame, percent: i
     return members
 
 
-def crowded_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of large buckets that pass the sketch test.
+def pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of the buckets (sign, node, root, rows) that pass the sketch test.
 
-    A bucket is cut into tiles of about ``TILE`` members and each pair of tiles is one bounded group, compared with
-    whole-array operations; only pairs that pass leave it.
+    A bucket is cut into tiles of about ``TILE`` members and each pair of tiles is one bounded group, compared in place
+    with whole-array operations; only pairs that pass leave it.
     """
     tiles = F.ceil(F.col("rows") / TILE).cast("int")
     rows = (members.select("sign", "node", "root", "rows").join(nodes.select("node", "n_shingles", "sketch"), "node")
@@ -367,25 +366,45 @@ def crowded_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
         F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
     rows = rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        i, j, tile, node, root, size = (group.column(c).to_numpy() for c in ("i", "j", "tile", "node", "root", "n_shingles"))
-        sketch = group.column("sketch").to_pylist()
-        width = min(map(len, sketch)) // 8  # every sketch folds to the narrowest
-        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in sketch])
-        left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in t.column_names[:-1])
+        raw, at = raw_rows(t.column("sketch").chunk(0))
+        head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         found = []
-        for x in left:
-            y = right[right > x] if i[0] == j[0] else right
-            y = y[root[y] != root[x]]
-            y = y[(size[y] * percent <= size[x] * 100) & (size[x] * percent <= size[y] * 100)]
-            apart = np.bitwise_count(folded[y] ^ folded[x]).sum(1).astype(np.int64)
-            y = y[apart * (100 + percent) <= (size[y] + size[x]) * (100 - percent)]
-            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
+            width = int(np.diff(at[lo: hi + 1]).min()) // 8  # every sketch folds to the narrowest
+            folded = np.array([np.bitwise_xor.reduce(raw[at[r]: at[r + 1]].view(np.uint64).reshape(-1, width), axis=0) for r in range(lo, hi)])
+            n, r, c = size[lo:hi], root[lo:hi], node[lo:hi]
+            left = np.arange(hi - lo) if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == i[lo])
+            right = left if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == j[lo])
+            for part in range(0, len(left), 64):  # bounded temporaries
+                x = left[part: part + 64]
+                apart = np.bitwise_count(folded[x][:, None] ^ folded[right][None]).sum(2, dtype=np.int64)
+                nx, ny = n[x][:, None], n[right][None]
+                good = ((apart * (100 + percent) <= (nx + ny) * (100 - percent)) & (nx * percent <= ny * 100) & (ny * percent <= nx * 100)
+                        & (r[x][:, None] != r[right][None]) & (c[x][:, None] < c[right][None] if i[lo] == j[lo] else True))
+                p, q = np.nonzero(good)
+                found.append(np.stack([c[x[p]], c[right[q]]], axis=1))
+        found = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["a", "b"])
 
-    return rows.groupBy("sign", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches):
+        held = None  # the group that may go on in the next batch
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            key = [t.column(c).to_numpy() for c in ("sign", "i", "j")]
+            last = int(np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)).max(initial=-1)) + 1
+            held = t.slice(last)
+            if last:
+                yield compared(t.slice(0, last))
+        if held is not None and held.num_rows:
+            yield compared(held)
+
+    return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -414,10 +433,7 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     open_ = (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
              .filter("lo <> hi and rows > 2").groupBy("who", "rows").agg(F.min("sign").alias("sign")).select("sign", "rows"))
     rest = could_link(cut(placed.join(open_, "sign").select("sign", "node", "root", "rows")), docs, nodes, percent, n)
-    few = rest.filter(F.col("rows") <= SMALL_BUCKET)
-    x, y = few.select("sign", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("sign", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = cut(x.join(y, "sign").filter("a < b and ra <> rb").select("a", "b").distinct())
-    again = sketch_test(across, nodes, percent).unionByName(crowded_pairs(rest.filter(F.col("rows") > SMALL_BUCKET), nodes, percent))
+    again = pairs_across(rest, nodes, percent)
     again = cut(again.distinct().join(near, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(verified(again, docs, nodes, percent, n)))
 
