@@ -262,9 +262,8 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def oriented(vectors: np.ndarray) -> np.ndarray:
-    """Rows flipped so that the largest absolute loading is positive."""
-    at = np.abs(vectors).argmax(axis=1)
-    return vectors * np.sign(vectors[np.arange(len(vectors)), at])[:, None]
+    """Each row with the sign that makes its strongest loading positive: flipped where the lowest lies farther from 0 than the highest."""
+    return np.where((-vectors.min(axis=1) > vectors.max(axis=1))[:, None], -vectors, vectors)
 
 
 def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

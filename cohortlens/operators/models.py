@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -94,12 +94,16 @@ def errors(pred: DataFrame, y: str, p: str = "prediction") -> DataFrame:
     return pred.agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def forecast(df: DataFrame, features: list[str], y: str, year: str, last_train: int, *, model: str = "linear", seed: int = 42,
-             keep: tuple[str, ...] = ("unitid",), iterations: int = 20, depth: int = 3) -> ModelResult:
-    """Temporal split, then a linear or boosted regression; MAE and RMSE on the later years."""
+def forecast(df: DataFrame, features: list[str], y: str, year: str, last_train: int | None, *, model: str = "linear", seed: int = 42,
+             keep: tuple[str, ...] = ("unitid",), iterations: int = 100, depth: int = 3) -> ModelResult:
+    """Temporal split (random 25% of entities held out if ``last_train`` is None), then a linear or boosted regression; MAE and RMSE on the rest."""
     from .cleaning import split_by_year
     d = df.dropna(subset=[*features, y]).select(*keep, year, F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in features])
-    train, test = split_by_year(cut(d), year, last_train)
+    d = cut(d)
+    train, test = split_by_year(d, year, last_train) if last_train is not None else (d.filter(hash_fold(keep[0], 4, seed) != 0), d.filter(hash_fold(keep[0], 4, seed) == 0))
+    for part, name in ((train, "training"), (test, "test")):
+        if part.isEmpty():
+            raise ValueError(f"no complete {name} rows")
     est = (LinearRegression(featuresCol="_x", labelCol=y, solver="normal") if model == "linear" else
            GBTRegressor(featuresCol="_x", labelCol=y, seed=seed, maxIter=iterations, maxDepth=depth))
     fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), est]).fit(train)
@@ -113,6 +117,7 @@ def forecast(df: DataFrame, features: list[str], y: str, year: str, last_train:
 def preparation(numeric: list[str], categorical: list[str], *, indicators: bool = True, scale: bool = True) -> list:
     """Median imputation (with missing indicators), scaling and one-hot coding as pipeline stages.
 
+    The alphabetically first level of a categorical is the reference level; a level not seen in fitting is an error.
     The caller adds the indicator columns with ``with_indicators`` so that they exist at fit time.
     """
     filled = [f"_f_{c}" for c in numeric]
@@ -121,7 +126,7 @@ def preparation(numeric: list[str], categorical: list[str], *, indicators: bool
         stages.append(StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True))
     parts = ["_scaled" if scale else "_num", *([f"_miss_{c}" for c in numeric] if indicators else [])]
     for c in categorical:
-        stages += [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep"), OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}")]
+        stages += [StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetDesc"), OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}")]
         parts.append(f"_h_{c}")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="_x")]
 
@@ -139,7 +144,7 @@ def out_of_fold(df: DataFrame, stages: list, folds: int, output: Column, name: s
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def regression_models(prep: list, y: str, seed: int = 42, iterations: int = 20) -> dict[str, list]:
+def regression_models(prep: list, y: str, seed: int = 42, iterations: int = 300) -> dict[str, list]:
     lin = dict(featuresCol="_x", labelCol=y)
     return {"OLS": [*prep, LinearRegression(**lin)], "ridge": [*prep, LinearRegression(**lin, regParam=0.01, elasticNetParam=0.0)],
             "lasso": [*prep, LinearRegression(**lin, regParam=0.001, elasticNetParam=1.0)],
@@ -162,7 +167,7 @@ def mean_baseline(df: DataFrame, y: str) -> DataFrame:
 
 
 def compare_regressions(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42,
-                        iterations: int = 20, names: tuple[str, ...] = ("OLS", "ridge", "lasso", "gradient boosting")) -> DataFrame:
+                        iterations: int = 300, names: tuple[str, ...] = ("OLS", "ridge", "lasso", "gradient boosting")) -> DataFrame:
     """Cross-validated RMSE of the mean, OLS, ridge, lasso and boosting on the same folds."""
     d = cut(with_indicators(df.select(entity, y, *numeric, *categorical), numeric).withColumn("fold", hash_fold(entity, folds, seed)))
     parts = [fold_rmse(mean_baseline(d, y), y, "baseline (mean)")]
@@ -239,19 +244,20 @@ def subgroup_audit(df: DataFrame, by: str, y: str, p: str, bins: int = 3, thresh
 PROBABILITY = vector_to_array
 
 
-def classification_models(numeric: list[str], categorical: list[str], y: str, seed: int = 42, iterations: int = 20) -> dict[str, list]:
+def classification_models(numeric: list[str], categorical: list[str], y: str, n_train: int, seed: int = 42, iterations: int = 300) -> dict[str, list]:
+    """Unit penalty strength: 1 / n_train in Spark's scale, where the loss is a mean."""
     lab = dict(featuresCol="_x", labelCol=y)
-    return {"logistic": [*preparation(numeric, categorical, indicators=False), LogisticRegression(**lab, regParam=1e-4, standardization=False)],
+    return {"logistic": [*preparation(numeric, categorical, indicators=False), LogisticRegression(**lab, regParam=1 / max(1, n_train), standardization=False)],
             "gradient boosting": [*preparation(numeric, categorical, scale=False), GBTClassifier(**lab, seed=seed, maxIter=iterations, maxDepth=3)]}
 
 
 def classify_oof(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, model: str, *, folds: int = 5, seed: int = 42,
-                 iterations: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+                 iterations: int = 300, carry: tuple[str, ...] = ()) -> DataFrame:
     """Out-of-fold probabilities of one model on stratified folds: (entity, y, p, carried columns)."""
     cols = list(dict.fromkeys([entity, y, *numeric, *categorical, *carry]))
     d = stratified_folds(df.select(*cols).withColumn(y, F.col(y).cast("double")), y, entity, folds, seed)
     d = cut(with_indicators(d, numeric))
-    stages = classification_models(numeric, categorical, y, seed, iterations)[model]
+    stages = classification_models(numeric, categorical, y, d.count() * (folds - 1) // folds, seed, iterations)[model]
     oof = out_of_fold(d, stages, folds, F.get(vector_to_array("probability"), F.lit(1)))
     return cut(oof.select(entity, y, "fold", "p", *[c for c in carry if c not in (entity, y)]))
 
@@ -265,9 +271,10 @@ def prevalence_metrics(df: DataFrame, y: str) -> DataFrame:
 
 
 def standardised_coefficients(df: DataFrame, numeric: list[str], categorical: list[str], y: str, seed: int = 42) -> DataFrame:
-    """Logistic coefficients per standard deviation, largest magnitude first (numeric terms)."""
-    d = df.select(*numeric, *categorical, F.col(y).cast("double").alias(y))
-    model = Pipeline(stages=classification_models(numeric, categorical, y, seed)["logistic"]).fit(cut(d))
-    coef = model.stages[-1].coefficients.toArray()[:len(numeric)]
-    rows = sorted(((n, float(c)) for n, c in zip(numeric, coef)), key=lambda r: -abs(r[1]))
+    """Logistic coefficients per standard deviation, largest magnitude first; a level's is against the reference level."""
+    d = cut(df.select(*numeric, *categorical, F.col(y).cast("double").alias(y)))
+    model = Pipeline(stages=classification_models(numeric, categorical, y, d.count(), seed)["logistic"]).fit(d)
+    levels = [f"{s.getInputCol()}={level}" for s in model.stages if isinstance(s, StringIndexerModel) for level in s.labels[:-1]]
+    coef = model.stages[-1].coefficients.toArray()
+    rows = sorted(((n, float(c)) for n, c in zip([*numeric, *levels], coef, strict=True)), key=lambda r: -abs(r[1]))
     return df.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, feature string, log_odds_per_sd double")

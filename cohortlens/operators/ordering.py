@@ -4,52 +4,34 @@ A window over one group, or Spark's exact ``percentile``, puts a whole group int
 Here a third of all rows may share one group, or even one value:
 
 1. rows are first counted per (group, value), so ties cost one row, and the counts are written
-   once as a table in the shared folder (every later step reads them several times);
-2. if the table is proven small (its row count is known from the file footers), one ordinary
-   window finishes the job;
-3. otherwise the sorted (group, value) sequence is cut into buckets of about equal row count. The
-   cuts come from the K rows with the smallest hash: a uniform sample that is the same in every
-   re-execution, so both uses below agree even when a lost executor forces recomputation;
-4. totals per (group, bucket) give each bucket its starting offset (a window over at most
-   B rows per group), and the running sum inside a bucket is an ordinary, bounded window.
-
-Nothing is collected, and groups need not fit anywhere.
+   once as a table in the shared folder; its row count is then known from the file footers;
+2. the sorted (group, value) sequence is dealt into ranges of about ``BUCKET_ROWS`` rows, at least two, and
+   written with the number of its range: the number then stays the same whatever is recomputed;
+3. totals per (group, range) give each range its starting offset (a window over the ranges of a
+   group), and the running sum inside a range is an ordinary, bounded window.
+
+There is one path for every size. Nothing is collected, and groups need not fit anywhere.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
-SMALL_ROWS = 1_000_000  # up to here a group cannot outgrow one task, whatever the skew
-SAMPLE_PER_BUCKET = 16
-MAX_BUCKETS = 2048
+BUCKET_ROWS = 250_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(n, MAX_BUCKETS))
+def bucket_count(rows: int) -> int:
+    return rows // BUCKET_ROWS + 2
 
 
-def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add _bucket: position of the row's key among the sampled cut points (binary search)."""
-    buckets = bucket_count(counts)
-    key = F.struct(*keys)
-    sample = (counts.select(key.alias("k"), F.xxhash64(*keys).alias("h"))
-              .orderBy("h", "k").limit(SAMPLE_PER_BUCKET * buckets))
-    cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("s")).select(
-        F.filter("s", lambda _, i: F.pmod(i + 1, F.lit(SAMPLE_PER_BUCKET)) == 0).alias("cuts"))
-    steps = [2**i for i in range(math.ceil(math.log2(buckets + 1)) - 1, -1, -1)]
-    keyed = counts.withColumns({"_key": key, "_cuts": cuts.scalar()})
-    position = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col("_key"), at + step).otherwise(at))
-    return keyed.withColumn("_bucket", position).drop("_key", "_cuts")
+def _bucketed(base: DataFrame, keys: list[str]) -> DataFrame:
+    """The written table with _bucket, the number of the row's range among the sorted keys."""
+    ranges = base.repartitionByRange(bucket_count(base.count()), *keys)
+    return cut(ranges.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running(counts: DataFrame, groups: list[str], order: list[str], measures: list[str]) -> DataFrame:
@@ -60,16 +42,7 @@ def running(counts: DataFrame, groups: list[str], order: list[str], measures: li
     """
     gs = groups or ["_all"]
     base = counts if groups else counts.withColumn("_all", F.lit(0))
-    base = cut(base)
-    if base.count() <= SMALL_ROWS:
-        before, whole = W.partitionBy(*gs).orderBy(*order).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*gs)
-        return base.select(*counts.columns, *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
-                           *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
-    return _running_bucketed(base, gs, order, measures, counts.columns)
-
-
-def _running_bucketed(base: DataFrame, gs: list[str], order: list[str], measures: list[str], keep: list[str]) -> DataFrame:
-    keyed = _bucketed(base, gs + order)
+    keyed = _bucketed(cut(base), gs + order)
     per_bucket = keyed.groupBy(*gs, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     before = W.partitionBy(*gs).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*gs)
@@ -84,22 +57,29 @@ def _running_bucketed(base: DataFrame, gs: list[str], order: list[str], measures
         same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     out = local.join(offsets, same)
     out = out.withColumns({f"{m}_below": F.col(f"_l_{m}") + F.col(f"_o_{m}") for m in measures})
-    return out.select(*keep, *[f"{m}_below" for m in measures], *[f"{m}_total" for m in measures])
+    return out.select(*counts.columns, *[f"{m}_below" for m in measures], *[f"{m}_total" for m in measures])
+
+
+def comparable(df: DataFrame, value: Column | str, exact: bool) -> Column:
+    """The value as double, NaN as NULL; with ``exact`` whole numbers and decimals keep their type."""
+    v = F.col(value) if isinstance(value, str) else value
+    if exact and df.select(v.alias("v")).dtypes[0][1].startswith(("tinyint", "smallint", "int", "bigint", "decimal")):
+        return v
+    return F.nanvl(v.cast("double"), F.lit(None).cast("double"))
 
 
-def value_counts(df: DataFrame, groups: list[str], value: Column | str, extra: dict[str, Column] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, groups: list[str], value: Column | str, extra: dict[str, Column] | None = None, *, exact: bool = False) -> DataFrame:
     """Rows per (groups, value); rows with a missing value or group key are left out."""
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    base = df.withColumn("_value", F.nanvl(v, F.lit(None).cast("double"))).filter(F.col("_value").isNotNull())
+    base = df.withColumn("_value", comparable(df, value, exact)).filter(F.col("_value").isNotNull())
     for g in groups:
         base = base.filter(F.col(g).isNotNull())
     aggs = [F.count("*").alias("n")] + [c.alias(k) for k, c in (extra or {}).items()]
     return base.groupBy(*groups, "_value").agg(*aggs)
 
 
-def ranked_values(df: DataFrame, groups: list[str], value: Column | str) -> DataFrame:
+def ranked_values(df: DataFrame, groups: list[str], value: Column | str, *, exact: bool = False) -> DataFrame:
     """Distinct values with n, n_below and n_total per group."""
-    return running(value_counts(df, groups, value), groups, ["_value"], ["n"])
+    return running(value_counts(df, groups, value, exact=exact), groups, ["_value"], ["n"])
 
 
 def _order_statistic(index: Column) -> Column:
@@ -145,11 +125,11 @@ def picks(df: DataFrame, groups: list[str], value: Column | str, probs: dict[str
 
 def average_rank(df: DataFrame, groups: list[str], value: str, name: str = "rank", *, descending: bool = False) -> DataFrame:
     """Average rank (ties share the mean of their positions); missing values get a NULL rank."""
-    r = ranked_values(df, groups, value)
+    r = ranked_values(df, groups, value, exact=True)
     below = F.col("n_total") - F.col("n_below") - F.col("n") if descending else F.col("n_below")
     table = r.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("_value"),
                      (below + (F.col("n") + 1) / 2).alias(name))
-    on = F.col(value).cast("double") == F.col("_value")
+    on = comparable(df, value, True) == F.col("_value")
     for g in groups:
         on = on & (F.col(g) == F.col(f"_r_{g}"))
     return df.join(table, on, "left").drop("_value", *[f"_r_{g}" for g in groups])

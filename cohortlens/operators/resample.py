@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from . import ordering
+from .guards import assert_unique
 from .lineage import cut
 
 
@@ -22,13 +23,21 @@ def hash32(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def hash60(*parts: Column | str | int) -> Column:
+    """Uniform 60-bit integer: the first 15 hex digits of the same md5. For positions, whose number may pass 2^32."""
+    cols = [p if isinstance(p, Column) else F.lit(str(p)) if isinstance(p, int) else F.col(p) for p in parts]
+    text = F.concat_ws("|", *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """Uniform in (0, 1)."""
     return (hash32(*parts) + 0.5) / 4294967296.0
 
 
 def positions(df: DataFrame, group: str, entity: str, cols: list[str]) -> DataFrame:
-    """Rows with a dense 0-based position inside their group, and the group size."""
+    """Rows with a dense 0-based position inside their group, and the group size. An entity must stand once in its group."""
+    df = assert_unique(df, [group, entity])
     at = ordering.row_positions(df.select(group, entity), [group], [entity]).select(
         group, entity, (F.col("position") - 1).alias("pos"), F.col("n_total").alias("size"))
     return cut(at.join(df.select(group, entity, *cols), [group, entity]))
@@ -38,17 +47,23 @@ def bootstrap_rows(df: DataFrame, group: str, entity: str, cols: list[str], reps
     """Resampled rows (rep, group, cols): every group is drawn with replacement to its own size."""
     at = positions(df, group, entity, cols)
     draws = at.select(group, "pos", "size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    idx = F.pmod(hash32(seed, group, "rep", "pos"), F.col("size"))
+    idx = F.pmod(hash60(seed, group, "rep", "pos"), F.col("size"))
     draws = draws.select(F.col(group).alias("_g"), "rep", idx.alias("_idx"))
     return draws.join(at.select(group, "pos", *cols), (F.col("_g") == F.col(group)) & (F.col("_idx") == F.col("pos"))).select("rep", group, *cols)
 
 
-def bootstrap_median_difference(df: DataFrame, group: str, entity: str, value: str, a: str, b: str, *, reps: int = 2000,
-                                level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of median(a) - median(b) under independent resampling."""
-    rows = bootstrap_rows(df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()), group, entity, [value], reps, seed)
-    med = cut(ordering.medians(rows, ["rep", group], value, "m"))
-    diff = med.groupBy("rep").agg((F.max(F.when(F.col(group) == a, F.col("m"))) - F.max(F.when(F.col(group) == b, F.col("m")))).alias("d"))
+def bootstrap_interval(df: DataFrame, group: str, entity: str, value: str, a: str, b: str | None = None, *, statistic: str = "median", reps: int = 2000,
+                       level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Percentile interval of the median or mean of group a, or of its difference from group b, under independent resampling."""
+    rows = bootstrap_rows(df.filter(F.col(group).isin(*([a] if b is None else [a, b])) & F.col(value).isNotNull()), group, entity, [value], reps, seed)
+    if statistic == "median":
+        each = cut(ordering.medians(rows, ["rep", group], value, "m"))
+    elif statistic == "mean":
+        each = rows.groupBy("rep", group).agg(F.avg(value).alias("m"))
+    else:
+        raise ValueError(f"unknown statistic {statistic}")
+    of = lambda g: F.max(F.when(F.col(group) == g, F.col("m")))
+    diff = each.groupBy("rep").agg((of(a) if b is None else of(a) - of(b)).alias("d"))
     tail = (1 - level) / 2
     return ordering.quantiles(diff, [], "d", {"low": tail, "high": 1 - tail})
 

@@ -24,17 +24,19 @@ from .resample import uniform
 
 def feature_vectors(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     """Complete rows, standardised with the population sd, as one vector column."""
+    if df.dropna(subset=cols).isEmpty():
+        raise ValueError("no complete rows to segment")
     z = standardise(df.dropna(subset=cols).select(*keep, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
     return cut(VectorAssembler(inputCols=cols, outputCol="features").transform(z).drop(*cols))
 
 
-def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = (0,), max_iter: int = 40):
+def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(10)), max_iter: int = 40):
     """Best of several seeds by within-cluster cost."""
     fits = [KMeans(k=k, seed=s, maxIter=max_iter, initSteps=4).fit(v) for s in seeds]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def segment(df: DataFrame, cols: list[str], keep: list[str], k: int, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+def segment(df: DataFrame, cols: list[str], keep: list[str], k: int, seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
     """Rows with their segment."""
     v = feature_vectors(df, cols, keep)
     return fit_kmeans(v, k, seeds).transform(v).select(*keep, F.col("prediction").alias("segment"))
@@ -45,7 +47,7 @@ def mixture_bic(model, n: int, p: int) -> float:
     return -2 * model.summary.logLikelihood + params * math.log(n)
 
 
-def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...] = (0, 1), mixture: bool = True) -> DataFrame:
+def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...] = tuple(range(20)), mixture: bool = True) -> DataFrame:
     """Per k: inertia, silhouette, mixture BIC and the smallest cluster."""
     n, rows = v.count(), []
     ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
@@ -68,7 +70,7 @@ def stability(v: DataFrame, entity: str, k: int, runs: int = 30, share: float =
     parts = []
     for r in range(runs):
         sub = full.filter(uniform(seed, r, entity) < share)
-        labelled = fit_kmeans(sub.select("features"), k, (seed + r,)).transform(sub)
+        labelled = fit_kmeans(sub.select("features"), k, tuple(seed + r + i for i in range(10))).transform(sub)
         parts.append(adjusted_rand(labelled, "full", "prediction").withColumn("run", F.lit(r)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -82,8 +84,8 @@ def mixture_agreement(v: DataFrame, entity: str, k: int, seed: int = 0) -> DataF
 
 def added_block_sensitivity(df: DataFrame, base: list[str], added: list[str], entity: str, k: int) -> DataFrame:
     """Agreement of the segmentation with and without an added feature block."""
-    a = segment(df, base, [entity], k, (0,)).withColumnRenamed("segment", "a")
-    b = segment(df, [*base, *added], [entity], k, (0,)).withColumnRenamed("segment", "b")
+    a = segment(df, base, [entity], k).withColumnRenamed("segment", "a")
+    b = segment(df, [*base, *added], [entity], k).withColumnRenamed("segment", "b")
     return adjusted_rand(a.join(b, entity), "a", "b")
 
 

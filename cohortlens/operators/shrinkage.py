@@ -28,7 +28,7 @@ def sufficient_counts(df: DataFrame, group: str, k: str, n: str) -> DataFrame:
 
 
 def _solve(h: pd.DataFrame) -> tuple[float, float, int]:
-    """Maximise the beta-binomial likelihood over log a, log b by damped Newton steps."""
+    """Maximise the beta-binomial likelihood over log a, log b by damped Newton steps; an error if they do not settle."""
     part = {kind: (g["x"].to_numpy(float), g["w"].to_numpy(float)) for kind, g in h.groupby("kind")}
     (k, wk), (f, wf), (n, wn) = part["k"], part["f"], part["n"]
     m = wn.sum()
@@ -60,22 +60,25 @@ def _solve(h: pd.DataFrame) -> tuple[float, float, int]:
         moved = np.abs(scale * step).max()
         if scale > 1e-8:
             a, b, best = na, nb, new
-        if moved < 1e-10 or np.abs(grad).max() < 1e-9 * m or a + b > 1e8:
-            break
-    return float(a), float(b), int(m)
+        stalled = scale <= 1e-8 and np.abs(grad).max() < 1e-4 * m  # no ascent left at this precision
+        if moved < 1e-10 or np.abs(grad).max() < 1e-9 * m or stalled or a + b > 1e8:  # beyond that the prior is a point
+            return float(a), float(b), int(m)
+    raise RuntimeError(f"beta-binomial fit did not converge for {int(m)} entities")
 
 
 def fit_priors(df: DataFrame, group: str, k: str, n: str) -> DataFrame:
-    """Maximum-likelihood Beta(a, b) per group; groups with fewer than three entities are left out."""
-    counts = sufficient_counts(df, group, k, n)
+    """Maximum-likelihood Beta(a, b) per group; a and b are null for groups with fewer than three entities."""
+    every = sufficient_counts(df, group, k, n)
+    sizes = every.filter("kind = 'n'").groupBy(F.col(group).alias("_g")).agg(F.sum("w").alias("_m"))
+    counts = every.join(sizes.filter("_m >= 3"), F.col(group).eqNullSafe(F.col("_g"))).select(every.columns)
     gtype = counts.schema[group].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.loc[pdf["kind"] == "n", "w"].sum() < 3:
-            return pd.DataFrame({group: [], "a": [], "b": [], "n_entities": []})
         a, b, m = _solve(pdf)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "a": [a], "b": [b], "n_entities": [m]})
     fitted = counts.groupBy(group).applyInPandas(fit, f"{group} {gtype}, a double, b double, n_entities long")
+    none = F.lit(None).cast("double")
+    fitted = fitted.unionByName(sizes.filter("_m < 3").select(F.col("_g").alias(group), none.alias("a"), none.alias("b"), F.col("_m").alias("n_entities")))
     s = F.col("a") + F.col("b")
     return fitted.withColumns({"prior_mean": F.col("a") / s, "prior_strength": s,
                                "prior_sd": F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))})
@@ -83,7 +86,10 @@ def fit_priors(df: DataFrame, group: str, k: str, n: str) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(specfun.beta_ppf(p.to_numpy(), a.to_numpy(), b.to_numpy()))
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(p), np.nan)
+    out[known] = specfun.beta_ppf(p.to_numpy()[known], a.to_numpy()[known], b.to_numpy()[known])
+    return pd.Series(out).astype(object).where(known, None)
 
 
 def posterior(df: DataFrame, k: str, n: str, a: str = "a", b: str = "b") -> DataFrame:
@@ -100,5 +106,5 @@ def interval(df: DataFrame, k: str, n: str, level: float = 0.9, a: str = "a", b:
 
 
 def shrink(df: DataFrame, priors: DataFrame, group: str, k: str, n: str, level: float = 0.9) -> DataFrame:
-    j = usable(df, k, n).join(priors.select(group, "a", "b"), group)
+    j = usable(df, k, n).join(priors.select(group, "a", "b"), group, "left")
     return interval(posterior(j, k, n), k, n, level)

@@ -78,6 +78,7 @@ def _(t: Tables):
 
 
 _HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
+_HASH60 = "('0x' || substr(md5({}), 1, 15))::bigint"
 _BOOT = """
     , d as (select r_name g, unitid * 10000 + survey_year id, completers / cohort_size v from sup_panel join nation on control = n_nationkey
       join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')),
@@ -90,23 +91,32 @@ def _two_boards(t: Tables):
 
 
 @query("t05_bootstrap_interval", _BOOT + f"""
-    , draws as (select g, rep, {_HASH.format("'11|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 199)) rep)),
+    , draws as (select g, rep, {_HASH60.format("'11|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 1999)) rep)),
     m as (select rep, draws.g, median(v) m from draws join pos_t on draws.g = pos_t.g and draws.idx = pos_t.pos group by 1, 2),
     df as (select rep, max(m) filter (g = 'ASIA') - max(m) filter (g = 'EUROPE') d from m group by 1)
     select round(quantile_cont(d, 0.025), 6) low, round(quantile_cont(d, 0.975), 6) high from df""", "sup_panel")
 def _(t: Tables):
-    b = rs.bootstrap_median_difference(_two_boards(t), "g", "id", "v", "ASIA", "EUROPE", reps=200, seed=11)
+    b = rs.bootstrap_interval(_two_boards(t), "g", "id", "v", "ASIA", "EUROPE", reps=2000, seed=11)
+    return rounded(b, ["low", "high"])
+
+
+@query("t05_bootstrap_mean_interval", _BOOT + f"""
+    , draws as (select g, rep, {_HASH60.format("'13|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 1999)) rep) where g = 'ASIA'),
+    m as (select rep, avg(v) d from draws join pos_t on draws.g = pos_t.g and draws.idx = pos_t.pos group by 1)
+    select round(quantile_cont(d, 0.025), 6) low, round(quantile_cont(d, 0.975), 6) high from m""", "sup_panel")
+def _(t: Tables):
+    b = rs.bootstrap_interval(_two_boards(t), "g", "id", "v", "ASIA", statistic="mean", reps=2000, seed=13)
     return rounded(b, ["low", "high"])
 
 
 @query("t06_permutation_test", _BOOT + f"""
-    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 199)) rep)),
+    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 4999)) rep)),
     k as (select count(*) filter (g = 'ASIA') na, count(*) n, sum(v) s, avg(v) filter (g = 'ASIA') - avg(v) filter (g = 'EUROPE') obs from pos_t),
     x as (select rep, sum(v) x from sh, k where rk <= na group by 1)
     select round(any_value(obs), 6) observed, count_if(round(abs(x / na - (s - x) / (n - na)), 9) >= round(abs(obs), 9)) hits,
       round((count_if(round(abs(x / na - (s - x) / (n - na)), 9) >= round(abs(obs), 9)) + 1) / (count(*) + 1), 6) p from x, k""", "sup_panel")
 def _(t: Tables):
-    p = rs.permutation_mean_difference(_two_boards(t), "g", "id", "v", "ASIA", "EUROPE", reps=200, seed=12)
+    p = rs.permutation_mean_difference(_two_boards(t), "g", "id", "v", "ASIA", "EUROPE", reps=5000, seed=12)
     return rounded(p, ["observed", "p"])
 
 
@@ -251,7 +261,7 @@ def _(t: Tables):
 @query("t21_loading_stability")
 def _(t: Tables):
     z = ln.standardise(_regression(t).dropna(subset=_PCA), _PCA).withColumn("id", F.col("unitid") * 10000 + F.col("survey_year"))
-    return ln.loading_summary(ln.loading_stability(z, "id", _PCA, 3, reps=100, seed=6), _PCA)
+    return ln.loading_summary(ln.loading_stability(z, "id", _PCA, 3, reps=300, seed=6), _PCA)
 
 
 # Fixed values of the scorecard binding: indicator and direction (+1 higher is better, -1 lower, 0 context).
@@ -290,7 +300,7 @@ def _(t: Tables):
 
 
 _DRAWS = _SCORE + f"""
-    , w as (select draw, j, -ln(({_HASH.format("'21|' || draw || '|' || j")} + 0.5) / 4294967296.0) w from (select unnest(generate_series(0, 99)) draw), (select unnest(generate_series(0, 3)) j)),
+    , w as (select draw, j, -ln(({_HASH.format("'21|' || draw || '|' || j")} + 0.5) / 4294967296.0) w from (select unnest(generate_series(0, 499)) draw), (select unnest(generate_series(0, 3)) j)),
     zz as (select unitid, z, case c when 'retention' then 0 when 'completion' then 1 when 'yield_rate' then 2 else 3 end j from z where c <> 'size' and unitid in (select unitid from comp where comp is not null)),
     sc as (select unitid, draw, round(sum(z * w) / sum(w) filter (z is not null), 10) score from zz join w using (j) group by 1, 2),
     rk as (select unitid, draw, rank() over (partition by draw order by score desc) + (count(*) over (partition by draw, score) - 1) / 2 r from sc),
@@ -302,7 +312,7 @@ _DRAWS = _SCORE + f"""
       round(quantile_cont(r, 0.95) - quantile_cont(r, 0.05), 6) width from rk join base using (unitid) group by 1""", "sup_panel")
 def _(t: Tables):
     c = _composite(t).withColumn("composite", R("composite", 10))
-    out = rs.rank_intervals(c, "unitid", "composite", [f"z_{x}" for x in SCORED], 100, seed=21)
+    out = rs.rank_intervals(c, "unitid", "composite", [f"z_{x}" for x in SCORED], 500, seed=21)
     return rounded(out, ["rank_p5", "rank_median", "rank_p95", "width"])
 
 
@@ -310,7 +320,7 @@ def _(t: Tables):
     select draw::int draw, round(corr(r, b), 6) rho from rk join base using (unitid) group by 1""", "sup_panel")
 def _(t: Tables):
     c = _composite(t).withColumn("composite", R("composite", 10))
-    return rounded(rs.rank_correlations(c, "unitid", "composite", [f"z_{x}" for x in SCORED], 100, seed=21), ["rho"])
+    return rounded(rs.rank_correlations(c, "unitid", "composite", [f"z_{x}" for x in SCORED], 500, seed=21), ["rho"])
 
 
 @query("t24_focal_scorecard", _SCORE + """

@@ -20,17 +20,16 @@ from ..sources import parsers, readers, sinks
 from .derived import rounded
 from .registry import query
 from .served import landed
-from .tables import Tables
+from .tables import Tables, years_of
 
 R = F.round
-YEARS = range(1995, 2002)  # the years of the order book
 
 
 @query("s01_component_reader", """
     select unitid, survey_year, applicants, admits, enrolled from (select unitid, survey_year, applicants::double applicants, admits::double admits, enrolled::double enrolled from sup_panel)""", "sup_panel")
 def _(t: Tables):
     parts = []
-    for year in YEARS:
+    for year in years_of(t.sup_panel):
         raw = t.sup_panel.filter(F.col("survey_year") == year).select(
             F.col("unitid").alias("UNITID "), F.col("applicants").alias(" APPLCN"), F.col("admits").alias("Admssn"), F.col("enrolled").alias("ENRLT"),
             F.lit("dropped").alias("OTHER"))
@@ -124,7 +123,7 @@ def _(t: Tables):
 
 @query("s10_vintage_stack", "select unitid, survey_year as year, n from cust_panel", "cust_panel")
 def _(t: Tables):
-    return pn.stack_vintages({y: t.cust_panel.filter(F.col("survey_year") == y) for y in YEARS}, ["n"])
+    return pn.stack_vintages({y: t.cust_panel.filter(F.col("survey_year") == y) for y in years_of(t.cust_panel)}, ["n"])
 
 
 @query("s11_period_check", """

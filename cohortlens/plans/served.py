@@ -13,7 +13,7 @@ from ..operators.lineage import shared_dir
 from ..sources import sinks
 from .derived import rounded
 from .registry import query
-from .tables import Tables
+from .tables import Tables, years_of
 
 R = F.round
 
@@ -149,13 +149,13 @@ def _(t: Tables):
 
 
 @query("k06_extract_with_years", """
-    , w as (select unitid, any_value(sector) sector, max(n) filter (survey_year = 1999) n_1999, max(n) filter (survey_year = 2000) n_2000, sum(n) s from cust_panel group by 1)
-    select unitid, sector, round(s / 7, 6) rate, n_1999, n_2000 from w""", "cust_panel")
+    , w as (select unitid, any_value(sector) sector, """ + ", ".join(f"max(n) filter (survey_year = {y}) n_{y}" for y in range(1995, 2002)) + """, sum(n) s from cust_panel group by 1)
+    select unitid, sector, round(s / 7, 6) rate, """ + ", ".join(f"n_{y}" for y in range(1995, 2002)) + """ from w""", "cust_panel")
 def _(t: Tables):
     tot = t.cust_panel.groupBy("unitid").agg(F.sum("n").alias("s"))
     d = t.cust_panel.join(tot, "unitid").withColumn("rate", R(nulls.ratio("s", F.lit(7)), 6))
     held = cleaning.hold_small_cohorts(d, {"rate": "s"}, 8)
-    return sinks.export_extract(held, ["unitid", "sector"], ["rate"], "survey_year", "n", [1999, 2000])
+    return sinks.export_extract(held, ["unitid", "sector"], ["rate"], "survey_year", "n", years_of(t.cust_panel))
 
 
 @query("k07_column_dictionary", """

@@ -79,6 +79,11 @@ def with_views(names: str, body: str) -> str:
     return f"with {ctes}\n{body.strip()}"
 
 
+def years_of(panel: DataFrame) -> list[int]:
+    """The years of a panel in order: a row a year."""
+    return sorted(r[0] for r in panel.select("survey_year").distinct().collect())
+
+
 class Tables:
     """Lazy access to the parquet tables of a folder and to the derived views."""
 

@@ -13,7 +13,7 @@ from ..operators import peers as pe
 from . import joined
 from .derived import rounded
 from .registry import query
-from .tables import Tables
+from .tables import Tables, years_of
 
 R = F.round
 
@@ -201,7 +201,7 @@ def _(t: Tables):
 
 
 @query("b12_cohort_collapse", """
-    select unitid, max(n) filter (survey_year = 1999) y1999, max(n) filter (survey_year = 2000) y2000, max(n) filter (survey_year = 2001) y2001
+    select unitid, """ + ", ".join(f"max(n) filter (survey_year = {y}) y{y}" for y in range(1995, 2002)) + """
     from cust_panel group by 1""", "cust_panel")
 def _(t: Tables):
-    return fe.year_pivot(t.cust_panel, ["unitid"], "survey_year", "n", [1999, 2000, 2001])
+    return fe.year_pivot(t.cust_panel, ["unitid"], "survey_year", "n", years_of(t.cust_panel))

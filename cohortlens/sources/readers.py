@@ -44,7 +44,7 @@ CODE_COLUMNS = {"CIPCODE", "OPEID", "ZIP", "EIN", "UEIS", "F1SYSCOD"}
 
 
 def _read_text_csv(spark: SparkSession, path, encoding: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=False)
+    return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=True, quote='"', escape='"')
 
 
 def component_file(component: str, year: int) -> str:
@@ -96,17 +96,15 @@ def binary_files(spark: SparkSession, glob: str) -> DataFrame:
 
 def detect_encoding(files: DataFrame) -> DataFrame:
     """(path, encoding): utf-8-sig when the whole file is valid UTF-8, else cp1252."""
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for content in pdf["content"]:
-                try:
-                    bytes(content).decode("utf-8", errors="strict")
-                    found.append("utf-8-sig")
-                except UnicodeDecodeError:
-                    found.append("cp1252")
-            yield pd.DataFrame({"path": pdf["path"], "encoding": found})
-    return files.select("path", "content").mapInPandas(probe, "path string, encoding string")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", F.when(valid, "utf-8-sig").otherwise("cp1252").alias("encoding"))
+
+
+def read_detected(spark: SparkSession, glob: str, usecols: list[str] | None = None) -> DataFrame:
+    """Survey files of one layout, each read in the encoding that its whole content shows: one scan per encoding."""
+    found = detect_encoding(binary_files(spark, glob)).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()  # paths, not contents
+    names = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252"}
+    return stack_files([read_survey(spark, r["paths"], usecols, encoding=names[r["encoding"]]) for r in found])
 
 
 def pick_member(names: list[str], rule: str) -> str | None:

@@ -1,4 +1,4 @@
-"""The distributed ordering against numpy, on skewed data and on both of its paths."""
+"""The distributed ordering against numpy, on skewed data, in two buckets and in many."""
 
 import numpy as np
 import pandas as pd
@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cohortlens.operators import ordering
 
 
-@pytest.fixture(scope="module", params=["small", "bucketed"])
+@pytest.fixture(scope="module", params=[250_000, 300])
 def path(request):
-    saved = ordering.SMALL_ROWS
-    ordering.SMALL_ROWS = saved if request.param == "small" else 0
+    saved = ordering.BUCKET_ROWS
+    ordering.BUCKET_ROWS = request.param
     yield request.param
-    ordering.SMALL_ROWS = saved
+    ordering.BUCKET_ROWS = saved
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,8 @@ def test_positions_are_dense(path, skewed):
     r = ordering.row_positions(df.select("g", "id"), ["g"], ["id"]).groupBy("g").agg(
         F.min("position").alias("a"), F.max("position").alias("b"), F.count_distinct("position").alias("c"), F.count("*").alias("n"))
     assert all(x["a"] == 1 and x["b"] == x["c"] == x["n"] for x in r.collect())
+
+
+def test_long_values_keep_their_rank(spark):
+    df = spark.createDataFrame([(1, 2**53), (2, 2**53 + 1), (3, None)], "id int, v long")
+    assert {r["id"]: r["r"] for r in ordering.average_rank(df, [], "v", "r").collect()} == {1: 1.0, 2: 2.0, 3: None}
