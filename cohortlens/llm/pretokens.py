@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECES = 1 << 21  # at a time
+PIECES = 1 << 20  # at a time
 
 
 def pretokens(text: Column, pattern: str) -> Column:
