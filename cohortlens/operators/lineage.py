@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: dict[str, str] = {}
+_removed_at_end: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir.setdefault("path", tempfile.mkdtemp(prefix="spark-cohort-"))
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is removed when the application ends."""
+    path = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    if path not in _removed_at_end:
+        _removed_at_end.add(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)  # only what exists can be marked
+        files.deleteOnExit(folder)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once and continue from the written table.
 
@@ -28,6 +41,6 @@ def cut(df: DataFrame) -> DataFrame:
     column by column, and tells Spark its true size (so small statistics are broadcast by Spark's own
     size check).
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls
 from ..operators import components
 from ..operators import quality as q
-from ..operators.lineage import shared_dir
+from ..operators.lineage import run_dir
 from ..sources import sinks
 from .derived import rounded
 from .registry import query
@@ -180,7 +180,7 @@ def _(t: Tables):
 def _(t: Tables):
     res = q.validate(t.orders, [q.unique_key("o_orderkey"), q.in_range("o_totalprice", 1000), q.in_range("o_totalprice", None, 300000, severity="warn")],
                      id_col="o_orderkey")
-    path = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/report-{uuid.uuid4().hex}"
     sinks.save_report(res, path)
     res = t.spark.read.schema(res.schema).json(path)
     return res.groupBy("severity").agg(F.count("*").alias("n_rules"), F.count_if(F.col("status") == "fail").alias("n_failed"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import panel as pn
-from ..operators.lineage import cut, shared_dir
+from ..operators.lineage import cut, run_dir
 from ..sources import parsers, readers, sinks
 from .derived import rounded
 from .registry import query
@@ -257,7 +257,7 @@ def _(t: Tables):
 @query("s19_k02_curated_roundtrip", """
     select survey_year, count(*) n, (select count(*) from sup_panel) meta_rows, 'unitid,survey_year' grain from sup_panel group by 1""", "sup_panel")
 def _(t: Tables):
-    root = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    root = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     p = t.sup_panel.select("unitid", "survey_year", "admits")
     sinks.write_curated(p, root, "panel", period="1995-2001", grain=["unitid", "survey_year"], notes="derived")
     df, meta = readers.read_curated(t.spark, root, "panel")
@@ -266,14 +266,14 @@ def _(t: Tables):
 
 @query("k01_panel_partitions", "select survey_year, count(*) n from cust_panel group by 1", "cust_panel")
 def _(t: Tables):
-    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     sinks.save_panel(t.cust_panel.select("unitid", "survey_year", "n"), path)
     return t.spark.read.parquet(path).groupBy("survey_year").agg(F.count("*").alias("n"))
 
 
 @query("k03_schema_lock")
 def _(t: Tables):
-    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     first = sinks.lock_schema(t.customer, path)
     second = sinks.lock_schema(t.customer.drop("c_name").withColumn("c_new", F.lit(1)), path)
     return first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls
 from ..operators import cleaning
 from ..operators import serving as sv
-from ..operators.lineage import shared_dir
+from ..operators.lineage import run_dir
 from ..sources import sinks
 from .derived import rounded
 from .registry import query
@@ -140,7 +140,7 @@ def _(t: Tables):
     , y as (select distinct survey_year from cust_panel), u as (select unitid from cust_panel group by 1)
     select u.unitid, y.survey_year as year, p.n from u, y left join cust_panel p on p.unitid = u.unitid and p.survey_year = y.survey_year""", "cust_panel")
 def _(t: Tables):
-    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     years = F.array_sort(F.collect_set("survey_year"))
     rec = _records(t).withColumn("years", t.once("cust_panel").agg(years).scalar())
     sinks.write_serving(rec, {"source": "panel"}, path)
@@ -167,14 +167,14 @@ def _(t: Tables):
 
 @query("k07_csv_roundtrip", "select c_mktsegment, count(*) n, round(sum(c_acctbal), 2) balance from customer group by 1")
 def _(t: Tables):
-    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     sinks.write_csv(t.customer.select("c_mktsegment", "c_acctbal"), path)
     back = t.spark.read.csv(path, header=True, schema="c_mktsegment string, c_acctbal double")
     return back.groupBy("c_mktsegment").agg(F.count("*").alias("n"), R(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 def landed(t: Tables, df, fmt="parquet", **options) -> str:
-    path = f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
     return path
 
