@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.operators.lineage import shared_dir
+from cohortlens.operators.lineage import run_dir
 
 from .pretokens import piece_blocks, pretokens, ragged
 
@@ -120,4 +120,4 @@ def checksums(rows: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/tokens-{uuid.uuid4().hex}"
