@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.lineage import cut
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -63,7 +65,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(_doc, _row, _flags): for texts that lose a line, one flag for each of their lines in order."""
     keys = line_keys(docs.select("doc_id", "text"), min_chars)
-    hot = repeated(keys, min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keeper")
+    # written, so that the join is planned by its size and can split a hot line's rows
+    hot = cut(repeated(keys, min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keeper"))
     gone = (keys.filter(F.col("h1").isNotNull() & F.col("doc_id").isNotNull())
             .join(hot, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
             .filter(F.col("doc_id") != F.col("keeper")).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("at")))
