@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -32,7 +33,8 @@ def feature_vectors(df: DataFrame, cols: list[str], keep: list[str]) -> DataFram
 
 def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(10)), max_iter: int = 40):
     """Best of several seeds by within-cluster cost."""
-    fits = [KMeans(k=k, seed=s, maxIter=max_iter, initSteps=4).fit(v) for s in seeds]
+    with ThreadPool(min(8, len(seeds))) as pool:  # the starts' jobs share the executors
+        fits = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=max_iter, initSteps=4).fit(v), seeds)
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -64,13 +66,13 @@ def choose_k(table: DataFrame, min_k: int = 6, min_size: int = 30) -> int | None
     return r
 
 
-def stability(v: DataFrame, entity: str, k: int, runs: int = 30, share: float = 0.8, seed: int = 0) -> DataFrame:
+def stability(v: DataFrame, entity: str, k: int, runs: int = 30, share: float = 0.8, seed: int = 0, starts: int = 10) -> DataFrame:
     """Adjusted Rand index between the full fit and fits on random subsamples: (run, n, ari)."""
-    full = cut(fit_kmeans(v, k).transform(v).select(entity, "features", F.col("prediction").alias("full")))
+    full = cut(fit_kmeans(v, k, tuple(range(starts))).transform(v).select(entity, "features", F.col("prediction").alias("full")))
     parts = []
     for r in range(runs):
         sub = full.filter(uniform(seed, r, entity) < share)
-        labelled = fit_kmeans(sub.select("features"), k, tuple(seed + r + i for i in range(10))).transform(sub)
+        labelled = fit_kmeans(sub.select("features"), k, tuple(seed + r + i for i in range(starts))).transform(sub)
         parts.append(adjusted_rand(labelled, "full", "prediction").withColumn("run", F.lit(r)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -82,10 +84,10 @@ def mixture_agreement(v: DataFrame, entity: str, k: int, seed: int = 0) -> DataF
     return adjusted_rand(a.join(b, entity), "a", "b")
 
 
-def added_block_sensitivity(df: DataFrame, base: list[str], added: list[str], entity: str, k: int) -> DataFrame:
+def added_block_sensitivity(df: DataFrame, base: list[str], added: list[str], entity: str, k: int, seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
     """Agreement of the segmentation with and without an added feature block."""
-    a = segment(df, base, [entity], k).withColumnRenamed("segment", "a")
-    b = segment(df, [*base, *added], [entity], k).withColumnRenamed("segment", "b")
+    a = segment(df, base, [entity], k, seeds).withColumnRenamed("segment", "a")
+    b = segment(df, [*base, *added], [entity], k, seeds).withColumnRenamed("segment", "b")
     return adjusted_rand(a.join(b, entity), "a", "b")
 
 

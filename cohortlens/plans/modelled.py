@@ -87,18 +87,18 @@ def _(t: Tables):
 @query("m04_embedding_clusters_vs_labels")
 def _(t: Tables):
     v = _vectors(t)
-    return inf.adjusted_rand(cut(sg.fit_kmeans(v, 10).transform(v).select("label", "prediction")), "label", "prediction")
+    return inf.adjusted_rand(cut(sg.fit_kmeans(v, 10, (0, 1)).transform(v).select("label", "prediction")), "label", "prediction")
 
 
 @query("m05_choose_k")
 def _(t: Tables):
-    table = cut(sg.selection_table(sg.feature_vectors(_features(t), _S, ["id"]), list(range(2, 13)), len(_S)))
+    table = cut(sg.selection_table(sg.feature_vectors(_features(t), _S, ["id"]), list(range(2, 13)), len(_S), (0, 1)))
     return table.withColumn("chosen", nulls.false_if_null(F.col("k") == F.lit(sg.choose_k(table)).cast("int")))
 
 
 @query("m06_stability")
 def _(t: Tables):
-    return sg.stability(sg.feature_vectors(_features(t), _S, ["id"]), "id", 6, runs=30)
+    return sg.stability(sg.feature_vectors(_features(t), _S, ["id"]), "id", 6, runs=30, starts=1)
 
 
 @query("m06_mixture_agreement")
