@@ -5,8 +5,7 @@ ascending doc_id order. A row holds doc_id, its file's number, the ids before it
 integers in runs, keeps minima and maxima of doc_id for every ``STRIDE`` rows and a Bloom filter beside them; readers split at
 stripes, and a filter on doc_id skips the stripes and strides that cannot hold it.
 
-A text's pre-tokens are encoded with the tokenizers library once per distinct pre-token of a block and gathered;
-a text that holds one of the tokenizer's added tokens is encoded whole.
+A text's pre-tokens are encoded with the tokenizers library, each once while a task remembers it, and gathered; a text that holds one of the tokenizer's added tokens is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.operators.lineage import run_dir
+from cohortlens.operators.lineage import cut, run_dir
 
 from .pretokens import piece_blocks, pretokens, ragged
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 STRIPE_BYTES, STRIDE = 16 << 20, 1000
+REMEMBERED = 300_000  # pre-tokens
 SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 
 
@@ -37,6 +37,33 @@ def added_tokens(tokenizer: str) -> list[str]:
     return [t["content"] for t in json.loads(tokenizer).get("added_tokens", [])]
 
 
+class PieceIds:
+    """Ids of pre-tokens, each encoded once while it is remembered; a task remembers at most ``REMEMBERED``."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(store of ids, its offsets, where each piece stands in it)."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        fresh = [p for p in pieces if p not in self.number]
+        ids, at = [self.ids], [self.at]
+        for lo in range(0, len(fresh), 4096):  # the library's results are large: a few at a time
+            some = fresh[lo: lo + 4096]
+            done = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(done.ids, np.int32))
+            at.append(at[-1][-1] + np.searchsorted(np.array(done.word_ids, np.int64), np.arange(1, len(some) + 1)))
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+        self.ids, self.at = np.concatenate(ids), np.concatenate(at)
+        return self.ids, self.at, np.array([self.number[p] for p in pieces], np.int64)
+
+
 def encoded(docs: DataFrame, tokenizer: str, pattern: str, end: int | None) -> DataFrame:
     """Rows of ``SCHEMA`` for sorted ``docs`` (doc_id, text); tokenizer is the library's JSON."""
     special = F.lit(False)
@@ -47,19 +74,16 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end: int | None) -> D
 
     def run(batches):
         known, part, before = Tokenizer.from_str(source.value), TaskContext.get().partitionId(), 0
+        remembered = PieceIds(known)
         tail = np.array([] if end is None else [end], np.int64)
         for block, pieces, number, at in piece_blocks(batches):
-            ids, ids_at = np.zeros(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
-            if len(pieces):
-                done = known.encode(pieces.to_pylist(), is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(done.ids, np.int64)
-                ids_at = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(pieces) + 1))
-            value, out = ragged(ids, ids_at, number)
+            ids, ids_at, place = remembered(pieces.to_pylist())
+            value, out = ragged(ids, ids_at, place[number] if len(number) else number.astype(np.int64))
             out = out[at]
             lists = None
             whole = block.column(1)
             if whole.null_count < len(whole):
-                lists = [value[a:b] if t is None else np.array(known.encode(t, add_special_tokens=False).ids, np.int64) for a, b, t in zip(out[:-1], out[1:], whole.to_pylist(), strict=True)]
+                lists = [value[a:b] if t is None else np.array(known.encode(t, add_special_tokens=False).ids, np.int32) for a, b, t in zip(out[:-1], out[1:], whole.to_pylist(), strict=True)]
                 value, out = np.concatenate(lists), np.r_[0, np.cumsum([len(x) for x in lists])]
             n = np.diff(out) + len(tail)
             final = np.r_[0, np.cumsum(n)]
@@ -97,7 +121,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     offset = sizes.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
-    return rows.join(offset, F.col("part") == F.col("_part")).select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # a row a file, written: Spark sees how small it is and leaves the ids where they are
+    return rows.join(cut(offset), F.col("part") == F.col("_part")).select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
