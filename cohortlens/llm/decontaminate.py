@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.lineage import cut
 
 from .blocks import U64, Words, mix, spans, text_blocks
+from .joins import sized
 
 GRAM = 3
 BITS = 1 << 23
@@ -207,4 +208,4 @@ def contaminated(docs: DataFrame, items: DataFrame, min_ratio: float = MIN_RATIO
 def drop_contaminated(docs: DataFrame, items: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The rows of ``docs`` that copy no test item; rows without doc_id stay unless another row without it copies one."""
     bad = cut(contaminated(docs, items, min_ratio).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)

@@ -31,6 +31,7 @@ from cohortlens.operators.lineage import cut
 
 from .blocks import U64, Words, grouped_order, mix, spans, text_blocks
 from .components import components
+from .joins import sized
 
 WORDS = 5
 PERCENT = 80
@@ -189,7 +190,7 @@ def heavy_shingles(docs: DataFrame, nodes: DataFrame, n: int = WORDS) -> np.ndar
     """
     total = nodes.count()
     some = nodes.select("node") if total <= SAMPLE else nodes.select("node").filter(F.col("node") < -(1 << 63) + (1 << 64) * SAMPLE // total)
-    sets = sets_of(docs, nodes, cut(some), n)
+    sets = sets_of(docs, nodes, some, n)
 
     def run(batches):
         for batch in batches:
@@ -294,8 +295,8 @@ def raw_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int = WORDS) -> DataFrame:
     """(node, set): the sorted shingle hashes of the wanted classes, made from one text each."""
-    ids = nodes.join(wanted, "node", "left_semi").select("doc_id", "node").withColumnsRenamed({"doc_id": "_doc", "node": "_node"})
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "_node")
+    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")))
+    texts = docs.select("doc_id", "text").join(sized(ids), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "_node")
 
     def run(batches):
         words = Words("blank")
@@ -310,10 +311,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int = WORDS
     return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, n: int = WORDS) -> DataFrame:
-    """The pairs whose exact similarity reaches the limit."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(sets_of(docs, nodes, cut(wanted), n))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact similarity reaches the limit, from the sets of their nodes."""
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches):
@@ -329,26 +328,26 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def could_link(members: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, n: int = WORDS) -> DataFrame:
+def could_link(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The members (node, root, ...) of which enough shingles occur in another component of the members.
 
     A linked pair shares at least ``percent`` per cent of either set, so a node with more shingles that no
     other component has cannot gain a link. Counts per shingle, no pairs; nodes that go may take others along, so it runs twice.
     """
-    for _ in range(2):
-        placed = cut(members.select("node", "root").distinct())
-        sets = sets_of(docs, nodes, placed.select("node"), n)
 
-        def run(batches):
-            for batch in batches:
-                raw, at = raw_rows(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at) // 8))), pa.array(raw.view(np.int64))], ["node", "shingle"])
+    def run(batches):
+        for batch in batches:
+            raw, at = raw_rows(batch.column(1))
+            many = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at) // 8))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(many), batch.column(2).take(many), pa.array(raw.view(np.int64))], ["node", "root", "shingle"])
 
-        rows = cut(sets.mapInArrow(run, "node long, shingle long").join(placed, "node"))
+    for _ in range(2):
+        placed = members.select("node", "root").distinct()
+        rows = sets.join(placed, "node").select("node", "shingles", "root").mapInArrow(run, "node long, root long, shingle long")
         abroad = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
         met = rows.join(abroad, "shingle").groupBy("node").agg(F.count("*").alias("met"))
         able = met.join(nodes.select("node", "n_shingles"), "node").filter(F.col("met") * 100 >= F.col("n_shingles") * percent).select("node")
-        members = cut(members.join(able, "node", "left_semi"))
+        members = cut(members.join(sized(cut(able)), "node", "left_semi"))
     return members
 
 
@@ -426,16 +425,20 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     # every bucket as a chain and a star
     near = members.filter("node <> head").select("node", F.explode(F.array("head", "prev")).alias("other"))
     near = cut(near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct())
-    links = cut(verified(cut(sketch_test(near, nodes, percent)), docs, nodes, percent, n))
+    tested = cut(sketch_test(near, nodes, percent))
+    sets = cut(sets_of(docs, nodes, tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), n))
+    links = cut(verified(tested, sets, percent))
 
     # what still holds several components
     placed = members.join(components(links), "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
     open_ = (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
              .filter("lo <> hi and rows > 2").groupBy("who", "rows").agg(F.min("sign").alias("sign")).select("sign", "rows"))
-    rest = could_link(cut(placed.join(open_, "sign").select("sign", "node", "root", "rows")), docs, nodes, percent, n)
+    rest = cut(placed.join(open_, "sign").select("sign", "node", "root", "rows"))
+    sets = cut(sets_of(docs, nodes, rest.select("node").distinct(), n))
+    rest = could_link(rest, sets, nodes, percent)
     again = pairs_across(rest, nodes, percent)
     again = cut(again.distinct().join(near, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut(verified(again, docs, nodes, percent, n)))
+    links = links.unionByName(cut(verified(again, sets, percent)))
 
     roots = components(links)
     placed = table.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -450,4 +453,4 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that share a doc_id are one document and stay together; a row without doc_id stays.
     """
     gone = similarity_classes(docs, percent).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(cut(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(sized(cut(gone.distinct())), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
