@@ -49,6 +49,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             hi = min(hi, n)
             yield batch.slice(lo, hi - lo), raw[at[lo]: at[hi]], at[lo: hi + 1] - at[lo]
             lo = hi
+        del raw, batch
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def table(keep: str, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from .toxicity import held_out
 ROWS = 1 << 17
 CHAIN = 64
 UNKNOWN = "und"
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def features(words: Words, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

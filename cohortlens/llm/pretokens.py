@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECES = 1 << 20  # at a time
+PIECES = 1 << 19  # at a time
 
 
 def pretokens(text: Column, pattern: str) -> Column:
@@ -37,6 +37,8 @@ def piece_blocks(batches: Iterator[pa.RecordBatch], limit: int = PIECES) -> Iter
             coded = column.values.slice(at[lo], at[hi] - at[lo]).dictionary_encode()
             yield batch.slice(lo, hi - lo), coded.dictionary, coded.indices.to_numpy(), at[lo: hi + 1] - at[lo]
             lo = hi
+        del column, batch
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def ragged(values: np.ndarray, at: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

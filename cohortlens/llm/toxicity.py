@@ -24,7 +24,7 @@ WINDOW, STRIDE = 64, 48
 CHARS, WORDS_ = 1 << 17, 1 << 16  # rows of the hashed tables
 WIDTH, HIDDEN = 6, 8  # of each table; of each direction
 THRESHOLD = 0.3
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 SUB = 2048  # windows at a time
 
 
