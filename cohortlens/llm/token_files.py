@@ -5,7 +5,7 @@ ascending doc_id order. A row holds doc_id, its file's number, the ids before it
 integers in runs, keeps minima and maxima of doc_id for every ``STRIDE`` rows and a Bloom filter beside them; readers split at
 stripes, and a filter on doc_id skips the stripes and strides that cannot hold it.
 
-A text's pre-tokens are encoded with the tokenizers library, each once while a task remembers it, and gathered; a text that holds one of the tokenizer's added tokens is encoded whole.
+A text's pre-tokens are encoded by the tokenizers library's model, each once while a task remembers it, and gathered; a text that holds one of the tokenizer's added tokens is encoded whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 STRIPE_BYTES, STRIDE = 16 << 20, 1000
 REMEMBERED = 300_000  # pre-tokens
+# How byte-level vocabularies write bytes: printable ones as themselves, the others as the letters from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 
 
@@ -38,10 +41,10 @@ def added_tokens(tokenizer: str) -> list[str]:
 
 
 class PieceIds:
-    """Ids of pre-tokens, each encoded once while it is remembered; a task remembers at most ``REMEMBERED``."""
+    """Ids of pre-tokens by the library's BPE model, each encoded once while it is remembered (at most ``REMEMBERED`` and a block)."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -53,14 +56,10 @@ class PieceIds:
         if len(self.number) > REMEMBERED:
             self.forget()
         fresh = [p for p in pieces if p not in self.number]
-        ids, at = [self.ids], [self.at]
-        for lo in range(0, len(fresh), 4096):  # the library's results are large: a few at a time
-            some = fresh[lo: lo + 4096]
-            done = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(done.ids, np.int32))
-            at.append(at[-1][-1] + np.searchsorted(np.array(done.word_ids, np.int64), np.arange(1, len(some) + 1)))
-            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
-        self.ids, self.at = np.concatenate(ids), np.concatenate(at)
+        tokens = [self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS)) for p in fresh]
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        self.ids = np.concatenate([self.ids, np.array([t.id for some in tokens for t in some], np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(some) for some in tokens], dtype=np.int64)])
         return self.ids, self.at, np.array([self.number[p] for p in pieces], np.int64)
 
 
