@@ -149,14 +149,26 @@ def replay(vocabulary: Vocabulary, raw: np.ndarray, at: np.ndarray) -> tuple[np.
     return ids, out
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decoded_rows(known: Vocabulary, ids: np.ndarray, row_at: np.ndarray) -> pa.Array:
+    """The bytes that each row's ids stand for; a few rows at a time."""
+    parts = []
+    for lo in range(0, len(row_at) - 1, 256):
+        at = row_at[lo: lo + 257]
+        text, end = ragged(known.bytes, known.at, ids[at[0]: at[-1]].astype(np.int64))
+        part = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(end[at - at[0]]), pa.py_buffer(text)])
+        parts.append(part.cast(pa.binary()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, and_decode: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, plus n_tokens and ids (little-endian unsigned 32-bit, binary).
 
     Each match of ``pattern`` is encoded separately with the ranks of the file; special tokens are ordinary text. A null
-    or empty text has no ids. Columns named n_tokens or ids are replaced.
+    or empty text has no ids. Columns named n_tokens or ids are replaced. ``and_decode`` adds ``decoded`` as ``decode`` does, in
+    the same pass: a task then holds one Python worker, not two.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(read_ranks(path or public_tokenizers.path(VOCABULARY)))))
-    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", *(["decoded"] if and_decode else []))]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches):
@@ -166,10 +178,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             ids, ids_at = replay(known, raw[piece_at[0]: piece_at[-1]], piece_at - piece_at[0])
             value, end = ragged(ids.astype("<u4"), ids_at, number)
             row_at = end[at]
+            back = [decoded_rows(known, value, row_at)] if and_decode else []
             packed = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(row_at * 4), pa.py_buffer(value)])
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(row_at)), packed.cast(pa.binary())], [*rows.schema.names[:-1], "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(np.diff(row_at)), packed.cast(pa.binary()), *back], [*rows.schema.names[:-1], "n_tokens", "ids", *["decoded"][: len(back)]])
 
-    return with_pretokens(docs, pattern, *keep).mapInArrow(run, f"{fields}, n_tokens bigint, ids binary")
+    return with_pretokens(docs, pattern, *keep).mapInArrow(run, f"{fields}, n_tokens bigint, ids binary" + (", decoded binary" if and_decode else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -182,16 +195,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         known = Vocabulary.of(vocabulary.value)
         for batch in batches:
-            done = []
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                raw, at = spans(rows.column(place))
-                ids = np.frombuffer(raw[at[0]: at[-1]].tobytes(), "<u4").astype(np.int64)
-                text, end = ragged(known.bytes, known.at, ids)
-                row_at = end[(at - at[0]) // 4]
-                part = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(row_at), pa.py_buffer(text)])
-                done.append(part.cast(pa.binary()))
-            column = pa.concat_arrays(done) if done else pa.array([], pa.binary())
+            raw, at = spans(batch.column(place))
+            ids = np.frombuffer(raw[at[0]: at[-1]].tobytes(), "<u4")
+            column = decoded_rows(known, ids, (at - at[0]) // 4)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
 
     return encoded.select(*keep).mapInArrow(run, f"{fields}, decoded binary")

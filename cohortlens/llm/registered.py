@@ -64,9 +64,9 @@ def op2(spark, folder):
 
 @registered("op4_byte_bpe")
 def op4(spark, folder):
-    from .merge_replay import decode, encode
-    ids = encode(read(spark, folder, "documents").select("doc_id", "text"))
-    return decode(ids).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    from .merge_replay import encode
+    ids = encode(read(spark, folder, "documents").select("doc_id", "text"), and_decode=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @registered("op8_topk_search", """

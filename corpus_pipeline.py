@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.decontaminate import drop_contaminated
 from cohortlens.llm.jaccard_join import drop_near_copies
 from cohortlens.llm.line_dedup import dedup_lines
-from cohortlens.llm.merge_replay import decode, encode
+from cohortlens.llm.merge_replay import encode
 from cohortlens.llm.toxicity import drop_toxic, train
 from cohortlens.operators.lineage import cut
 
@@ -42,7 +42,7 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): ids as little-endian unsigned 32-bit integers; round_trip says that they decode to the text."""
-    ids = decode(encode(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), "text")))
+    ids = encode(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), "text"), and_decode=True)
     return ids.select("doc_id", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_text")).alias("round_trip"))
 
 

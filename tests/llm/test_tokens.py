@@ -23,6 +23,8 @@ def test_bpe_equals_tiktoken(odd, all_rows):
     want = sorted((r.doc_id, library.encode_ordinary(r.text or ""), (r.text or "").encode()) if r.doc_id is not None else (-1, library.encode_ordinary(r.text), r.text.encode()) for r in all_rows.collect())
     got = merge_replay.decode(merge_replay.encode(all_rows)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got) == want
+    both = merge_replay.encode(all_rows, and_decode=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     assert merge_replay.encode(odd).columns == ["doc_id", "lang", "source", "node", "n_tokens", "ids"]
 
 
