@@ -370,7 +370,7 @@ def pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFram
         sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in t.column_names[:-1])
         raw, at = raw_rows(t.column("sketch").chunk(0))
         head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        found = []
+        found = [np.zeros((0, 2), np.int64)]  # tiles may be empty
         for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
             width = int(np.diff(at[lo: hi + 1]).min()) // 8  # every sketch folds to the narrowest
             folded = np.array([np.bitwise_xor.reduce(raw[at[r]: at[r + 1]].view(np.uint64).reshape(-1, width), axis=0) for r in range(lo, hi)])
@@ -436,6 +436,8 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     rest = cut(placed.join(open_, "sign").select("sign", "node", "root", "rows"))
     sets = cut(sets_of(docs, nodes, rest.select("node").distinct(), n))
     rest = could_link(rest, sets, nodes, percent)
+    left = cut(rest.groupBy("sign").agg(F.count("*").alias("rows")))  # tiles follow the members that are left
+    rest = rest.drop("rows").join(sized(left), "sign")
     again = pairs_across(rest, nodes, percent)
     again = cut(again.distinct().join(near, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(verified(again, sets, percent)))

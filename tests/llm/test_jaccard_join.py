@@ -72,6 +72,36 @@ def test_large_buckets_in_tiles(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+def test_pruned_bucket_over_many_partitions(spark, monkeypatch):
+    """One bucket of two members that are left of many: some tiles are empty, and a partition may hold no other pair of tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 2)
+    members = spark.createDataFrame([(s, 2 * s + i, 2 * s + i, 40) for s in range(12) for i in range(2)], "sign long, node long, root long, rows long")
+    nodes = spark.createDataFrame([(n, 10, bytes(8)) for n in range(24)], "node long, n_shingles long, sketch binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = sorted(tuple(r) for r in jaccard_join.pairs_across(members, nodes, 80).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(2 * s, 2 * s + 1) for s in range(12)]
+
+
+def test_tiles_follow_the_members_left(spark, monkeypatch):
+    """A passage shared by unrelated texts makes large buckets; pairs_across is given the number of members that could_link left."""
+    seen, inner = [], jaccard_join.pairs_across
+
+    def spy(members, nodes, percent):
+        seen.extend((r.rows, r["count"]) for r in members.groupBy("sign", "rows").count().collect())
+        return inner(members, nodes, percent)
+
+    monkeypatch.setattr(jaccard_join, "pairs_across", spy)
+    rows = texts()
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+    assert seen and all(rows == count for rows, count in seen)
+
+
 def test_documents(documents):
     assert result(documents) == brute([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()])
 
