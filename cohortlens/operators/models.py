@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -137,10 +138,9 @@ def with_indicators(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 def out_of_fold(df: DataFrame, stages: list, folds: int, output: Column, name: str = "p") -> DataFrame:
     """Predictions of every row from the model that did not see its fold; input has a fold column."""
-    parts = []
-    for i in range(folds):
-        fitted = Pipeline(stages=stages).fit(df.filter(F.col("fold") != i))
-        parts.append(fitted.transform(df.filter(F.col("fold") == i)).select(*df.columns, output.alias(name)))
+    with ThreadPool(folds) as pool:  # the folds' jobs share the executors; each thread has its own estimators
+        fits = pool.map(lambda i: Pipeline(stages=[s.copy() for s in stages]).fit(df.filter(F.col("fold") != i)), range(folds))
+    parts = [m.transform(df.filter(F.col("fold") == i)).select(*df.columns, output.alias(name)) for i, m in enumerate(fits)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -139,7 +139,7 @@ def _customers(t: Tables):
 
 @query("m09_regression_comparison")
 def _(t: Tables):
-    return mo.compare_regressions(_customers(t), ["n_orders", "done_share", "balance"], ["segment"], "log_spend", "o_custkey", iterations=10)
+    return mo.compare_regressions(_customers(t), ["n_orders", "done_share", "balance"], ["segment"], "log_spend", "o_custkey")
 
 
 @query("m10_missing_strategies")
@@ -152,7 +152,7 @@ def _(t: Tables):
     from pyspark.ml import Pipeline
     d = _customers(t).filter(F.col("balance").isNotNull())
     test = mo.hash_fold("o_custkey", 4, 3) == 0
-    stages = mo.regression_models(mo.preparation(["n_orders", "done_share", "balance"], ["segment"], indicators=False), "log_spend", iterations=10)["gradient boosting"]
+    stages = mo.regression_models(mo.preparation(["n_orders", "done_share", "balance"], ["segment"], indicators=False), "log_spend")["gradient boosting"]
     model = Pipeline(stages=stages).fit(cut(d.filter(~test)))
     return mo.permutation_importance(model, d.filter(test), ["n_orders", "done_share", "balance", "segment"], "log_spend", "o_custkey", repeats=20)
 
@@ -169,7 +169,7 @@ def _(t: Tables):
     d = _above(t)
     out = mo.prevalence_metrics(d, "above").withColumn("model", F.lit("prevalence only"))
     for name in ("logistic", "gradient boosting"):
-        oof = mo.classify_oof(d, _NUM, ["segment"], "above", "o_custkey", name, iterations=10)
+        oof = mo.classify_oof(d, _NUM, ["segment"], "above", "o_custkey", name)
         out = out.unionByName(mo.binary_metrics(oof, "above", "p").withColumn("model", F.lit(name)))
     return out
 

@@ -127,3 +127,20 @@ def test_segments(spark):
     assert inference.adjusted_rand(out, "true", "prediction").collect()[0]["ari"] > 0.9
     assert segments.choose_k(segments.selection_table(v, [2, 3], 2, mixture=False), 2, 5) == 3
     assert segments.distance_to_centre(v, 3, ["id"]).agg(F.min("distance")).collect()[0][0] >= 0
+
+
+@pytest.mark.parametrize("name", ["m09_regression_comparison", "m11_permutation_importance", "m12_classifier_comparison"])
+def test_boosting_queries_grow_300_trees(spark, monkeypatch, name):
+    from cohortlens.plans import catalog
+    asked = []
+
+    def spy(inner):
+        def made(**kw):
+            asked.append(kw["maxIter"])
+            return inner(**{**kw, "maxIter": 1})
+        return made
+
+    monkeypatch.setattr(models, "GBTRegressor", spy(models.GBTRegressor))
+    monkeypatch.setattr(models, "GBTClassifier", spy(models.GBTClassifier))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked and set(asked) == {300}
