@@ -38,6 +38,13 @@ def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(10)),
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
+def fit_mixture(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(5)), max_iter: int = 50):
+    """Best of several seeds by likelihood."""
+    with ThreadPool(min(8, len(seeds))) as pool:
+        fits = pool.map(lambda s: GaussianMixture(k=k, seed=s, maxIter=max_iter).fit(v), seeds)
+    return max(fits, key=lambda m: m.summary.logLikelihood)
+
+
 def segment(df: DataFrame, cols: list[str], keep: list[str], k: int, seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
     """Rows with their segment."""
     v = feature_vectors(df, cols, keep)
@@ -49,13 +56,14 @@ def mixture_bic(model, n: int, p: int) -> float:
     return -2 * model.summary.logLikelihood + params * math.log(n)
 
 
-def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...] = tuple(range(20)), mixture: bool = True) -> DataFrame:
+def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...] = tuple(range(20)), mixture: bool = True,
+                    mixture_seeds: tuple[int, ...] = tuple(range(3))) -> DataFrame:
     """Per k: inertia, silhouette, mixture BIC and the smallest cluster."""
     n, rows = v.count(), []
     ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
     for k in ks:
         m = fit_kmeans(v, k, seeds)
-        bic = mixture_bic(GaussianMixture(k=k, seed=seeds[0], maxIter=50).fit(v), n, p) if mixture else None
+        bic = mixture_bic(fit_mixture(v, k, mixture_seeds), n, p) if mixture else None
         rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(v))), bic, int(min(m.summary.clusterSizes))))
     return v.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, bic double, smallest int")
 
@@ -80,7 +88,7 @@ def stability(v: DataFrame, entity: str, k: int, runs: int = 30, share: float =
 def mixture_agreement(v: DataFrame, entity: str, k: int, seed: int = 0) -> DataFrame:
     """Adjusted Rand index between k-means and a Gaussian mixture of the same size."""
     a = fit_kmeans(v, k).transform(v).select(entity, F.col("prediction").alias("a"))
-    b = GaussianMixture(k=k, seed=seed, maxIter=50).fit(v).transform(v).select(entity, F.col("prediction").alias("b"))
+    b = fit_mixture(v, k, tuple(seed + i for i in range(5))).transform(v).select(entity, F.col("prediction").alias("b"))
     return adjusted_rand(a.join(b, entity), "a", "b")
 
 

@@ -144,3 +144,34 @@ def test_boosting_queries_grow_300_trees(spark, monkeypatch, name):
     monkeypatch.setattr(models, "GBTClassifier", spy(models.GBTClassifier))
     catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert asked and set(asked) == {300}
+
+
+@pytest.mark.parametrize("name, starts, mixtures", [("m04_embedding_clusters_vs_labels", 10, 0), ("m05_choose_k", 20, 3), ("m06_stability", 10, 0), ("m06_mixture_agreement", 10, 5)])
+def test_clustering_queries_take_all_starts(spark, monkeypatch, name, starts, mixtures):
+    """The distinct seeds of each number of clusters (of m06_stability: of the full fit and of each run)."""
+    from cohortlens.plans import catalog
+    inner, asked = segments.fit_kmeans, []
+
+    def kmeans(v, k, seeds=tuple(range(10)), max_iter=40):
+        asked.append(len(set(seeds)))
+        return inner(v, k, seeds[:1], 2)
+
+    mixed = {}
+
+    def mixture(**kw):
+        mixed.setdefault(kw["k"], set()).add(kw["seed"])
+        return made(**{**kw, "maxIter": 2})
+
+    made = segments.GaussianMixture
+    monkeypatch.setattr(segments, "fit_kmeans", kmeans)
+    monkeypatch.setattr(segments, "GaussianMixture", mixture)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked and set(asked) == {starts} and all(len(s) == mixtures for s in mixed.values()) and bool(mixed) == bool(mixtures)
+
+
+def test_mixture_keeps_the_likeliest_start(spark):
+    rng = np.random.default_rng(8)
+    c = np.repeat([[0, 0], [6, 6], [0, 7], [7, 0]], 30, axis=0) + rng.normal(size=(120, 2))
+    v = segments.feature_vectors(spark.createDataFrame(pd.DataFrame({"id": range(120), "a": c[:, 0], "b": c[:, 1]})), ["a", "b"], ["id"])
+    single = [segments.fit_mixture(v, 4, (s,)).summary.logLikelihood for s in range(3)]
+    assert segments.fit_mixture(v, 4, (0, 1, 2)).summary.logLikelihood == pytest.approx(max(single))
