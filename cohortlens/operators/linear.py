@@ -153,6 +153,8 @@ def fit_poisson(d: DataFrame, max_iter: int = 30) -> dict:
         b = new
         if done:
             break
+    else:
+        raise RuntimeError("Poisson regression did not converge")
     eta = F.col("x") * float(b[1]) + float(b[0])
     mu = F.exp(eta)
     s = d.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.pow(F.col("y") - mu, 2) / mu).alias("chi2"),
@@ -188,6 +190,8 @@ def fit_negative_binomial(d: DataFrame, rounds: int = 12) -> dict:
         lo, hi = math.log(alpha) - step, math.log(alpha) + step
         if converged and hi - lo < 1e-3:
             break
+    else:
+        raise RuntimeError("negative binomial regression did not converge")
     return {"intercept": float(b[0]), "slope": float(b[1]), "alpha": alpha, "aic": -2 * best + 6, "dispersion": None,
             "n": int(d.agg(F.sum("w")).collect()[0][0])}
 

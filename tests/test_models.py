@@ -56,6 +56,14 @@ def test_count_models_reach_the_likelihood_maximum(spark):
                for da, db, f in [(0.01, 0, 1), (-0.01, 0, 1), (0, 0.005, 1), (0, -0.005, 1), (0, 0, 1.02), (0, 0, 0.98)])
 
 
+def test_count_models_raise_where_they_do_not_settle(frame):
+    d = linear.count_rows(frame("y double, x double", [(float(i % 7 + i), float(i + 1)) for i in range(40)]), "y", "x")
+    with pytest.raises(RuntimeError):
+        linear.fit_poisson(d, max_iter=2)
+    with pytest.raises(RuntimeError):
+        linear.fit_negative_binomial(d, rounds=2)
+
+
 def test_event_study_clustered_errors(spark):
     rng = np.random.default_rng(2)
     e, t = np.repeat(np.arange(30), 4), np.tile([2000, 2001, 2002, 2003], 30)
