@@ -111,3 +111,9 @@ def op6(spark, folder):
 def op7(spark, folder):
     from .trie_counts import count_tokens
     return count_tokens(read(spark, folder, "documents"))
+
+
+@registered("op11_alignment")
+def op11(spark, folder):
+    from .alignment import align
+    return align(read(spark, folder, "documents"))
