@@ -117,3 +117,30 @@ def op7(spark, folder):
 def op11(spark, folder):
     from .alignment import align
     return align(read(spark, folder, "documents"))
+
+
+@registered("op12_simhash")
+def op12(spark, folder):
+    from .simhash import simhash_classes
+    return simhash_classes(read(spark, folder, "documents"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@registered("op13_ranked_search", f"""
+with d as (select row_number() over () rid, doc_id, {_TERMS} w from documents),
+sizes as (select rid, doc_id, len(w) n from d where len(w) > 0),
+corpus as (select count(*) nd, sum(n)::bigint l from sizes),
+q as (select distinct item_id, unnest({_TERMS}) term from benchmark),
+p as (select rid, term, count(*) tf from (select rid, unnest(w) term from d) where term in (select term from q) group by rid, term),
+weights as (select term, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)))::bigint w from (select term, count(*) df from p group by term), corpus),
+lengths as (select rid, doc_id, 50 + (50 * n * nd) // l m from sizes, corpus),
+scores as (
+  select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score
+  from q join p using (term) join weights using (term) join lengths using (rid) group by item_id, rid, doc_id)
+select item_id, rank::int rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from scores where score > 0) where rank <= 50""")
+def op13(spark, folder):
+    from .ranked_search import rank_documents
+    return rank_documents(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
