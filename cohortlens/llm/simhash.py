@@ -86,7 +86,7 @@ def keyed(rows: DataFrame, width: int) -> DataFrame:
     """(mask, bits, fp) of the next buckets of (mask, fp): one row a cut."""
     known = [0]
     for before in (16, 8)[: (16, 8, 4).index(width)]:
-        known = [c for m in known for c in cuts(m, before)]
+        known = sorted({c for m in known for c in cuts(m, before)})  # some come about in two ways
     long = lambda m: F.lit(as_long(m)).cast("long")
     following = F.create_map(*[x for m in known for x in (long(m), F.array(*[long(c) for c in cuts(m, width)]))])
     return rows.withColumn("mask", F.explode(following[F.col("mask")])).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
@@ -94,7 +94,7 @@ def keyed(rows: DataFrame, width: int) -> DataFrame:
 
 def forest(fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (child, parent) of a spanning forest of the fingerprints within ``bits`` of each other: breadth first from the smallest."""
-    left = np.sort(fp)
+    left = np.unique(fp)
     children, parents = [], []
     while len(left):
         wave, left = left[:1], left[1:]
