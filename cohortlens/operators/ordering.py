@@ -82,6 +82,27 @@ def ranked_values(df: DataFrame, groups: list[str], value: Column | str, *, exac
     return running(value_counts(df, groups, value, exact=exact), groups, ["_value"], ["n"])
 
 
+def values_at(ranked: DataFrame, groups: list[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (groups, position, ...) with the value at each 0-based position of its sorted group.
+
+    ``ranked`` is a table of ``ranked_values``. Both are put in one order, a value where its first row stands; the largest value
+    so far, in the range and in the ranges before it, is the one asked for.
+    """
+    others = [c for c in wanted.columns if c not in (*groups, "position")]
+    of_values = ranked.select(*groups, F.col("n_below").alias("position"), F.lit(0).alias("_asked"), F.col("_value").alias("value"))
+    asked = wanted.select(*groups, "position", F.lit(1).alias("_asked"), F.struct(*others).alias("_others"))
+    keyed = _bucketed(cut(of_values.unionByName(asked, allowMissingColumns=True)), [*groups, "position", "_asked"])
+    before = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = keyed.groupBy(*groups, "_bucket").agg(F.max("value").alias("_top")).select(
+        *[F.col(g).alias(f"_o_{g}") for g in groups], F.col("_bucket").alias("_o_bucket"), F.max("_top").over(before).alias("_carried"))
+    inside = W.partitionBy(*groups, "_bucket").orderBy("position", "_asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+    same = F.col("_bucket") == F.col("_o_bucket")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    at = keyed.withColumn("_here", F.max("value").over(inside)).filter("_asked = 1").join(carried, same)
+    return at.select(*groups, "position", F.coalesce("_here", "_carried").alias("value"), "_others.*")
+
+
 def _order_statistic(index: Column) -> Column:
     """Aggregate: the value at a 0-based position of the sorted group."""
     hit = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n"))

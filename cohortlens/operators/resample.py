@@ -1,12 +1,20 @@
 """Bootstrap, permutation and weight-sensitivity with a portable hash generator.
 
-Replicates are rows, not loops: every (replicate, position) pair gets its random number from md5,
-so results do not depend on partitioning, retries or the number of executors. Work grows as
-replicates x rows, which is inherent; each replicate is aggregated with the distributed ordering.
+Random numbers come from md5 of (seed, replicate, ...), so results do not depend on partitioning, retries or the number
+of executors, and SQL can repeat them.
+
+* A quantile of a bootstrap sample needs one or two of its order statistics. The kth smallest of n draws from n sorted rows
+  stands where the kth smallest of n uniform numbers falls, a Beta(k, n - k + 1) variate: a row a replicate, whatever n is,
+  looked up in the ordered counts of the values.
+* A permutation gives label a to the rows with the smallest hashes. Sums over the rows that are surely below the cut are
+  partial aggregates; only rows whose hash lies near the cut, about the square root of their number, are put in order.
+* Means of a resample add up draws by row; that work grows as replicates x rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +23,9 @@ from . import ordering
 from .guards import assert_unique
 from .lineage import cut
 
+TRIES = 40  # of a Beta proposal: all are refused once in 10^19
+SPREAD = 7.0
+
 
 def hash32(*parts: Column | str | int) -> Column:
     """Uniform 32-bit integer from the parts: first 8 hex digits of md5 of the '|'-joined text."""
@@ -52,42 +63,104 @@ def bootstrap_rows(df: DataFrame, group: str, entity: str, cols: list[str], reps
     return draws.join(at.select(group, "pos", *cols), (F.col("_g") == F.col(group)) & (F.col("_idx") == F.col("pos"))).select("rep", group, *cols)
 
 
+def beta_draws(df: DataFrame, keys: list[str], a: str, b: str, *, seed: int = 0, name: str = "u") -> DataFrame:
+    """``df`` (unique ``keys``) with a Beta(a, b) variate for a, b >= 1: closed forms where one of them is 1, else the first
+    accepted of ``TRIES`` logistic proposals (Cheng's BB). All tries of a row are rows of their own until then.
+    """
+    t = df.select(*keys, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("_try"))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("_try").cast("string")))
+    t = t.withColumn("_h", h)
+    for i, at in ((1, 1), (2, 16)):
+        t = t.withColumn(f"_u{i}", (F.conv(F.substring("_h", at, 15), 16, 10).cast("long") + 0.5) / float(1 << 60))
+    low, high, total = F.least("_a", "_b"), F.greatest("_a", "_b"), F.col("_a") + F.col("_b")
+    scale = F.sqrt((total - 2) / (2 * low * high - total))
+    t = t.withColumn("_s", scale).withColumn("_v", F.col("_s") * F.log(F.col("_u1") / (1 - F.col("_u1")))).withColumn("_w", low * F.exp("_v"))
+    fits = (low + 1 / F.col("_s")) * F.col("_v") - math.log(4) + total * F.log(total / (high + F.col("_w"))) >= F.log(F.col("_u1") * F.col("_u1") * F.col("_u2"))
+    part = F.col("_w") / (high + F.col("_w"))
+    t = t.withColumns({
+        "_ok": F.when(low <= 1, F.col("_try") == 0).otherwise(fits),
+        "_x": F.when(F.col("_a") <= 1, 1 - F.pow(1 - F.col("_u1"), 1 / F.col("_b"))).when(F.col("_b") <= 1, F.pow("_u1", 1 / F.col("_a")))
+              .when(F.col("_a") <= F.col("_b"), part).otherwise(high / (high + F.col("_w")))})
+    first = F.min_by(F.when(F.col("_ok"), F.col("_x")), F.when(F.col("_ok"), F.col("_try")))
+    found = t.groupBy(*keys).agg(F.coalesce(first, F.raise_error(F.lit("no Beta proposal was accepted"))).alias(name))
+    return df.join(found, keys)
+
+
+def bootstrap_positions(sizes: DataFrame, group: str, reps: int, probability: float, seed: int = 0) -> DataFrame:
+    """(rep, group, position, share): where the quantile of each bootstrap sample stands among its group's sorted rows.
+
+    sizes (group, size). The quantile is linear between two order statistics of the sample; each is a row, with its share.
+    """
+    rank = F.lit(float(probability)) * (F.col("size") - 1)
+    at = sizes.withColumns({"_k": F.floor(rank) + 1, "_part": rank - F.floor(rank)})
+    at = at.select(group, "size", "_k", "_part", (F.col("size") - F.col("_k") + 1).alias("_rest"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    at = beta_draws(at, [group, "rep"], "_k", "_rest", seed=seed)
+    # of the draws that are larger, the smallest is the least of _rest - 1 uniform numbers above u
+    above = (hash60(seed, group, "rep", F.lit("next")) + 0.5) / float(1 << 60)
+    following = F.col("u") + (1 - F.col("u")) * (1 - F.pow(1 - above, 1 / (F.col("_rest") - 1)))
+    each = F.explode(F.array(F.struct(F.col("u").alias("u"), (1 - F.col("_part")).alias("share")), F.struct(F.when(F.col("_part") > 0, following).alias("u"), F.col("_part").alias("share"))))
+    rows = at.select("rep", group, "size", each.alias("e")).filter(F.col("e.share") > 0)
+    return rows.select("rep", group, F.least(F.floor(F.col("e.u") * F.col("size")), F.col("size") - 1).alias("position"), F.col("e.share").alias("share"))
+
+
+def bootstrap_quantiles(df: DataFrame, group: str, value: str, probability: float, reps: int, seed: int = 0) -> DataFrame:
+    """(rep, group, m): the quantile of every bootstrap sample of every group. The rows are counted and ordered once."""
+    ranked = cut(ordering.ranked_values(df, [group], value))
+    sizes = ranked.groupBy(group).agg(F.max("n_total").alias("size"))
+    wanted = bootstrap_positions(sizes, group, reps, probability, seed)
+    return ordering.values_at(ranked, [group], wanted).groupBy("rep", group).agg(F.sum(F.col("share") * F.col("value")).alias("m"))
+
+
 def bootstrap_interval(df: DataFrame, group: str, entity: str, value: str, a: str, b: str | None = None, *, statistic: str = "median", reps: int = 2000,
                        level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of the median or mean of group a, or of its difference from group b, under independent resampling."""
-    rows = bootstrap_rows(df.filter(F.col(group).isin(*([a] if b is None else [a, b])) & F.col(value).isNotNull()), group, entity, [value], reps, seed)
-    if statistic == "median":
-        each = cut(ordering.medians(rows, ["rep", group], value, "m"))
-    elif statistic == "mean":
-        each = rows.groupBy("rep", group).agg(F.avg(value).alias("m"))
+    """Percentile interval of a statistic of group a, or of its difference from group b, under independent resampling.
+
+    statistic is median, mean or a quantile such as p90. Missing values are left out; a group without values gives NULL.
+    """
+    rows = df.filter(F.col(group).isin(*([a] if b is None else [a, b])) & F.col(value).isNotNull())
+    if statistic == "mean":
+        each = bootstrap_rows(rows, group, entity, [value], reps, seed).groupBy("rep", group).agg(F.avg(value).alias("m"))
+    elif statistic == "median" or statistic[:1] == "p" and statistic[1:].isdigit():
+        each = bootstrap_quantiles(rows, group, value, 0.5 if statistic == "median" else int(statistic[1:]) / 100, reps, seed)
     else:
         raise ValueError(f"unknown statistic {statistic}")
     of = lambda g: F.max(F.when(F.col(group) == g, F.col("m")))
     diff = each.groupBy("rep").agg((of(a) if b is None else of(a) - of(b)).alias("d"))
     tail = (1 - level) / 2
-    return ordering.quantiles(diff, [], "d", {"low": tail, "high": 1 - tail})
+    # a value a replicate: as many as were asked for
+    return diff.agg(F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
 
 
 def permutation_mean_difference(df: DataFrame, group: str, entity: str, value: str, a: str, b: str, *, reps: int = 5000, seed: int = 0) -> DataFrame:
     """Observed mean difference and p = (hits + 1) / (reps + 1) under shuffled labels.
 
-    In each replicate the rows with the smallest hashes take label a. Means under a permutation need
-    only the sum over those rows.
+    In each replicate the rows with the smallest (hash, entity) take label a; an entity stands once in the two groups. Hashes
+    are uniform, so the cut lies within ``SPREAD`` standard errors of na / n: rows below that band are only summed, rows in it are
+    ordered. A replicate whose cut lies outside the band (none in 10^9) takes all its rows into the ordering.
     """
-    d = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, entity, F.col(value).cast("double").alias("v"))
-    total = d.agg(F.struct(F.count_if(F.col(group) == a).alias("na"), F.count("*").alias("n"), F.sum("v").alias("s"),
-                           F.sum(F.when(F.col(group) == a, F.col("v"))).alias("sa"))).scalar()
-    shuffled = d.select(entity, "v", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hash32(seed, "rep", entity))
-    at = ordering.running(shuffled.withColumn("one", F.lit(1)), ["rep"], ["h", entity], ["one"])
-    chosen = at.withColumn("_t", total).filter(F.col("one_below") < F.col("_t.na"))
-    per = chosen.groupBy("rep").agg(F.sum("v").alias("x"), F.any_value("_t").alias("t"))
-
-    def diff(sum_a):
-        t = F.col("t")
-        return sum_a / t["na"] - (t["s"] - sum_a) / (t["n"] - t["na"])
-    null = per.select(F.round(F.abs(diff(F.col("x"))), 9).alias("d"), diff(F.col("t.sa")).alias("obs"))
-    hits = F.count_if(F.col("d") >= F.round(F.abs(F.col("obs")), 9))
-    return null.agg(F.max("obs").alias("observed"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
+    d = cut(assert_unique(df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(entity).alias("_e"), (F.col(group) == a).alias("_a"), F.col(value).cast("double").alias("v")), ["_e"]))
+    total = d.agg(F.count_if("_a").alias("na"), F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.when(F.col("_a"), F.col("v"))).alias("sa")).first()
+    n, na = total["n"], total["na"]
+    if not na or na == n:
+        raise ValueError(f"{a} and {b} both need values")
+    share = na / n
+    width = SPREAD * math.sqrt(share * (1 - share) / n) + 2.0 / n
+    low, high = int(max(share - width, 0) * (1 << 60)), int(min(share + width, 1) * (1 << 60))
+    shuffled = d.select("_e", "v", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hash60(seed, "rep", "_e"))
+    below, inside = F.col("h") < low, (F.col("h") >= low) & (F.col("h") < high)
+    per = cut(shuffled.groupBy("rep").agg(F.count_if(below).alias("n_low"), F.sum(F.when(below, F.col("v")).otherwise(0.0)).alias("x_low"), F.count_if(inside).alias("n_in")))
+    hit = (F.col("n_low") <= na) & (F.col("n_low") + F.col("n_in") >= na)
+    missed = per.filter(~hit).select(F.col("rep").alias("_rep"))
+    near = shuffled.filter(inside).join(missed, F.col("rep") == F.col("_rep"), "left_anti")
+    near = near.unionByName(shuffled.join(missed, F.col("rep") == F.col("_rep"), "left_semi")) if not missed.isEmpty() else near
+    at = ordering.running(near.withColumn("one", F.lit(1)), ["rep"], ["h", "_e"], ["one"])
+    need = per.select(F.col("rep").alias("_rep"), F.when(hit, F.col("x_low")).otherwise(0.0).alias("x_low"), (na - F.when(hit, F.col("n_low")).otherwise(0)).alias("need"))
+    placed = need.join(at, F.col("rep") == F.col("_rep"), "left")
+    x = placed.groupBy("_rep").agg((F.max("x_low") + F.coalesce(F.sum(F.when(F.col("one_below") < F.col("need"), F.col("v"))), F.lit(0.0))).alias("x"))
+    diff = lambda sum_a: sum_a / na - (total["s"] - sum_a) / (n - na)
+    observed = F.lit(diff(total["sa"]))
+    hits = F.count_if(F.round(F.abs(diff(F.col("x"))), 9) >= F.round(F.abs(observed), 9))
+    return x.agg(F.max(observed).alias("observed"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def dirichlet_weight(draw: Column | str, j: int, seed: int = 0) -> Column:

@@ -90,16 +90,41 @@ def _two_boards(t: Tables):
                                                         nulls.ratio("completers", "cohort_size").alias("v"))
 
 
-@query("t05_bootstrap_interval", _BOOT + f"""
-    , draws as (select g, rep, {_HASH60.format("'11|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 1999)) rep)),
-    m as (select rep, draws.g, median(v) m from draws join pos_t on draws.g = pos_t.g and draws.idx = pos_t.pos group by 1, 2),
-    df as (select rep, max(m) filter (g = 'ASIA') - max(m) filter (g = 'EUROPE') d from m group by 1)
+# The order statistics of every bootstrap sample, with the tries of their Beta variates: {seed} and {q} are filled in.
+_ORDER_STATISTICS = """
+    , sizes as (select g, count(*) n, floor({q} * (count(*) - 1)) + 1 k, {q} * (count(*) - 1) - floor({q} * (count(*) - 1)) part from d group by 1),
+    tries as (select g, rep, t, k::double a, (n - k + 1)::double b, md5('{seed}|' || g || '|' || rep || '|' || t) h
+      from sizes, (select unnest(generate_series(0, 1999)) rep), (select unnest(generate_series(0, 39)) t)),
+    us as (select *, (('0x' || substr(h, 1, 15))::bigint + 0.5) / 1152921504606846976.0 u1, (('0x' || substr(h, 16, 15))::bigint + 0.5) / 1152921504606846976.0 u2,
+      least(a, b) lo, greatest(a, b) hi from tries),
+    vs as (select *, case when lo > 1 then sqrt((a + b - 2) / (2 * lo * hi - a - b)) end s from us),
+    ws as (select *, s * ln(u1 / (1 - u1)) v, lo * exp(s * ln(u1 / (1 - u1))) w from vs),
+    xs as (select *, case when lo <= 1 then t = 0 else (lo + 1 / s) * v - ln(4) + (a + b) * ln((a + b) / (hi + w)) >= ln(u1 * u1 * u2) end ok,
+      case when a <= 1 then 1 - pow(1 - u1, 1 / b) when b <= 1 then pow(u1, 1 / a) when a <= b then w / (hi + w) else hi / (hi + w) end x from ws),
+    firsts as (select g, rep, arg_min(x, t) u from xs where ok group by 1, 2),
+    pairs as (select g, rep, n, part, u, u + (1 - u) * (1 - pow(1 - (('0x' || substr(md5('{seed}|' || g || '|' || rep || '|next'), 1, 15))::bigint + 0.5) / 1152921504606846976.0, 1.0 / (n - k))) nx
+      from firsts join sizes using (g)),
+    ats as (select g, rep, 1 - part share, least(floor(u * n), n - 1) pos from pairs union all select g, rep, part, least(floor(nx * n), n - 1) from pairs where part > 0),
+    sorted as (select g, v, row_number() over (partition by g order by v) - 1 pos from d),
+    m as (select rep, g, sum(share * v) m from ats join sorted using (g, pos) group by 1, 2)"""
+
+
+@query("t05_bootstrap_interval", _BOOT + _ORDER_STATISTICS.format(seed=11, q="0.5") + """
+    , df as (select rep, max(m) filter (g = 'ASIA') - max(m) filter (g = 'EUROPE') d from m group by 1)
     select round(quantile_cont(d, 0.025), 6) low, round(quantile_cont(d, 0.975), 6) high from df""", "sup_panel")
 def _(t: Tables):
     b = rs.bootstrap_interval(_two_boards(t), "g", "id", "v", "ASIA", "EUROPE", reps=2000, seed=11)
     return rounded(b, ["low", "high"])
 
 
+@query("t05_bootstrap_quantile_interval", _BOOT + _ORDER_STATISTICS.format(seed=14, q="0.9") + """
+    , df as (select rep, max(m) filter (g = 'EUROPE') d from m group by 1)
+    select round(quantile_cont(d, 0.05), 6) low, round(quantile_cont(d, 0.95), 6) high from df""", "sup_panel")
+def _(t: Tables):
+    b = rs.bootstrap_interval(_two_boards(t), "g", "id", "v", "EUROPE", statistic="p90", reps=2000, level=0.9, seed=14)
+    return rounded(b, ["low", "high"])
+
+
 @query("t05_bootstrap_mean_interval", _BOOT + f"""
     , draws as (select g, rep, {_HASH60.format("'13|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 1999)) rep) where g = 'ASIA'),
     m as (select rep, avg(v) d from draws join pos_t on draws.g = pos_t.g and draws.idx = pos_t.pos group by 1)
@@ -110,7 +135,7 @@ def _(t: Tables):
 
 
 @query("t06_permutation_test", _BOOT + f"""
-    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 4999)) rep)),
+    , sh as (select rep, v, row_number() over (partition by rep order by {_HASH60.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 4999)) rep)),
     k as (select count(*) filter (g = 'ASIA') na, count(*) n, sum(v) s, avg(v) filter (g = 'ASIA') - avg(v) filter (g = 'EUROPE') obs from pos_t),
     x as (select rep, sum(v) x from sh, k where rk <= na group by 1)
     select round(any_value(obs), 6) observed, count_if(round(abs(x / na - (s - x) / (n - na)), 9) >= round(abs(obs), 9)) hits,
