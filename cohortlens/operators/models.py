@@ -1,8 +1,9 @@
 """Supervised models on Spark ML: preparation, hash folds, comparison, calibration and audits.
 
 Fits run on the executors; the driver keeps fitted models and metrics. Folds and splits come from a
-hash of the row id, so a row keeps its fold whatever the partitioning. Boosting has no native
-handling of missing values in Spark ML: the median plus an indicator is used instead.
+hash of the row id, so a row keeps its fold whatever the partitioning. Linear models under folds come from
+``penalised``. Boosting takes missing values as they are: a tree meets every numeric column that has any twice, with the missing
+rows below all values in one copy and above them in the other, so each split learns the side to which they go.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
-from . import ordering
+from . import ordering, penalised
 from .guards import require
 from .lineage import cut
 from .resample import hash32
 
+FIT_ROWS = 50_000
+
 
 @dataclass
 class ModelResult:
@@ -144,11 +147,32 @@ def out_of_fold(df: DataFrame, stages: list, folds: int, output: Column, name: s
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def regression_models(prep: list, y: str, seed: int = 42, iterations: int = 300) -> dict[str, list]:
-    lin = dict(featuresCol="_x", labelCol=y)
-    return {"OLS": [*prep, LinearRegression(**lin)], "ridge": [*prep, LinearRegression(**lin, regParam=0.01, elasticNetParam=0.0)],
-            "lasso": [*prep, LinearRegression(**lin, regParam=0.001, elasticNetParam=1.0)],
-            "gradient boosting": [*prep, GBTRegressor(**lin, seed=seed, maxIter=iterations, maxDepth=3)]}
+def two_sided(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Two copies of each numeric column, missing values below all others in ``_lo_`` and above them in ``_hi_``."""
+    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
+    far = F.lit(1.7e308)
+    return df.withColumns({**{f"_lo_{c}": F.coalesce(v[c], -far) for c in numeric}, **{f"_hi_{c}": F.coalesce(v[c], far) for c in numeric}})
+
+
+def tree_preparation(numeric: list[str], categorical: list[str]) -> list:
+    """Columns for trees: both copies of the numeric ones, and every level of the categorical ones."""
+    stages: list = []
+    parts = [f"_{side}_{c}" for c in numeric for side in ("lo", "hi")]
+    for c in categorical:
+        stages += [StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetDesc"), OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=False)]
+        parts.append(f"_h_{c}")
+    return [*stages, VectorAssembler(inputCols=parts, outputCol="_x")]
+
+
+def boosting(kind, y: str, seed: int, iterations: int):
+    """300 trees of at most 32 leaves at a step of 0.05, split at up to 256 cut points."""
+    return kind(featuresCol="_x", labelCol=y, seed=seed, maxIter=iterations, maxDepth=5, stepSize=0.05, maxBins=256, minInstancesPerNode=20, cacheNodeIds=True)
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """The written table in about a part per ``FIT_ROWS`` rows: a tree is many short jobs, and each pays for every part."""
+    df = cut(df)
+    return cut(df.coalesce(df.count() // FIT_ROWS + 1))
 
 
 def fold_rmse(oof: DataFrame, y: str, model: str) -> DataFrame:
@@ -166,34 +190,63 @@ def mean_baseline(df: DataFrame, y: str) -> DataFrame:
     return df.join(means, F.col("fold") == F.col("_fold")).drop("_fold")
 
 
+def fold_summary(per_fold: DataFrame) -> DataFrame:
+    """Mean and spread of the per-fold RMSE by model, the multiplicative error on a log10 scale, and the penalties fold by fold."""
+    f = per_fold.groupBy("model").agg(F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("fold_sd"), F.sort_array(F.collect_list(F.struct("fold", "penalty"))).alias("_p"))
+    return f.select("model", "rmse", "fold_sd", F.pow(F.lit(10.0), F.col("rmse")).alias("multiplicative_error"),
+                    F.filter(F.transform("_p", lambda x: x["penalty"]), lambda x: x.isNotNull()).alias("penalties"))
+
+
+def boosted_folds(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42, iterations: int = 300) -> DataFrame:
+    """(fold, y, p): out-of-fold predictions of boosting on the folds of ``penalised``; missing values stay missing."""
+    d = df.select(entity, F.col(y).cast("double").alias(y), *numeric, *categorical).dropna(subset=[y, *categorical])
+    d = few_files(two_sided(d, numeric).withColumn("fold", hash_fold(entity, folds, seed)))
+    stages = [*tree_preparation(numeric, categorical), boosting(GBTRegressor, y, seed, iterations)]
+    return cut(out_of_fold(d, stages, folds, F.col("prediction")).select("fold", y, "p"))
+
+
 def compare_regressions(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42,
                         iterations: int = 300, names: tuple[str, ...] = ("OLS", "ridge", "lasso", "gradient boosting")) -> DataFrame:
-    """Cross-validated RMSE of the mean, OLS, ridge, lasso and boosting on the same folds."""
-    d = cut(with_indicators(df.select(entity, y, *numeric, *categorical), numeric).withColumn("fold", hash_fold(entity, folds, seed)))
-    parts = [fold_rmse(mean_baseline(d, y), y, "baseline (mean)")]
-    models = regression_models(preparation(numeric, categorical), y, seed, iterations)
-    for name in names:
-        parts.append(fold_rmse(cut(out_of_fold(d, models[name], folds, F.col("prediction")).select("fold", y, "p")), y, name))
+    """Cross-validated RMSE of the mean, OLS, ridge, lasso and boosting on the same folds, with the penalties that were chosen."""
+    d = cut(df.select(entity, F.col(y).cast("double").alias(y), *numeric, *categorical).dropna(subset=[y, *categorical]))
+    no_penalty = F.array().cast("array<double>")
+    parts = [fold_rmse(mean_baseline(d.withColumn("fold", hash_fold(entity, folds, seed)), y), y, "baseline (mean)").withColumn("penalties", no_penalty)]
+    linear = tuple(n for n in names if n != "gradient boosting")
+    if linear:
+        parts.append(fold_summary(penalised.linear_comparison(d, numeric, categorical, y, entity, folds=folds, seed=seed, names=linear)))
+    if "gradient boosting" in names:
+        oof = boosted_folds(d, numeric, categorical, y, entity, folds=folds, seed=seed, iterations=iterations)
+        parts.append(fold_rmse(oof, y, "gradient boosting").withColumn("penalties", no_penalty))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def missing_strategies(df: DataFrame, numeric: list[str], sparse: str, categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
-    """One sparse predictor, four ways: drop it, impute with indicator, and both choices again on its reporters only."""
-    def score(d, cols, label, sample):
-        e = cut(with_indicators(d.select(entity, y, *cols, *categorical), cols).withColumn("fold", hash_fold(entity, folds, seed)))
-        oof = out_of_fold(e, regression_models(preparation(cols, categorical), y, seed)["OLS"], folds, F.col("prediction"))
-        return fold_rmse(cut(oof.select("fold", y, "p")), y, label).withColumn("sample", F.lit(sample))
-    reporters = df.filter(F.col(sparse).isNotNull())
-    parts = [score(df, numeric, "drop the variable", "all"), score(df, [*numeric, sparse], "impute and indicator", "all"),
-             score(reporters, [*numeric, sparse], "complete cases", "reporters"), score(reporters, numeric, "drop the variable", "reporters")]
+def missing_strategies(df: DataFrame, numeric: list[str], sparse: str, categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42,
+                       iterations: int = 300, native: bool = True) -> DataFrame:
+    """One sparse predictor, all ways on the same folds: drop it, impute with indicator, boosting on the missing values as they are;
+    and on its reporters only complete cases, the predictor dropped, and boosting again."""
+    reporters = df.filter(F.col(sparse).isNotNull() & ~F.isnan(F.col(sparse).cast("double")))
+    every = [*numeric, sparse]
+
+    def ols(d, cols, label, sample):
+        out = fold_summary(penalised.linear_comparison(d, cols, categorical, y, entity, folds=folds, seed=seed, names=("OLS",)))
+        return out.drop("penalties").withColumns({"model": F.lit(label), "sample": F.lit(sample)})
+
+    def boosted(d, sample):
+        return fold_rmse(boosted_folds(d, every, categorical, y, entity, folds=folds, seed=seed, iterations=iterations), y, "boosting, missing as it is").withColumn("sample", F.lit(sample))
+
+    parts = [ols(df, numeric, "drop the variable", "all"), ols(df, every, "impute and indicator", "all"),
+             ols(reporters, every, "complete cases", "reporters"), ols(reporters, numeric, "drop the variable", "reporters")]
+    if native:
+        parts += [boosted(df, "all"), boosted(reporters, "reporters")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], y: str, entity: str, *, repeats: int = 20, seed: int = 0) -> DataFrame:
+def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], y: str, entity: str, *, repeats: int = 20, seed: int = 0,
+                           prepare=lambda d: d) -> DataFrame:
     """RMSE increase when one predictor is shuffled, over ``repeats`` shuffles per predictor.
 
     A shuffle pairs each row's position with the row at the same place in a hash order; every repeat
-    and predictor is scored in the same job.
+    and predictor is scored in the same job. ``prepare`` adds the columns that the model reads.
     """
     t = cut(test)
     at = cut(ordering.row_positions(t.select(entity), [], [entity]).select(entity, "position"))
@@ -202,10 +255,10 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: list
     order = ordering.row_positions(reps.select("rep", "_h", entity), ["rep"], ["_h", entity]).select("rep", entity, "position")
     donors = cut(order.join(t.select(entity, *[F.col(f).alias(f"_d_{f}") for f in features]), entity).drop(entity))
     scored = base.join(donors, "position")
-    start = errors(model.transform(t), y).select("rmse").collect()[0][0]
+    start = errors(model.transform(prepare(t)), y).select("rmse").collect()[0][0]
     parts = []
     for f in features:
-        p = model.transform(scored.withColumn(f, F.col(f"_d_{f}")))
+        p = model.transform(prepare(scored.withColumn(f, F.col(f"_d_{f}"))))
         per = p.groupBy("rep").agg((F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(y), 2))) - start).alias("up"))
         parts.append(per.agg(F.avg("up").alias("rmse_increase"), F.stddev_pop("up").alias("sd")).select(F.lit(f).alias("feature"), "rmse_increase", "sd"))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -248,7 +301,7 @@ def classification_models(numeric: list[str], categorical: list[str], y: str, n_
     """Unit penalty strength: 1 / n_train in Spark's scale, where the loss is a mean."""
     lab = dict(featuresCol="_x", labelCol=y)
     return {"logistic": [*preparation(numeric, categorical, indicators=False), LogisticRegression(**lab, regParam=1 / max(1, n_train), standardization=False)],
-            "gradient boosting": [*preparation(numeric, categorical, scale=False), GBTClassifier(**lab, seed=seed, maxIter=iterations, maxDepth=3)]}
+            "gradient boosting": [*tree_preparation(numeric, categorical), boosting(GBTClassifier, y, seed, iterations)]}
 
 
 def classify_oof(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, model: str, *, folds: int = 5, seed: int = 42,
@@ -256,7 +309,7 @@ def classify_oof(df: DataFrame, numeric: list[str], categorical: list[str], y: s
     """Out-of-fold probabilities of one model on stratified folds: (entity, y, p, carried columns)."""
     cols = list(dict.fromkeys([entity, y, *numeric, *categorical, *carry]))
     d = stratified_folds(df.select(*cols).withColumn(y, F.col(y).cast("double")), y, entity, folds, seed)
-    d = cut(with_indicators(d, numeric))
+    d = few_files(two_sided(with_indicators(d, numeric), numeric))
     stages = classification_models(numeric, categorical, y, d.count() * (folds - 1) // folds, seed, iterations)[model]
     oof = out_of_fold(d, stages, folds, F.get(vector_to_array("probability"), F.lit(1)))
     return cut(oof.select(entity, y, "fold", "p", *[c for c in carry if c not in (entity, y)]))

@@ -73,7 +73,7 @@ def beta_draws(df: DataFrame, keys: list[str], a: str, b: str, *, seed: int = 0,
     for i, at in ((1, 1), (2, 16)):
         t = t.withColumn(f"_u{i}", (F.conv(F.substring("_h", at, 15), 16, 10).cast("long") + 0.5) / float(1 << 60))
     low, high, total = F.least("_a", "_b"), F.greatest("_a", "_b"), F.col("_a") + F.col("_b")
-    scale = F.sqrt((total - 2) / (2 * low * high - total))
+    scale = F.when(low > 1, F.sqrt((total - 2) / (2 * low * high - total)))
     t = t.withColumn("_s", scale).withColumn("_v", F.col("_s") * F.log(F.col("_u1") / (1 - F.col("_u1")))).withColumn("_w", low * F.exp("_v"))
     fits = (low + 1 / F.col("_s")) * F.col("_v") - math.log(4) + total * F.log(total / (high + F.col("_w"))) >= F.log(F.col("_u1") * F.col("_u1") * F.col("_u2"))
     part = F.col("_w") / (high + F.col("_w"))
@@ -97,7 +97,7 @@ def bootstrap_positions(sizes: DataFrame, group: str, reps: int, probability: fl
     at = beta_draws(at, [group, "rep"], "_k", "_rest", seed=seed)
     # of the draws that are larger, the smallest is the least of _rest - 1 uniform numbers above u
     above = (hash60(seed, group, "rep", F.lit("next")) + 0.5) / float(1 << 60)
-    following = F.col("u") + (1 - F.col("u")) * (1 - F.pow(1 - above, 1 / (F.col("_rest") - 1)))
+    following = F.col("u") + (1 - F.col("u")) * (1 - F.pow(1 - above, 1 / F.nullif(F.col("_rest") - 1, F.lit(0))))
     each = F.explode(F.array(F.struct(F.col("u").alias("u"), (1 - F.col("_part")).alias("share")), F.struct(F.when(F.col("_part") > 0, following).alias("u"), F.col("_part").alias("share"))))
     rows = at.select("rep", group, "size", each.alias("e")).filter(F.col("e.share") > 0)
     return rows.select("rep", group, F.least(F.floor(F.col("e.u") * F.col("size")), F.col("size") - 1).alias("position"), F.col("e.share").alias("share"))

@@ -10,6 +10,7 @@ from ..operators import inference as inf
 from ..operators import linear as ln
 from ..operators import models as mo
 from ..operators import panel as pn
+from ..operators import penalised
 from ..operators import segments as sg
 from ..operators.lineage import cut
 from .derived import rounded
@@ -142,6 +143,37 @@ def _(t: Tables):
     return mo.compare_regressions(_customers(t), ["n_orders", "done_share", "balance"], ["segment"], "log_spend", "o_custkey")
 
 
+_ONE_FEATURE = """
+    with o as (select o_custkey id, count(*)::double x, log10(sum(o_totalprice)) y from orders group by 1),
+    d as (select *, ('0x' || substr(md5('42|' || id), 1, 8))::bigint % 5 fold, ('0x' || substr(md5('42|inner|' || id), 1, 8))::bigint % 5 inn from o),
+    f as (select unnest(generate_series(0, 4)) f),
+    st as (select f, avg(x) m, stddev_pop(x) s, avg(y) my, count(*) n from f join d on fold <> f group by 1),
+    z as (select f, fold, inn, (x - m) / s z, y, my, n from d, st),
+    tot as (select f, sum(z * (y - my)) zy from z where fold <> f group by 1),
+    ra as (select i, pow(10, -3 + i * 0.25) a from (select unnest(generate_series(0, 24)) i)),
+    loo as (select f, a, sum(pow((y - my - z * zy / (n + a)) / (1 - 1 / n - z * z / (n + a)), 2)) e from z join tot using (f), ra where fold <> f group by 1, 2),
+    rp as (select f, arg_min(a, e) ridge_penalty from loo group by 1),
+    la as (select f, i, abs(zy) / n * pow(1e-3, i / 99.0) a from tot join st using (f), (select unnest(generate_series(0, 99)) i)),
+    ins as (select f, j, avg(z) mz, avg(y) my, var_pop(z) vz, covar_pop(z, y) c from z, (select unnest(generate_series(0, 4)) j) where fold <> f and inn <> j group by 1, 2),
+    val as (select f, inn j, count(*) n, sum(z) sz, sum(y) sy, sum(z * z) szz, sum(z * y) szy, sum(y * y) syy from z where fold <> f group by 1, 2),
+    mse as (select f, i, avg((syy - 2 * b0 * sy - 2 * b * szy + b0 * b0 * n + 2 * b0 * b * sz + b * b * szz) / n) e from (
+      select *, my - b * mz b0 from (select la.f, i, j, mz, my, sign(c) * greatest(abs(c) - a, 0) / vz b from la join ins using (f))) x join val using (f, j) group by 1, 2),
+    lp as (select f, arg_min(a, e) lasso_penalty, any_value(zy) zy, any_value(n) n from mse join la using (f, i) join tot using (f) join st using (f) group by 1)
+    select f::int fold, round(ridge_penalty, 6) ridge_penalty, round(lasso_penalty, 9) lasso_penalty,
+      round(sqrt(avg(pow(y - my - z * zy / (st.n + ridge_penalty), 2))), 6) ridge_rmse,
+      round(sqrt(avg(pow(y - my - z * sign(zy) * greatest(abs(zy) / st.n - lasso_penalty, 0), 2))), 6) lasso_rmse
+    from (select f, fold, z, y, my from z) z join rp using (f) join (select f, lasso_penalty, zy from lp) lp using (f) join (select f, n from st) st using (f) where fold = f group by all"""
+
+
+@query("m09_penalties_one_feature", _ONE_FEATURE)
+def _(t: Tables):
+    d = t.orders.groupBy("o_custkey").agg(F.count("*").cast("double").alias("x"), F.log10(F.sum("o_totalprice")).alias("y"))
+    per = penalised.linear_comparison(d, ["x"], [], "y", "o_custkey", names=("ridge", "lasso"))
+    of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    return per.groupBy("fold").agg(R(of("ridge", "penalty"), 6).alias("ridge_penalty"), R(of("lasso", "penalty"), 9).alias("lasso_penalty"),
+                                   R(of("ridge", "rmse"), 6).alias("ridge_rmse"), R(of("lasso", "rmse"), 6).alias("lasso_rmse"))
+
+
 @query("m10_missing_strategies")
 def _(t: Tables):
     return mo.missing_strategies(_customers(t), ["n_orders", "done_share"], "balance", ["segment"], "log_spend", "o_custkey")
@@ -150,11 +182,13 @@ def _(t: Tables):
 @query("m11_permutation_importance")
 def _(t: Tables):
     from pyspark.ml import Pipeline
-    d = _customers(t).filter(F.col("balance").isNotNull())
+    from pyspark.ml.regression import GBTRegressor
+    numeric = ["n_orders", "done_share", "balance"]
+    d = _customers(t)
     test = mo.hash_fold("o_custkey", 4, 3) == 0
-    stages = mo.regression_models(mo.preparation(["n_orders", "done_share", "balance"], ["segment"], indicators=False), "log_spend")["gradient boosting"]
-    model = Pipeline(stages=stages).fit(cut(d.filter(~test)))
-    return mo.permutation_importance(model, d.filter(test), ["n_orders", "done_share", "balance", "segment"], "log_spend", "o_custkey", repeats=20)
+    ready = lambda x: mo.two_sided(x, numeric)
+    model = Pipeline(stages=[*mo.tree_preparation(numeric, ["segment"]), mo.boosting(GBTRegressor, "log_spend", 42, 300)]).fit(mo.few_files(ready(d.filter(~test))))
+    return mo.permutation_importance(model, d.filter(test), [*numeric, "segment"], "log_spend", "o_custkey", repeats=20, prepare=ready)
 
 
 def _above(t: Tables):
@@ -216,9 +250,8 @@ def _(t: Tables):
 @query("m15_ablation")
 def _(t: Tables):
     d = _above(t)
-    full = mo.binary_metrics(mo.classify_oof(d, _NUM, ["segment"], "above", "o_custkey", "logistic"), "above", "p").withColumn("features", F.lit("all"))
-    less = mo.binary_metrics(mo.classify_oof(d, ["done_share", "balance"], ["segment"], "above", "o_custkey", "logistic"), "above", "p")
-    return full.unionByName(less.withColumn("features", F.lit("without order counts")))
+    scored = lambda cols: mo.binary_metrics(mo.classify_oof(d, cols, ["segment"], "above", "o_custkey", "gradient boosting"), "above", "p")
+    return scored(_NUM).withColumn("features", F.lit("all")).unionByName(scored(["done_share", "balance"]).withColumn("features", F.lit("without order counts")))
 
 
 @query("m16_standardised_coefficients")
