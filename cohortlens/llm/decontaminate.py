@@ -2,7 +2,7 @@
 
 1. Test items become word trigrams. A bitmap of their hashes, of fixed size, goes to every task.
 2. One pass over the documents keeps the stretches around places where two or more trigrams hit the bitmap within an
-   item's length. The bitmap only pre-selects: false hits fall away in the next join.
+   item's length; an item of just three words has one trigram, and one hit on a second bitmap of those is enough. The bitmap only pre-selects: false hits fall away in the next join.
 3. Seeds are each item's rarer trigrams: of its trigrams, three quarters with the lowest document frequency. Rarity is
    relative to the item, so a passage that stands in a third of all documents still has seeds.
 4. Seeds that agree on an offset (document position minus item position, within half an item) make a candidate.
@@ -47,7 +47,7 @@ def short(h: np.ndarray) -> np.ndarray:
 
 
 def item_table(items: DataFrame) -> DataFrame:
-    """(item_id, n_words, words, grams) of the items with at least three words; one row an id, the longest text."""
+    """(item, item_id, n_words, words, grams) of the items with at least three words; one row for each text of an id, known as item."""
 
     def run(batches):
         words = Words("alnum", latin=True)
@@ -62,28 +62,38 @@ def item_table(items: DataFrame) -> DataFrame:
                 lists(g.view(np.int64), pa.int64(), np.searchsorted(doc[first], np.arange(rows.num_rows + 1)))], ["item_id", "n_words", "words", "grams"])
 
     table = items.select("item_id", "text").filter("item_id is not null").mapInArrow(run, "item_id long, n_words int, words binary, grams array<long>")
-    return table.filter(F.col("n_words") >= GRAM).groupBy("item_id").agg(F.max(F.struct("n_words", "words", "grams")).alias("s")).select("item_id", "s.*")
+    return table.filter(F.col("n_words") >= GRAM).dropDuplicates(["item_id", "words"]).withColumn("item", F.xxhash64("item_id", "words"))
 
 
-def stretches(docs: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
-    """(seg, doc_id, start, words, pos, gram): stretches of documents with at least two bitmap hits close together."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def bitmap_of(grams: DataFrame) -> np.ndarray:
+    """A bit for each slot that a trigram of the items falls into: at most BITS slots, whatever the size of the benchmark."""
+    slots = grams.select(F.pmod("gram", F.lit(BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    return np.packbits(np.bincount(slots, minlength=BITS).astype(bool), bitorder="little") if len(slots) else np.zeros(BITS // 8, np.uint8)
+
+
+def hits_of(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    slot = (g & U64(BITS - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def stretches(docs: DataFrame, bitmap: np.ndarray, lone: np.ndarray, reach: int) -> DataFrame:
+    """(seg, doc_id, start, words, pos, gram): stretches of documents with at least two bitmap hits close together, or one that is also in ``lone``."""
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, lone))
 
     def run(batches):
-        words, bits = Words("alnum", latin=True), shared.value
+        words, (bits, lone_bits) = Words("alnum", latin=True), shared.value
         for rows, raw, at in text_blocks(batches):
             doc, start, end, sums, _ = words(raw, at)
             h = words.hashes(sums, start, end)
             first, g = gram_hashes(h, doc)
-            slot = (g & U64(BITS - 1)).astype(np.int64)
-            hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+            hit = hits_of(bits, g)
             first, g = first[hit], g[hit]
-            if len(first) < 2:
+            if not len(first):
                 continue
             d = doc[first]
             new = np.r_[True, (d[1:] != d[:-1]) | (first[1:] - first[:-1] > reach)]
             cluster = np.cumsum(new) - 1
-            keep = np.bincount(cluster)[cluster] > 1
+            keep = ((np.bincount(cluster) > 1) | (np.bincount(cluster, hits_of(lone_bits, g)) > 0))[cluster]
             first, g, d, cluster = first[keep], g[keep], d[keep], cluster[keep]
             if not len(first):
                 continue
@@ -138,32 +148,29 @@ def contaminated(docs: DataFrame, items: DataFrame, min_ratio: float = MIN_RATIO
     lower-cased (A-Z and Latin-1). ratio is the alignment score over a perfect copy's, word_start and word_end (exclusive) the
     aligned words of the document; of several copies of an item in one document the best, then the first, is reported.
     Items under three words are skipped; null and empty texts match nothing; repeated rows give one result; a
-    null doc_id is kept as null. Of items that repeat an id the longest text counts.
+    null doc_id is kept as null. Every text of items that repeat an id is looked for; the best copy of any is the id's row.
     """
     spark = docs.sparkSession
     table = cut(item_table(items))
-    grams = table.select("item_id", "n_words", F.posexplode("grams").alias("ipos", "gram"))
-    # at most BITS slots, whatever the size of the benchmark
-    slots = grams.select(F.pmod("gram", F.lit(BITS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-    bitmap = np.packbits(np.bincount(slots, minlength=BITS).astype(bool), bitorder="little") if len(slots) else np.zeros(BITS // 8, np.uint8)
+    grams = table.select("item", "n_words", F.posexplode("grams").alias("ipos", "gram"))
     reach = int(table.agg(F.max("n_words")).first()[0] or GRAM)
-    segments = cut(stretches(docs, bitmap, reach).dropDuplicates(["seg"]))
+    segments = cut(stretches(docs, bitmap_of(grams), bitmap_of(grams.filter(F.col("n_words") == GRAM)), reach).dropDuplicates(["seg"]))
 
     hits = segments.select("seg", "doc_id", F.explode(F.arrays_zip("pos", "gram")).alias("hit")).select("seg", "doc_id", "hit.pos", "hit.gram")
     spread = (hits.join(grams.select("gram").distinct(), "gram", "left_semi").select("gram", "doc_id").distinct()
               .groupBy("gram").agg(F.count("*").alias("df")))
-    by_rarity = Window.partitionBy("item_id").orderBy("df", "ipos")  # as many rows as the item has words
+    by_rarity = Window.partitionBy("item").orderBy("df", "ipos")  # as many rows as the item has words
     seeds = cut(grams.join(spread, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-                .withColumns({"rank": F.row_number().over(by_rarity), "m": F.count("*").over(Window.partitionBy("item_id"))})
-                .filter(F.col("rank") <= F.ceil(F.col("m") * 0.75)).select("item_id", "n_words", "gram", "ipos", F.ceil(F.col("m") * 0.75).alias("seeds")))
+                .withColumns({"rank": F.row_number().over(by_rarity), "m": F.count("*").over(Window.partitionBy("item"))})
+                .filter(F.col("rank") <= F.ceil(F.col("m") * 0.75)).select("item", "n_words", "gram", "ipos", F.ceil(F.col("m") * 0.75).alias("seeds")))
     half = F.greatest(F.lit(8), F.floor(F.col("n_words") / 2))
     near = (hits.join(seeds, "gram").withColumn("diag", F.col("pos") - F.col("ipos"))
             .withColumn("b", F.explode(F.array(F.floor(F.col("diag") / half), F.floor(F.col("diag") / half) - 1)))
-            .groupBy("seg", "item_id", "b", "ipos").agg(F.min("diag").alias("lo"), F.max("diag").alias("hi"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"))
-            .groupBy("seg", "item_id", "b").agg(F.count("*").alias("n_seeds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"))
-            .filter(F.col("n_seeds") >= F.least(F.lit(2), "seeds")).select("seg", "item_id", "n_seeds", "lo", "hi", "n_words"))
+            .groupBy("seg", "item", "b", "ipos").agg(F.min("diag").alias("lo"), F.max("diag").alias("hi"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"))
+            .groupBy("seg", "item", "b").agg(F.count("*").alias("n_seeds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"))
+            .filter(F.col("n_seeds") >= F.least(F.lit(2), "seeds")).select("seg", "item", "n_seeds", "lo", "hi", "n_words"))
     pairs = (near.join(segments.select("seg", "doc_id", "start", F.col("words").alias("text_words")), "seg")
-             .join(table.select("item_id", "words"), "item_id")
+             .join(table.select("item", "item_id", "words"), "item")
              .withColumn("pad", F.floor(F.col("n_words") / 4) + 4)
              .withColumn("from", F.greatest(F.lit(0), F.col("lo") - F.col("pad")))
              # only the window travels on: four bytes a word
@@ -208,4 +215,5 @@ def contaminated(docs: DataFrame, items: DataFrame, min_ratio: float = MIN_RATIO
 def drop_contaminated(docs: DataFrame, items: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The rows of ``docs`` that copy no test item; rows without doc_id stay unless another row without it copies one."""
     bad = cut(contaminated(docs, items, min_ratio).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    kept = docs.alias("d").join(sized(bad).alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b._bad")), "left_anti")
+    return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cohortlens.llm.decontaminate import align, contaminated, drop_contaminated, padded
 
@@ -53,3 +54,33 @@ def test_every_item_is_found_in_the_documents(spark, documents):
     texts = {r.item_id: r.text for r in items.collect()}
     want = {(d.doc_id, i) for d in documents.collect() for i, t in texts.items() if t in d.text}
     assert want <= {(r.doc_id, r.item_id) for r in contaminated(documents, items).collect()}
+
+
+def test_items_of_three_words_and_texts_that_share_an_id(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (3, prose(903, 40)), (3, prose(904, 12)), (3, prose(904, 12)), (4, "alpha beta")], "item_id long, text string")
+    docs = [(10, "Alpha, beta gamma!"), (11, prose(1, 30) + " alpha beta gamma " + prose(2, 300)), (12, prose(904, 12)), (13, prose(903, 40)), (14, "alpha beta delta gamma"), (15, prose(5, 200)), (16, "alpha beta")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_bad", F.lit(1))
+    got = {(r.doc_id, r.item_id, r.ratio) for r in contaminated(df, items).collect()}
+    assert got == {(10, 1, 1.0), (11, 1, 1.0), (12, 3, 1.0), (13, 3, 1.0)}
+    kept = drop_contaminated(df, items)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {14, 15, 16}
+
+
+def test_edited_copies_by_edit_rate(spark):
+    """Random words replaced, left out or put in: all copies with up to one edit in ten words are found, nearly all with one in five."""
+    r = random.Random(6)
+    texts = {i: prose(700 + i, 30 + 3 * i, vocabulary=900) for i in range(12)}
+    docs, doc = [], 0
+    for rate in (0.0, 0.05, 0.1, 0.2):
+        for i, t in texts.items():
+            words = []
+            for w in t.split():
+                x = r.random()
+                words += [w] if x > rate else [["other"], [], [w, "more"]][r.randrange(3)]
+            docs.append((doc, f"{prose(9000 + doc, 60)} {' '.join(words)} {prose(9500 + doc, 60)}", i, rate))
+            doc += 1
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in contaminated(df, spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()}
+    share = {rate: sum((d, i) in found for d, _, i, q in docs if q == rate) / len(texts) for rate in (0.0, 0.05, 0.1, 0.2)}
+    assert share[0.0] == share[0.05] == share[0.1] == 1 and share[0.2] >= 0.9, share
+    assert all((d, i) in {(x[0], x[2]) for x in docs} for d, i in found)
