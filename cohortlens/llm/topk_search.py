@@ -7,7 +7,8 @@ bin that holds the kth largest becomes the next range, until it is one integer w
 to its own kth score: what lies lower cannot hold the kth of all. The last round keeps scores at or above the kth
 value, at most k a tile with the smaller id first, and a ranked window ends it.
 
-Products are sums of integers in float64, exact below 2**53.
+Products are sums of integers: in float64 while no score can pass 2**53, in int64 beyond that, and refused where a score
+could pass int64.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from cohortlens.operators.lineage import cut
 
 ROWS, QUERIES = 4096, 1024
 BINS = 4096
+LIMIT = 1 << 61  # of a score: ranges of scores are added and doubled in int64
 
 
 def whole_vectors(rows: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -34,7 +36,8 @@ def whole_vectors(rows: DataFrame, scale: float = 256.0) -> DataFrame:
 
 def matrix(table: pa.Table) -> np.ndarray:
     column = table.column("v").combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    whole = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return whole.astype(np.int64) if pa.types.is_integer(column.type.value_type) else whole
 
 
 def tiles(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int):
@@ -46,13 +49,13 @@ def tiles(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int):
 
 
 def strips(left: pa.Table, right: pa.Table):
-    """(query rows, scores) in strips of bounded size; a query's own row scores -inf."""
+    """(query rows, scores) in strips of bounded size; a query's own row scores below all others."""
     a, b = matrix(left), matrix(right)
     own, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
     step = max(1, (1 << 20) // max(1, len(ids)))
     for lo in range(0, len(own), step):
         scores = a[lo: lo + step] @ b.T
-        scores[own[lo: lo + step][:, None] == ids[None, :]] = -np.inf
+        scores[own[lo: lo + step][:, None] == ids[None, :]] = -np.inf if scores.dtype.kind == "f" else -LIMIT - 1
         yield np.arange(lo, min(lo + step, len(own))), scores
 
 
@@ -61,7 +64,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> DataFr
 
     rows (vec_id, embedding); ``is_query`` is a condition on vec_id. Ties go to the smaller vec_id. Rows that repeat a
     vec_id are candidates each (with equal scores, both are listed) and never their own; repeated query rows count once.
-    Empty input gives no rows.
+    Empty input gives no rows. Vectors so long that a score may pass ``LIMIT`` are an error, not a rounded score.
     """
     all_rows = cut(whole_vectors(rows, scale))
     queries = all_rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
@@ -70,6 +73,11 @@ def top_k(rows: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> DataFr
     reach = all_rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     if reach is None:
         return all_rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+    if reach >= LIMIT:
+        raise ValueError(f"integer scores may reach {reach:.3g}, beyond {LIMIT}: choose a smaller scale")
+    if reach >= 1 << 52:
+        all_rows = cut(all_rows.withColumn("v", F.transform("v", lambda x: x.cast("long"))))
+        queries = all_rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("v"))
     # lo: the lowest score of the range, need: which of the scores in it (1 = largest) is wanted
     state = cut(queries.select("query_id", "v", F.lit(-int(reach) - 1).cast("long").alias("lo"), F.lit(k).cast("long").alias("need")))
     width = 2 * (int(reach) + 1) + 1

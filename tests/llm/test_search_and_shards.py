@@ -35,6 +35,24 @@ def test_top_k(spark, monkeypatch, bins, rows, queries):
     assert sorted(map(tuple, got.collect())) == brute(data, 10, 5)
 
 
+@pytest.mark.parametrize("size", [1e3, 2.0**21, 2.0**23])
+def test_top_k_of_large_components(spark, size):
+    """Scores on both sides of 2**53, with neighbours that float64 could not tell apart."""
+    r = random.Random(7)
+    data = [(i, [float(round(r.uniform(-size, size) / 2)) / 256 + size / 512, size / 4, 1.0 / 256]) for i in range(40)]
+    data += [(50 + i, [*data[10][1][:2], (i % 3) / 256]) for i in range(12)]  # scores one apart
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df.repartition(4), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == brute(data, 10, 5)
+
+
+@pytest.mark.parametrize("size", [1e12, 1e300])
+def test_scores_beyond_int64_are_refused(spark, size):
+    df = spark.createDataFrame([(0, [size]), (1, [size])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="smaller scale"):
+        topk_search.top_k(df, F.col("vec_id") == 0)
+
+
 def test_top_k_of_few_or_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk_search.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128)]
