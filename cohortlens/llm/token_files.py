@@ -5,12 +5,14 @@ ascending doc_id order. A row holds doc_id, its file's number, the ids before it
 integers in runs, keeps minima and maxima of doc_id for every ``STRIDE`` rows and a Bloom filter beside them; readers split at
 stripes, and a filter on doc_id skips the stripes and strides that cannot hold it.
 
-A text's pre-tokens are encoded by the tokenizers library's model, each once while a task remembers it, and gathered; a text that holds one of the tokenizer's added tokens is encoded whole.
+Texts are cut into units (``units``), each encoded by the tokenizers library once while a task remembers it, and gathered; a
+text that holds one of the tokenizer's added tokens is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 
@@ -24,15 +26,13 @@ from tokenizers import Tokenizer
 
 from cohortlens.operators.lineage import cut, run_dir
 
-from .pretokens import piece_blocks, pretokens, ragged
+from .blocks import text_blocks
+from .pretokens import ragged
+from .units import UnitIds, counted, cut_units
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 STRIPE_BYTES, STRIDE = 16 << 20, 1000
-REMEMBERED = 300_000  # pre-tokens
-# How byte-level vocabularies write bytes: printable ones as themselves, the others as the letters from U+0100 on.
-PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 SCHEMA = "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>"
 
 
@@ -40,46 +40,39 @@ def added_tokens(tokenizer: str) -> list[str]:
     return [t["content"] for t in json.loads(tokenizer).get("added_tokens", [])]
 
 
-class PieceIds:
-    """Ids of pre-tokens by the library's BPE model, each encoded once while it is remembered (at most ``REMEMBERED`` and a block)."""
+def chunk_encoder(tokenizer: Tokenizer):
+    """The library over many strings at once, as ``UnitIds`` asks for it."""
+    return lambda texts: counted([e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.model = tokenizer.model
-        self.forget()
 
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+def id_bytes(tokenizer: Tokenizer) -> np.ndarray:
+    """The number of bytes that each id stands for: a byte-level vocabulary writes a letter a byte. 0 for added tokens."""
+    out = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        out[i] = len(token)
+    return out
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(store of ids, its offsets, where each piece stands in it)."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        fresh = [p for p in pieces if p not in self.number]
-        tokens = [self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS)) for p in fresh]
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array([t.id for some in tokens for t in some], np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(some) for some in tokens], dtype=np.int64)])
-        return self.ids, self.at, np.array([self.number[p] for p in pieces], np.int64)
 
-
-def encoded(docs: DataFrame, tokenizer: str, pattern: str, end: int | None) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
     """Rows of ``SCHEMA`` for sorted ``docs`` (doc_id, text); tokenizer is the library's JSON."""
     special = F.lit(False)
     for token in added_tokens(tokenizer):
         special = special | F.contains("text", F.lit(token))
-    rows = docs.select("doc_id", F.when(special, F.col("text")).alias("_whole"), F.when(special, F.array().cast("array<string>")).otherwise(pretokens(F.col("text"), pattern)).alias("_pieces"))
+    rows = docs.select("doc_id", F.when(special, F.col("text")).alias("_whole"), F.when(special, F.lit("")).otherwise(F.col("text")).alias("text"))
     source = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         known, part, before = Tokenizer.from_str(source.value), TaskContext.get().partitionId(), 0
-        remembered = PieceIds(known)
+        remembered = UnitIds([chunk_encoder(known)], [id_bytes(known)])
         tail = np.array([] if end is None else [end], np.int64)
-        for block, pieces, number, at in piece_blocks(batches):
-            ids, ids_at, place = remembered(pieces.to_pylist())
-            value, out = ragged(ids, ids_at, place[number] if len(number) else number.astype(np.int64))
-            out = out[at]
-            lists = None
+        for block, raw, at in text_blocks(batches):
+            start, solid = cut_units(raw, at)
+            value, out = np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+            if len(start):
+                place = remembered(raw, start, solid)
+                value, unit_end = ragged(remembered.ids[0], remembered.at[0], place)
+                out = unit_end[np.searchsorted(start, at)]
             whole = block.column(1)
             if whole.null_count < len(whole):
                 lists = [value[a:b] if t is None else np.array(known.encode(t, add_special_tokens=False).ids, np.int32) for a, b, t in zip(out[:-1], out[1:], whole.to_pylist(), strict=True)]
@@ -101,16 +94,17 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end: int | None) -> D
     return rows.mapInArrow(run, SCHEMA)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, pattern: str = public_tokenizers.PATTERN, end: int | None = END) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int | None = END) -> None:
     """Encode ``docs`` (doc_id, text) and write the files to ``path``, which must not exist.
 
     Null and empty texts have the end id alone. Rows that repeat a doc_id stand side by side, by the hash of their
-    text; a null doc_id comes first. ``tokenizer`` is a path.
+    text; a null doc_id comes first. ``tokenizer`` is the path of a byte-level vocabulary whose pattern ends a match before a
+    space that follows no white space.
     """
     with open(tokenizer or public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
         source = f.read()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    (encoded(ordered, source, pattern, end).write.option("compression", "zstd").option("orc.stripe.size", str(STRIPE_BYTES))
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    (encoded(ordered, source, end).write.option("compression", "zstd").option("orc.stripe.size", str(STRIPE_BYTES))
      .option("orc.row.index.stride", str(STRIDE)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
 
