@@ -14,9 +14,10 @@ difference is at most D = (a + b) * (100 - t) / (100 + t).
 * **Verification** counts common shingles exactly.
 
 Texts with equal sets are one class from the start. A meeting place (bucket) never yields all its pairs: each member
-is paired with the bucket's first and with the one before it, the verified links are joined to components, and only buckets that
-still hold several components go on, one of those with the same members, without members whose shingles no other
-component has: their sketches are compared in place, tile by tile.
+is paired with the bucket's first and with the one before it, and the verified links are joined to components. Buckets that
+still hold several components, one of those with the same members, go on: their members meet a few others by chance, which joins
+most components of a group of near copies; what is left after that, without members whose shingles no other component has, is compared in
+place, tile by tile, verified there, and a spanning forest leaves each tile.
 Sets and classes are known by 64-bit hashes.
 """
 
@@ -35,7 +36,8 @@ from .joins import sized
 
 WORDS = 5
 PERCENT = 80
-TILE = 512
+TILE, TILE_BYTES = 512, 4 << 20
+TURNS = 3
 SAMPLE = 4096  # classes in which heavy shingles are looked for
 STEP = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F),
         U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
@@ -321,8 +323,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             (rx, ox), (ry, oy) = raw_rows(batch.column(2)), raw_rows(batch.column(3))
             for i in range(batch.num_rows):
                 x, y = rx[ox[i]: ox[i + 1]].view(np.uint64), ry[oy[i]: oy[i + 1]].view(np.uint64)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(x, y, percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -351,42 +352,74 @@ def could_link(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: i
     return members
 
 
-def pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of the buckets (sign, node, root, rows) that pass the sketch test.
+def tiled(members: DataFrame) -> DataFrame:
+    """(sign, i, j, tile, node, root, n_shingles, sketch, shingles): members dealt to pairs of tiles of their bucket.
 
-    A bucket is cut into tiles of about ``TILE`` members and each pair of tiles is one bounded group, compared in place
-    with whole-array operations; only pairs that pass leave it.
+    The members of a bucket's largest component need not meet one another: they have tiles of their own, which meet only those of the
+    other members. A tile has about ``TILE`` members and ``TILE_BYTES`` of shingles.
     """
-    tiles = F.ceil(F.col("rows") / TILE).cast("int")
-    rows = (members.select("sign", "node", "root", "rows").join(nodes.select("node", "n_shingles", "sketch"), "node")
-            .withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("node"), tiles).cast("int")}))
-    # tile t meets the tiles above it as the left side, itself and those below as the right side
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(
-        F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
-    rows = rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch")
+    by_root = members.groupBy("sign", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    big = F.max_by("root", F.struct("n", "root")).alias("big")
+    total = by_root.groupBy("sign").agg(big, F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max("n").alias("n_big"), F.max_by("weight", F.struct("n", "root")).alias("w_big"))
+    many = lambda n, w: F.greatest(F.lit(1), F.ceil(n / TILE), F.ceil(w * 8 / TILE_BYTES)).cast("int")
+    total = cut(total.select(F.col("sign").alias("_sign"), "big", many(F.col("n") - F.col("n_big"), F.col("weight") - F.col("w_big")).alias("others"), many(F.col("n_big"), F.col("w_big")).alias("bigs")))
+    rows = members.join(sized(total), F.col("sign") == F.col("_sign"))
+    in_big = F.col("root") == F.col("big")
+    tile = F.when(in_big, F.col("others") + F.pmod(F.xxhash64("node"), "bigs")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    met = F.sequence(F.lit(0), F.when(in_big, F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
+    rows = rows.withColumn("tile", tile)
+    meets = F.explode(F.transform(met, lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
+    return rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch", "shingles")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components (root) of the buckets (sign, node, root).
+
+    Each pair of tiles is one bounded group: sketches are compared with whole-array operations, pairs that pass and are not yet
+    joined there are verified on the spot, and a spanning forest of what they join leaves it.
+    """
+    rows = tiled(members.select("sign", "node", "root").join(nodes.select("node", "n_shingles", "sketch"), "node").join(sets, "node"))
 
     def compared(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in t.column_names[:-1])
+        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in t.column_names[:-2])
         raw, at = raw_rows(t.column("sketch").chunk(0))
+        shingle, set_at = raw_rows(t.column("shingles").chunk(0))
         head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        found = [np.zeros((0, 2), np.int64)]  # tiles may be empty
+        found: list[tuple[int, int]] = []
         for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
             width = int(np.diff(at[lo: hi + 1]).min()) // 8  # every sketch folds to the narrowest
             folded = np.array([np.bitwise_xor.reduce(raw[at[r]: at[r + 1]].view(np.uint64).reshape(-1, width), axis=0) for r in range(lo, hi)])
             n, r, c = size[lo:hi], root[lo:hi], node[lo:hi]
             left = np.arange(hi - lo) if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == i[lo])
             right = left if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == j[lo])
+            parent = {x: x for x in set(r.tolist())}
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            of = lambda k, lo=lo: shingle[set_at[lo + k]: set_at[lo + k + 1]].view(np.uint64)
             for part in range(0, len(left), 64):  # bounded temporaries
                 x = left[part: part + 64]
                 apart = np.bitwise_count(folded[x][:, None] ^ folded[right][None]).sum(2, dtype=np.int64)
                 nx, ny = n[x][:, None], n[right][None]
                 good = ((apart * (100 + percent) <= (nx + ny) * (100 - percent)) & (nx * percent <= ny * 100) & (ny * percent <= nx * 100)
                         & (r[x][:, None] != r[right][None]) & (c[x][:, None] < c[right][None] if i[lo] == j[lo] else True))
-                p, q = np.nonzero(good)
-                found.append(np.stack([c[x[p]], c[right[q]]], axis=1))
-        found = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["a", "b"])
+                for p, q in zip(*(k.tolist() for k in np.nonzero(good)), strict=True):
+                    a, b = x[p], right[q]
+                    ra, rb = find(r[a]), find(r[b])
+                    if ra != rb and similar(of(a), of(b), percent):
+                        parent[ra] = rb
+                        found.append((min(c[a], c[b]), max(c[a], c[b])))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         held = None  # the group that may go on in the next batch
@@ -406,6 +439,33 @@ def pairs_across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` (sign, node) with the root of each node."""
+    return members.join(components(links), "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
+
+
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """(sign, rows) of the buckets that hold several components, one of those with the same members."""
+    return (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
+            .filter("lo <> hi and rows > 2").groupBy("who", "rows").agg(F.min("sign").alias("sign")).select("sign", "rows"))
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket as a star and a chain."""
+    near = members.filter("node <> head").select("node", F.explode(F.array("head", "prev")).alias("other"))
+    return near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
+
+
+def met_by_chance(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links between components of open buckets (sign, node, root, rows): members meet in cells of about eight, dealt anew each turn."""
+    cell = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rows") / 8))
+    pairs = neighbours(buckets(rest.select(F.xxhash64("sign", cell, F.lit(turn)).alias("sign"), "node")))
+    placed = cut(rest.select("node", "root").distinct())
+    left, right = (placed.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")) for side in "ab")
+    apart = pairs.join(left, "a").join(right, "b").filter("_a <> _b").select("a", "b")
+    return cut(verified(cut(sketch_test(apart, nodes, percent)), sets, percent))
+
+
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -423,24 +483,23 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     members = cut(buckets(signatures(docs, bands, shared, n)))
 
     # every bucket as a chain and a star
-    near = members.filter("node <> head").select("node", F.explode(F.array("head", "prev")).alias("other"))
-    near = cut(near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct())
-    tested = cut(sketch_test(near, nodes, percent))
+    tested = cut(sketch_test(cut(neighbours(members)), nodes, percent))
     sets = cut(sets_of(docs, nodes, tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct(), n))
     links = cut(verified(tested, sets, percent))
 
     # what still holds several components
-    placed = members.join(components(links), "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
-    open_ = (placed.groupBy("sign").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("who"))
-             .filter("lo <> hi and rows > 2").groupBy("who", "rows").agg(F.min("sign").alias("sign")).select("sign", "rows"))
-    rest = cut(placed.join(open_, "sign").select("sign", "node", "root", "rows"))
+    placed = with_roots(members, links)
+    rest = cut(placed.join(open_buckets(placed), "sign").select("sign", "node", "root", "rows"))
     sets = cut(sets_of(docs, nodes, rest.select("node").distinct(), n))
-    rest = could_link(rest, sets, nodes, percent)
-    left = cut(rest.groupBy("sign").agg(F.count("*").alias("rows")))  # tiles follow the members that are left
-    rest = rest.drop("rows").join(sized(left), "sign")
-    again = pairs_across(rest, nodes, percent)
-    again = cut(again.distinct().join(near, ["a", "b"], "left_anti"))
-    links = links.unionByName(cut(verified(again, sets, percent)))
+    for turn in range(TURNS):
+        more = met_by_chance(rest, nodes, sets, percent, turn)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        placed = with_roots(rest.select("sign", "node"), links)
+        rest = cut(placed.join(open_buckets(placed), "sign").select("sign", "node", "root", "rows"))
+    rest = could_link(rest.drop("rows"), sets, nodes, percent)
+    links = links.unionByName(cut(links_across(rest, nodes, sets, percent)))
 
     roots = components(links)
     placed = table.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -455,4 +514,5 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that share a doc_id are one document and stay together; a row without doc_id stays.
     """
     gone = similarity_classes(docs, percent).filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(sized(cut(gone.distinct())), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    kept = docs.alias("d").join(sized(cut(gone.distinct())).alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+    return kept.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -72,34 +72,52 @@ def test_large_buckets_in_tiles(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
 
+def hashes_of(words):
+    return np.sort(np.array(words, np.uint64)).tobytes()
+
+
 def test_pruned_bucket_over_many_partitions(spark, monkeypatch):
-    """One bucket of two members that are left of many: some tiles are empty, and a partition may hold no other pair of tiles."""
+    """One bucket of two members that are left of many, over more partitions than there are pairs of tiles."""
     monkeypatch.setattr(jaccard_join, "TILE", 2)
-    members = spark.createDataFrame([(s, 2 * s + i, 2 * s + i, 40) for s in range(12) for i in range(2)], "sign long, node long, root long, rows long")
+    members = spark.createDataFrame([(s, 2 * s + i, 2 * s + i) for s in range(12) for i in range(2)], "sign long, node long, root long")
     nodes = spark.createDataFrame([(n, 10, bytes(8)) for n in range(24)], "node long, n_shingles long, sketch binary")
+    sets = spark.createDataFrame([(n, hashes_of(range(n // 2, n // 2 + 10))) for n in range(24)], "node long, shingles binary")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "60")
     try:
-        got = sorted(tuple(r) for r in jaccard_join.pairs_across(members, nodes, 80).collect())
+        got = sorted(tuple(r) for r in jaccard_join.links_across(members, nodes, sets, 80).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == [(2 * s, 2 * s + 1) for s in range(12)]
 
 
-def test_tiles_follow_the_members_left(spark, monkeypatch):
-    """A passage shared by unrelated texts makes large buckets; pairs_across is given the number of members that could_link left."""
-    seen, inner = [], jaccard_join.pairs_across
-
-    def spy(members, nodes, percent):
-        seen.extend((r.rows, r["count"]) for r in members.groupBy("sign", "rows").count().collect())
-        return inner(members, nodes, percent)
-
-    monkeypatch.setattr(jaccard_join, "pairs_across", spy)
-    rows = texts()
+@pytest.mark.parametrize("weight", [4 << 20, 200])
+def test_tiles_give_a_forest_that_joins_what_pairs_would(spark, monkeypatch, weight):
+    """Sets on a line, each linked with its neighbours only, and one large component: few rows leave the tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", weight)
+    sets = {n: range(3 * n, 3 * n + 20) for n in range(60)}
+    root = {n: (0 if n < 25 else n) for n in sets}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    links = [tuple(r) for r in jaccard_join.links_across(
+        frame([(5, n, root[n]) for n in sets], "sign long, node long, root long"), frame([(n, 20, bytes(8)) for n in sets], "node long, n_shingles long, sketch binary"),
+        frame([(n, hashes_of(list(s))) for n, s in sets.items()], "node long, shingles binary"), 70).collect()]
+    assert all(len(set(sets[a]) & set(sets[b])) * 100 >= 70 * len(set(sets[a]) | set(sets[b])) and root[a] != root[b] for a, b in links)
+    parent = dict(root)
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in links:
+        parent[find(root[a])] = find(root[b])
+    assert len({find(r) for r in root.values()}) == 1 and len(set(links)) < 60
+
+
+def test_a_group_of_near_copies_below_the_limit(spark, monkeypatch):
+    """Copies with so many edits that most pairs stay below the limit: few rows go through, and none is lost."""
+    monkeypatch.setattr(jaccard_join, "TILE", 64)
+    hot = prose(55, 150)
+    rows = [(i, edited(hot, 2 + i % 4, 3000 + i)) for i in range(420)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
-    assert seen and all(rows == count for rows, count in seen)
 
 
 def test_documents(documents):
