@@ -3,7 +3,7 @@
 A word enters as two learned vectors side by side: the mean of its character n-gram vectors (n-grams of 3 to 5 bytes
 and the word's beginnings and ends) and the vector of the word itself, both from hashed tables. Two gated recurrent
 layers read a window of words in both directions, attention weighs the positions, and a logistic unit scores the
-window. All overlapping windows of a text are scored; the text's score is the largest.
+window. Windows of 64 words begin every 32 words; all of a text are scored, and the text's score is the largest.
 
 Fitting runs on the driver over a bounded sample of labelled rows: ``per_class`` toxic rows and twice as many others, those
 with the smallest hashed text, among texts of at most ``fit_bytes`` bytes. Labels are known for whole texts only, so each
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import U64, Words, mix, text_blocks
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32  # words: any 33 neighbours stand together in a window
 CHARS, WORDS_ = 1 << 17, 1 << 16  # rows of the hashed tables
 WIDTH, HIDDEN = 6, 8  # of each table; of each direction
 THRESHOLD = 0.3
@@ -275,7 +275,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, fit_bytes:
     rows = (docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("b")).filter((F.col("b") <= fit_bytes) & ~held_out(F.col("doc_id")))
             .join(known, "doc_id").groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")))
     first = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    chosen = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_class * (2 - F.col("toxic"))).select(F.col("doc_id").alias("_doc"), "h", "toxic")
+    chosen = rows.withColumn("r", F.row_number().over(first)).filter((F.col("r") <= 2 * per_class) & (F.col("r") <= per_class * (2 - F.col("toxic")))).select(F.col("doc_id").alias("_doc"), "h", "toxic")
     # at most 3 * per_class rows of 20 bytes
     return docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("h"))).select("text", "toxic", "h")
 

@@ -39,7 +39,8 @@ def test_windows_cover_every_word():
         raw = ("w " * n).encode()
         b = X.Block(X.Words("alnum"), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         covered = {k for s, m in zip(b.begin, b.size, strict=True) for k in range(s, s + m)}
-        assert covered == set(range(n)) and len(b.owner) == max(1, 1 + -(-(n - 64) // 48))
+        assert covered == set(range(n)) and len(b.owner) == max(1, 1 + -(-(n - 64) // 32))
+        assert all(any(s <= k and k + 33 <= s + m for s, m in zip(b.begin, b.size, strict=True)) for k in range(n - 32))
 
 
 def test_toxicity_held_out_and_odd_rows(spark, odd):
