@@ -126,6 +126,77 @@ def _(t: Tables):
     return _results(components.check(components.curate(adm, "admissions"), "admissions"))
 
 
+# Every rule pack over the supplier panel: the pack's columns as expressions that both engines read, and each rule's offenders.
+_TOTALS = {"EFYAIANT": "completers", "EFYASIAT": "cohort_size - completers - case when unitid % 7 = 0 then 3 else 0 end", **{c: "0" for c in ("EFYBKAAT", "EFYHISPT", "EFYNHPIT", "EFYWHITT", "EFY2MORT", "EFYUNKNT")},
+           "EFYNRALT": "case when unitid % 11 = 0 then -2 else 0 end"}
+_ID = "unitid * 10000 + survey_year"
+_ROWS = {  # pack -> columns
+    "characteristics": {"UNITID": "case when unitid % 9 = 0 then unitid else " + _ID + " end", "INSTNM": "case when control > 20 then null else concat('s', unitid) end", "SECTOR": "control * 5", "CONTROL": "control % 6 - 1"},
+    "admissions": {"UNITID": "unitid", "APPLCN": "applicants - 20", "ADMSSN": "admits", "ENRLT": "enrolled * 2"},
+    "twelve_month": {"UNITID": "unitid", "EFFYALEV": "survey_year % 5", "EFFYLEV": "1", "EFYTOTLT": "cohort_size - case when unitid % 13 = 0 then 100 else 0 end", **_TOTALS},
+    "fall_enrollment": {"UNITID": "unitid", "EFALEVEL": "case when survey_year > 1999 then 1 else survey_year end", "EFTOTLT": "admits - 25", "EFTOTLM": "completers"},
+    "completions": {"UNITID": "unitid", "CIPCODE": "case when survey_year = 1995 then '99' else concat('0', survey_year % 10) end", "AWLEVEL": "control % 3", "MAJORNUM": "1",
+                    "CTOTALT": "case when survey_year = 1995 then cohort_size * 6 else completers - 12 end"},
+    "graduation": {"UNITID": "unitid", "GRTYPE": "survey_year - survey_year % 2", "CHRTSTAT": "1", "GRTOTLT": "completers - 15"},
+    "graduation_200": {"UNITID": _ID, "BAGR100": "50", "BAGR150": "completers * 2", "BAGR200": "completers + enrolled"},
+    "outcomes": {"UNITID": "unitid", "OMCHRT": "survey_year", "OMRCHRT": "cohort_size", "OMACHRT": "cohort_size + case when control > 22 then 1 else 0 end", "OMAWDN4": "completers", "OMAWDN6": "enrolled", "OMAWDN8": "enrolled + control - 3",
+                 "OMENRYI": "cohort_size - enrolled - control + 3", "OMENRAI": "case when unitid % 5 = 0 then 2 else 0 end", "OMENRUN": "0"},
+    "aid": {"UNITID": _ID, "ANYAIDP": "completers * 3", "FGRNT_N": "admits", "PGRNT_N": "enrolled + control"},
+    "finance": {"UNITID": _ID, "REPORTING_STANDARD": "case when control = 4 then null else 'A' end", "TOTAL_REVENUES": "completers - 10", "TOTAL_EXPENSES": "enrolled - 15"},
+    "staff": {"UNITID": "unitid", "STAFFCAT": "survey_year % 6", "FTPT": "1", "OCCUPCAT": "2", "HRTOTLT": "completers - 18"},
+    "library": {"UNITID": _ID, "LEXPTOT": "cohort_size - 30", "LSALWAG": "completers", "LFRNGBN": "cohort_size - completers - 30", "LEXMSTL": "case when control % 2 = 0 then 3 else 0 end", "LEXOMTL": "0",
+                "LEXMSBB": "case when control % 4 = 0 then 3 else 0 end", "LEXMSCS": "0", "LEXMSOT": "1", "LEXOMPS": "case when control > 20 then 1 else -1 end", "LEXOMOT": "1"},
+}
+
+
+def _sums(total, parts, tolerance):
+    present = " or ".join(f"{p} is not null" for p in parts)
+    return f"({present}) and abs({' + '.join(f'coalesce({p}, 0)' for p in parts)} - {total}) > {tolerance}"
+
+
+_OFFENDERS = {  # pack -> (rule, severity, offending rows); dup is the number of rows of the key
+    "characteristics": [("unique_key(UNITID)", "error", "dup > 1"), ("not_null(UNITID,INSTNM)", "error", "INSTNM is null"), ("subset_of(CONTROL)", "error", "CONTROL not in (1, 2, 3, -3)"), ("in_range(SECTOR,0,99)", "error", "SECTOR > 99")],
+    "admissions": [("unique_key(UNITID)", "error", "dup > 1"), ("in_range(APPLCN,0,None)", "error", "APPLCN < 0"), ("admitted_le_applied", "error", "ADMSSN > APPLCN"), ("enrolled_le_admitted", "error", "ENRLT > ADMSSN")],
+    "twelve_month": [("unique_key(UNITID,EFFYALEV)", "error", "dup > 1"), ("in_range(EFYTOTLT,0,None)", "error", "EFYTOTLT < 0"), ("sums_to(EFYTOTLT)", "warn", _sums("EFYTOTLT", list(_TOTALS), 0))],
+    "fall_enrollment": [("unique_key(UNITID,EFALEVEL)", "error", "dup > 1"), ("in_range(EFTOTLT,0,None)", "error", "EFTOTLT < 0")],
+    "completions": [("unique_key(UNITID,CIPCODE,AWLEVEL,MAJORNUM)", "error", "dup > 1"), ("in_range(CTOTALT,0,None)", "error", "CTOTALT < 0"),
+                    ("rolls_up(CTOTALT, CIPCODE==99)", "error", "CIPCODE = '99' and abs(coalesce(CTOTALT, 0) - detail) > 0")],
+    "graduation": [("unique_key(UNITID,GRTYPE)", "error", "dup > 1"), ("in_range(GRTOTLT,0,None)", "error", "GRTOTLT < 0")],
+    "graduation_200": [("unique_key(UNITID)", "error", "dup > 1"), ("in_range(BAGR200,0,100)", "warn", "BAGR200 < 0 or BAGR200 > 100"), ("monotone_200_ge_150", "error", "BAGR150 > BAGR200")],
+    "outcomes": [("unique_key(UNITID,OMCHRT)", "error", "dup > 1"), ("in_range(OMACHRT,0,None)", "error", "OMACHRT < 0"), ("adjusted_le_reported", "error", "OMACHRT > OMRCHRT"),
+                 ("sums_to(OMACHRT)", "warn", _sums("OMACHRT", ["OMAWDN8", "OMENRYI", "OMENRAI", "OMENRUN"], 0)), ("award_monotone_4_6_8", "error", "OMAWDN8 < OMAWDN6 or OMAWDN6 < OMAWDN4")],
+    "aid": [("unique_key(UNITID)", "error", "dup > 1"), ("in_range(ANYAIDP,0,100)", "warn", "ANYAIDP < 0 or ANYAIDP > 100"), ("pell_le_federal_grant", "error", "PGRNT_N > FGRNT_N")],
+    "finance": [("unique_key(UNITID)", "error", "dup > 1"), ("not_null(REPORTING_STANDARD)", "error", "REPORTING_STANDARD is null"), ("in_range(TOTAL_REVENUES,0,None)", "warn", "TOTAL_REVENUES < 0"),
+                ("in_range(TOTAL_EXPENSES,0,None)", "warn", "TOTAL_EXPENSES < 0")],
+    "staff": [("unique_key(UNITID,STAFFCAT)", "error", "dup > 1"), ("in_range(HRTOTLT,0,None)", "error", "HRTOTLT < 0")],
+    "library": [("unique_key(UNITID)", "error", "dup > 1"), ("in_range(LEXPTOT,0,None)", "error", "LEXPTOT < 0"), ("sums_to(LEXPTOT)", "error", _sums("LEXPTOT", ["LSALWAG", "LFRNGBN", "LEXMSTL", "LEXOMTL"], 1)),
+                ("sums_to(LEXMSTL)", "error", _sums("LEXMSTL", ["LEXMSBB", "LEXMSCS", "LEXMSOT"], 1)), ("sums_to(LEXOMTL)", "error", _sums("LEXOMTL", ["LEXOMPS", "LEXOMOT"], 1))],
+}
+
+
+def _pack_sql(pack):
+    spec = components.COMPONENTS[pack]
+    plain = {*spec.grain, *spec.categoricals, "INSTNM", "REPORTING_STANDARD"}  # keys, codes and text are not masked
+    columns = ", ".join(f"{e} {c}" for c, e in _ROWS[pack].items())
+    masked = ", ".join(c if c in plain else f"case when {c} not in (-1, -2, -3, -9) then {c} end {c}" for c in _ROWS[pack])
+    detail = ", sum(case when CIPCODE <> '99' then coalesce(CTOTALT, 0) else 0 end) over (partition by UNITID, AWLEVEL, MAJORNUM) detail" if pack == "completions" else ""
+    return f"""
+    , raw as (select {columns} from sup_panel), masked as (select {masked} from raw),
+    v as (select UNITID i, *, count(*) over (partition by {", ".join(spec.grain)}) dup{detail} from masked)
+    """ + _rule_sql(_OFFENDERS[pack])
+
+
+def _pack(pack):
+    def run(t: Tables):
+        rows = t.sup_panel.select(*[F.expr(e).alias(c) for c, e in _ROWS[pack].items()])
+        return _results(components.check(components.curate(rows, pack), pack))
+    query(f"q10_pack_{pack}", _pack_sql(pack), "sup_panel")(run)
+
+
+for _name in _ROWS:
+    _pack(_name)
+
+
 @query("q11_total_gaps", """
     , p as (select survey_year, sum(n) s from cust_panel group by 1), f as (select year(o_orderdate) survey_year, count(*) + case when year(o_orderdate) > 1999 then 7 else 0 end published from orders group by 1, year(o_orderdate))
     select survey_year, cast(s as bigint) parts_sum, published, cast(s - published as bigint) gap from p join f using (survey_year) where abs(s - published) > 5""", "cust_panel")
