@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import panel as pn
 from ..operators.lineage import cut, run_dir
-from ..sources import parsers, readers, sinks
+from ..sources import parsers, readers, records, sinks
 from .derived import rounded
 from .registry import query
 from .served import landed
@@ -46,6 +46,15 @@ def _(t: Tables):
     return readers.read_survey(t.spark, path, ["UNITID", "CIPCODE", "BALANCE"])
 
 
+@query("s02_quoted_line_breaks", """
+    select doc_id, lang, length(coalesce(text, '')) n, md5(coalesce(text, '')) digest from documents""")
+def _(t: Tables):
+    raw = t.documents.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    d = records.read_csv(t.spark, landed(t, raw, "csv", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    text = F.coalesce("text", F.lit(""))
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(text).alias("n"), F.md5(text).alias("digest"))
+
+
 @query("s03_encoding_detection", r"""
     select doc_id, case when regexp_matches(text, '[^\x{00}-\x{7f}]') and not regexp_matches(text, '[^\x{00}-\x{ff}]') then 'cp1252' else 'utf-8-sig' end encoding from documents""")
 def _(t: Tables):
@@ -81,6 +90,37 @@ def _(t: Tables):
     return lines.groupBy("member").agg(F.count("*").alias("n_lines"), F.sum(q).alias("quantity"))
 
 
+@query("s04_archive_columns", """
+    select l_orderkey "ORDERKEY", count(*) n, sum(l_quantity::int)::bigint quantity, count_if(l_returnflag = 'R') breaks, case when l_orderkey % 3 = 0 then 'cp1252' else 'utf-8-sig' end encoding,
+      case when l_orderkey % 3 = 0 then 'François €' else 'François Ł' end "NAME", max(case when l_orderkey % 2 = 0 then l_linenumber end)::bigint line
+    from lineitem group by 1""")
+def _(t: Tables):
+    """Zips of two layouts and two encodings, with line breaks and quotes inside fields."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag"))).alias("rows"))
+
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for k, rows in zip(pdf["k"], pdf["rows"], strict=True):
+                encoding, name = ("cp1252", "François €") if k % 3 == 0 else ("utf-8-sig", "François Ł")
+                layout = "orderkey,Line ,Q,Note,Name" if k % 2 == 0 else "Q,Note,orderkey,Name"
+                body = [layout]
+                for r in rows:
+                    note = '"said ""yes""\r\n, twice"' if r["l_returnflag"] == "R" else "plain"
+                    body.append(f"{k},{r['l_linenumber']},{r['q']},{note},{name}" if k % 2 == 0 else f"{r['q']},{note},{k},{name}")
+                buf = io.BytesIO()
+                with zipfile.ZipFile(buf, "w") as z:
+                    z.writestr(f"o{k}.csv", "n,q,p\nfirst,0,0\n")
+                    z.writestr(f"o{k}_rv.csv", ("\r\n".join(body) + "\r\n").encode(encoding))
+                out.append((f"/raw/o{k}.zip", buf.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    d = readers.read_archives(lines.mapInPandas(pack, "path string, content binary"))
+    broken = F.count_if(F.col("NOTE") == 'said "yes"\r\n, twice')
+    return d.groupBy(F.col("ORDERKEY").cast("long").alias("ORDERKEY"), "encoding", "NAME").agg(
+        F.count("*").alias("n"), F.sum(F.col("Q").cast("long")).alias("quantity"), broken.alias("breaks"), F.max(F.col("LINE").cast("long")).alias("line"))
+
+
 @query("s05_provisional_flag", """
     select p_partkey, (p_size < 30 or p_size >= 45) and p_partkey > 500 provisional from part""")
 def _(t: Tables):

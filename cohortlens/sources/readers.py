@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, StructType
 from ..functions.nulls import number
 from ..functions.text import plain_text
 from ..operators.guards import assert_unique
+from ..operators.lineage import cut
+from . import records
 
 # File prefix of each component.
 COMPONENT_PREFIX = {
@@ -43,10 +45,6 @@ TEXT_COLUMNS = {"institution_name", "state", "cip_code"}
 CODE_COLUMNS = {"CIPCODE", "OPEID", "ZIP", "EIN", "UEIS", "F1SYSCOD"}
 
 
-def _read_text_csv(spark: SparkSession, path, encoding: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, multiLine=True, quote='"', escape='"')
-
-
 def component_file(component: str, year: int) -> str:
     return f"{COMPONENT_PREFIX[component].lower()}_{year}.csv"
 
@@ -56,7 +54,7 @@ def read_component(spark: SparkSession, component: str, year: int, path) -> Data
     if component not in COMPONENT_COLUMNS:
         raise KeyError(component)
     known = COMPONENT_COLUMNS[component]
-    raw = _read_text_csv(spark, path, "ISO-8859-1")
+    raw = records.read_csv(spark, path, "ISO-8859-1")
     present = {c.strip().lower(): c for c in raw.columns}
     out = []
     for source, name in known.items():
@@ -77,7 +75,7 @@ def read_survey(spark: SparkSession, path, usecols: list[str] | None = None, *,
 
     An absent requested column raises KeyError naming it. Unrequested columns are never parsed.
     """
-    raw = _read_text_csv(spark, path, encoding)
+    raw = records.read_csv(spark, path, encoding)
     present = {tidy_header(c): c for c in raw.columns}
     wanted = [c.upper() for c in usecols] if usecols else list(present)
     absent = [c for c in wanted if c not in present]
@@ -101,10 +99,14 @@ def detect_encoding(files: DataFrame) -> DataFrame:
 
 
 def read_detected(spark: SparkSession, glob: str, usecols: list[str] | None = None) -> DataFrame:
-    """Survey files of one layout, each read in the encoding that its whole content shows: one scan per encoding."""
-    found = detect_encoding(binary_files(spark, glob)).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()  # paths, not contents
-    names = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252"}
-    return stack_files([read_survey(spark, r["paths"], usecols, encoding=names[r["encoding"]]) for r in found])
+    """Survey files of one layout, each read in the encoding that all its lines show: one scan per encoding."""
+    found = records.detect_encodings(spark, glob).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()  # paths, not contents
+    return stack_files([read_survey(spark, r["paths"], usecols, encoding="cp1252" if r["encoding"] == "cp1252" else "UTF-8") for r in found])
+
+
+def read_archives(files: DataFrame, rule: str = "shortest", encoding: str | None = None) -> DataFrame:
+    """Zips (path, content) to text columns: the chosen member's records in the member's own encoding, parsed by its header."""
+    return records.archive_columns(cut(records.archive_records(files, lambda names: pick_member(names, rule), encoding)))
 
 
 def pick_member(names: list[str], rule: str) -> str | None:
