@@ -67,7 +67,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
         remembered = UnitIds([chunk_encoder(known)], [id_bytes(known)])
         tail = np.array([] if end is None else [end], np.int64)
         for block, raw, at in text_blocks(batches):
-            start, solid = cut_units(raw, at)
+            start, solid = cut_units(raw, at, fine=True)
             value, out = np.zeros(0, np.int32), np.zeros(len(at), np.int64)
             if len(start):
                 place = remembered(raw, start, solid)

@@ -9,12 +9,14 @@ side in longer strings, whose ids are dealt back by their byte lengths.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 200  # units encoded side by side
 REMEMBERED = 300_000  # units
+BLANKS = frozenset((9, 10, 11, 12, 13, 32))
 
 
 def spaced(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,25 +29,35 @@ def spaced(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(n + 1)
 
 
-def cut_units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of every unit, ends with a character that is surely no white space). Empty texts have no unit.
+LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+MARK = np.isin(np.arange(256), [b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"])
 
-    After a character of two or more bytes that could be Unicode white space by its first byte no cut is made.
+
+def cut_units(raw: np.ndarray, at: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(start of every unit, how it ends: 2 with an ASCII letter, 1 with another character that is surely no white space, else 0).
+    Empty texts have no unit.
+
+    After a character of two or more bytes that could be Unicode white space by its first byte no cut is made. ``fine`` also cuts between an
+    ASCII letter and a mark (not an apostrophe), and before any ASCII white space: a byte-level pattern ends a match there too.
     """
     n = len(raw)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int8)
     solid = (raw > 32) & (raw != 127)
     high = raw >= 128
     two, three = np.zeros(n, bool), np.zeros(n, bool)
     two[1:] = raw[:-1] == 0xC2
     three[2:] = (raw[:-2] >= 0xE1) & (raw[:-2] <= 0xE3)
     solid &= ~(high & (two | three))
+    letter = LETTER[raw]
     head = np.zeros(n + 1, bool)
     head[1:n] = (raw[1:] == 32) & solid[:-1]
+    if fine:
+        head[1:n] |= (raw[1:] >= 9) & (raw[1:] <= 13) & solid[:-1] | MARK[raw[1:]] & letter[:-1]
     head[at] = True
     start = np.flatnonzero(head[:n])
-    return start, solid[np.r_[start[1:], n] - 1]
+    last = np.r_[start[1:], n] - 1
+    return start, solid[last].astype(np.int8) + letter[last]
 
 
 class UnitIds:
@@ -63,13 +75,14 @@ class UnitIds:
 
     def chunks(self, fresh: list[bytes], solid: np.ndarray) -> list[list[bytes]]:
         out: list[list[bytes]] = []
-        joinable = False
-        for unit, ends_well in zip(fresh, solid.tolist(), strict=True):
-            if joinable and unit[:1] == b" " and len(out[-1]) < CHUNK:
+        before = 0  # how the unit before ends
+        for unit, end in zip(fresh, solid.tolist(), strict=True):
+            first = unit[0]
+            if (before and first in BLANKS or before == 2 and MARK[first]) and len(out[-1]) < CHUNK:
                 out[-1].append(unit)
             else:
                 out.append([unit])
-            joinable = ends_well
+            before = end
         return out
 
     def learn(self, fresh: list[bytes], solid: np.ndarray) -> None:
@@ -105,15 +118,18 @@ class UnitIds:
         column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, end[-1:]].astype(np.int64)), pa.py_buffer(raw)])
         coded = column.dictionary_encode()
         units, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ends_well = np.zeros(len(units), bool)
+        ends_well = np.zeros(len(units), np.int8)
         ends_well[index] = solid
-        new = [i for i, u in enumerate(units) if u not in self.number]
-        if new:
-            self.learn([units[i] for i in new], ends_well[new])
-        return np.array([self.number[u] for u in units], np.int64)[index]
+        known, get = len(self.number), self.number.get
+        number = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self.learn([units[i] for i in new.tolist()], ends_well[new])
+            number[new] = known + np.arange(len(new))
+        return number[index]
 
 
 def counted(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lists of ids as (all ids, ids a list)."""
     count = np.array([len(r) for r in rows], np.int64)
-    return np.fromiter((i for r in rows for i in r), np.int32, int(count.sum())), count
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(count.sum())), count

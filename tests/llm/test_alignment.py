@@ -140,4 +140,6 @@ def test_units_join_to_the_text_and_cut_after_solid_characters_only():
     parts = [bytes(raw[a:b]).decode() for a, b in zip(start, np.r_[start[1:], len(raw)], strict=True)]
     assert "".join(parts) == "".join(" " + t for t in texts)
     assert parts[:6] == [" a", " b", "  c", " a  b", " 　 x", " é"] and " tab\t z" in parts
-    assert all(ok == (not p[-1].isspace()) or p[-1] > "\x7f" for p, ok in zip(parts, solid, strict=True))
+    assert all((ok > 0) == (not p[-1].isspace()) or p[-1] > "\x7f" for p, ok in zip(parts, solid, strict=True))
+    start, _ = units.cut_units(*(np.frombuffer(b"it's (a)b, c.\n\nd, e1;f", np.uint8), np.array([0, 22])), fine=True)
+    assert start.tolist() == [0, 4, 7, 9, 10, 12, 13, 16, 17]
