@@ -17,7 +17,8 @@ Texts with equal sets are one class from the start. A meeting place (bucket) nev
 is paired with the bucket's first and with the one before it, and the verified links are joined to components. Buckets that
 still hold several components, one of those with the same members, go on: their members meet a few others by chance, which joins
 most components of a group of near copies; what is left after that, without members whose shingles no other component has, is compared in
-place, tile by tile, verified there, and a spanning forest leaves each tile.
+place. In a bucket of at most ``FEW`` members the pairs that pass the sketch test go on to verification; a larger one is compared tile by
+tile, verified there, and a spanning forest leaves each tile.
 Sets and classes are known by 64-bit hashes.
 """
 
@@ -38,6 +39,7 @@ WORDS = 5
 PERCENT = 80
 TILE, TILE_BYTES = 512, 4 << 20
 TURNS = 3
+FEW = 64
 SAMPLE = 4096  # classes in which heavy shingles are looked for
 STEP = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F),
         U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
@@ -352,8 +354,8 @@ def could_link(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: i
     return members
 
 
-def tiled(members: DataFrame) -> DataFrame:
-    """(sign, i, j, tile, node, root, n_shingles, sketch, shingles): members dealt to pairs of tiles of their bucket.
+def tiled(members: DataFrame, *carried: str) -> DataFrame:
+    """(sign, i, j, tile, node, root, n_shingles, sketch, carried columns): members dealt to pairs of tiles of their bucket.
 
     The members of a bucket's largest component need not meet one another: they have tiles of their own, which meet only those of the
     other members. A tile has about ``TILE`` members and ``TILE_BYTES`` of shingles.
@@ -369,7 +371,7 @@ def tiled(members: DataFrame) -> DataFrame:
     met = F.sequence(F.lit(0), F.when(in_big, F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
     rows = rows.withColumn("tile", tile)
     meets = F.explode(F.transform(met, lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
-    return rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch", "shingles")
+    return rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch", *carried)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -378,19 +380,22 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
     """Links (a, b) that join different components (root) of the buckets (sign, node, root).
 
     Each pair of tiles is one bounded group: sketches are compared with whole-array operations, pairs that pass and are not yet
-    joined there are verified on the spot, and a spanning forest of what they join leaves it.
+    joined there are verified on the spot, and a spanning forest of what they join leaves it. Without ``sets`` the pairs that pass
+    leave it unverified.
     """
-    rows = tiled(members.select("sign", "node", "root").join(nodes.select("node", "n_shingles", "sketch"), "node").join(sets, "node"))
+    members = members.select("sign", "node", "root").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows = tiled(members) if sets is None else tiled(members.join(sets, "node"), "shingles")
+    verify = sets is not None
 
     def compared(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in t.column_names[:-2])
+        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in ("sign", "i", "j", "tile", "node", "root", "n_shingles"))
         raw, at = raw_rows(t.column("sketch").chunk(0))
-        shingle, set_at = raw_rows(t.column("shingles").chunk(0))
+        shingle, set_at = raw_rows(t.column("shingles").chunk(0)) if verify else (None, None)
         head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         found: list[tuple[int, int]] = []
         for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
@@ -415,10 +420,12 @@ def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent:
                         & (r[x][:, None] != r[right][None]) & (c[x][:, None] < c[right][None] if i[lo] == j[lo] else True))
                 for p, q in zip(*(k.tolist() for k in np.nonzero(good)), strict=True):
                     a, b = x[p], right[q]
-                    ra, rb = find(r[a]), find(r[b])
-                    if ra != rb and similar(of(a), of(b), percent):
+                    if verify:
+                        ra, rb = find(r[a]), find(r[b])
+                        if ra == rb or not similar(of(a), of(b), percent):
+                            continue
                         parent[ra] = rb
-                        found.append((min(c[a], c[b]), max(c[a], c[b])))
+                    found.append((min(c[a], c[b]), max(c[a], c[b])))
         return pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
@@ -499,7 +506,10 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
         placed = with_roots(rest.select("sign", "node"), links)
         rest = cut(placed.join(open_buckets(placed), "sign").select("sign", "node", "root", "rows"))
     rest = could_link(rest.drop("rows"), sets, nodes, percent)
-    links = links.unionByName(cut(links_across(rest, nodes, sets, percent)))
+    crowded = cut(rest.groupBy("sign").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("sign"))
+    # in a bucket of few members a member meets few others: those pairs go to where the sets are, in a larger one the sets come to the tiles
+    few = cut(links_across(rest.join(sized(crowded), "sign", "left_anti"), nodes, None, percent).distinct())
+    links = links.unionByName(cut(verified(few, sets, percent))).unionByName(cut(links_across(rest.join(sized(crowded), "sign", "left_semi"), nodes, sets, percent)))
 
     roots = components(links)
     placed = table.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -68,6 +68,7 @@ def test_against_brute_force(spark):
 
 def test_large_buckets_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 5)
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
     rows = texts()
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
 
