@@ -139,7 +139,12 @@ def read_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
     """Text columns of CSV files of one layout, each with a header; every file is read in as many tasks as it has splits."""
     lines = split_lines(spark, path)
     if not lines.filter(is_odd(F.col("line"))).limit(1).count():  # every line is a record
-        return spark.read.csv(path, header=True, inferSchema=False, encoding="windows-1252" if encoding.lower() == "cp1252" else encoding, quote='"', escape='"')
+        cp1252 = encoding.lower() in ("cp1252", "windows-1252")
+        raw = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1" if cp1252 else encoding, quote='"', escape='"')
+        if not cp1252:
+            return raw
+        table = str.maketrans(LATIN_CONTROLS, CP1252)
+        return raw.select(*[F.translate(F.col(f"`{c}`"), LATIN_CONTROLS, CP1252).alias(c.translate(table)) for c in raw.columns])
     rows = records(lines).withColumn("record", decoded(F.col("record"), encoding))
     first = (F.col("split") == 0) & (F.col("at") == 0)
     headers = [r[0] for r in rows.filter(first).select(F.regexp_replace("record", "\r$", "")).distinct().limit(2).collect()]
