@@ -182,12 +182,11 @@ def _(t: Tables):
 @query("m11_permutation_importance")
 def _(t: Tables):
     from pyspark.ml import Pipeline
-    from pyspark.ml.regression import GBTRegressor
     numeric = ["n_orders", "done_share", "balance"]
     d = _customers(t)
     test = mo.hash_fold("o_custkey", 4, 3) == 0
     ready = lambda x: mo.two_sided(x, numeric)
-    model = Pipeline(stages=[*mo.tree_preparation(numeric, ["segment"]), mo.boosting(GBTRegressor, "log_spend", 42, 300)]).fit(mo.few_files(ready(d.filter(~test))))
+    model = Pipeline(stages=[*mo.tree_preparation(numeric, ["segment"]), mo.boosting(mo.GBTRegressor, "log_spend", 42, 300)]).fit(mo.few_files(ready(d.filter(~test))))
     return mo.permutation_importance(model, d.filter(test), [*numeric, "segment"], "log_spend", "o_custkey", repeats=20, prepare=ready)
 
 

@@ -157,3 +157,17 @@ def test_comparison_tables(frame_):
     assert len(out["ridge"].penalties) == 5 and out["OLS"].penalties == [] and out["OLS"].rmse < out["baseline (mean)"].rmse
     ways = mo.missing_strategies(frame_, ["b", "c"], "a", ["g"], "y", "id", iterations=3).collect()
     assert len(ways) == 6 and {r.sample for r in ways} == {"all", "reporters"} and sum("boosting" in r.model for r in ways) == 2
+
+
+def test_importance_and_classifiers_on_missing_values(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+    r = np.random.default_rng(2)
+    rows = [(i, float(i % 5 == 0), None if i % 5 == 0 else float(r.normal()), float(r.normal()), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y double, x double, noise double, g string")
+    ready = lambda d: mo.two_sided(d, ["x", "noise"])
+    model = Pipeline(stages=[*mo.tree_preparation(["x", "noise"], ["g"]), mo.boosting(GBTRegressor, "y", 1, 10)]).fit(mo.few_files(ready(df)))
+    got = {x.feature: x.rmse_increase for x in mo.permutation_importance(model, df, ["x", "noise", "g"], "y", "id", repeats=3, prepare=ready).collect()}
+    assert got["x"] > 0.1 and abs(got["noise"]) < 0.02 and abs(got["g"]) < 0.02
+    p = mo.classify_oof(df, ["x", "noise"], ["g"], "y", "id", "gradient boosting", folds=2, iterations=5)
+    assert mo.binary_metrics(p, "y", "p").first()["auc"] == 1.0 and p.count() == 300
