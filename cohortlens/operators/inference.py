@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,27 +40,37 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 def rank_comparisons(df: DataFrame, label: str, value: str, labels: list[str]) -> DataFrame:
     """Mann-Whitney U and Cliff's delta for every pair of the listed groups.
 
-    Each row is emitted once per pair its group belongs to (number of groups minus one), then
-    counted per (pair, value); U is a running-sum statistic. Output: pair, a, b, n_a, n_b, u,
-    cliffs_delta, z (tie-corrected, with continuity correction).
+    One ordering pass for all pairs: a value carries how many rows of each group it has, and the running sums of those. U of all
+    pairs, and the sums that correct for ties, are products of these vectors, added up by task; no row is copied for a pair.
+    Output: pair, a, b, n_a, n_b, u, cliffs_delta, z (tie-corrected, with continuity correction). A group without rows gives NULL.
     """
-    pairs = list(combinations(labels, 2))
-    member = F.array(*[F.when(F.col(label).isin(a, b), F.struct(F.lit(i).alias("pair"), (F.col(label) == a).alias("is_a")))
-                       for i, (a, b) in enumerate(pairs)])
-    rows = df.filter(F.col(label).isin(*labels)).select(
-        F.col(value).alias("_v"), F.explode(F.filter(member, lambda x: x.isNotNull())).alias("m")).select("_v", "m.pair", "m.is_a")
-    counts = ordering.value_counts(rows, ["pair"], "_v", {"n_a": F.count_if(F.col("is_a")), "n_b": F.count_if(~F.col("is_a"))})
-    r = ordering.running(counts, ["pair"], ["_value"], ["n_a", "n_b"])
-    t = F.col("n").cast("double")
-    u = F.sum(F.col("n_a") * (F.col("n_b_below") + F.col("n_b") / 2))
-    g = r.groupBy("pair").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), u.alias("u"), F.sum(t * t * t - t).alias("_ties"))
+    k = len(labels)
+    own = {f"g{i}": F.count_if(F.col(label) == name) for i, name in enumerate(labels)}
+    counts = ordering.value_counts(df.filter(F.col(label).isin(*labels)), [], value, own)
+    r = ordering.running(counts, [], ["_value"], list(own)).select(*own, *[f"{c}_below" for c in own])
+
+    def products(batches):
+        size, u, ties = np.zeros(k), np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(float)
+            n, below = x[:, :k], x[:, k:]
+            size += n.sum(axis=0)
+            u += n.T @ (below + n / 2)
+            # the sum of t^3 - t over t = n_a + n_b, multiplied out
+            cube, square = (n**3 - n).sum(axis=0), (n**2).T @ n
+            ties += cube[:, None] + cube[None, :] + 3 * (square + square.T)
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(i))), *(pa.array(c) for c in (size[i], size[j], u[i, j], ties[i, j]))], ["pair", "n_a", "n_b", "u", "_ties"])
+
+    g = r.mapInArrow(products, "pair long, n_a double, n_b double, u double, _ties double").groupBy("pair").agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("n_a", "n_b")], F.sum("u").alias("u"), F.sum("_ties").alias("_ties"))
     n = (F.col("n_a") + F.col("n_b")).cast("double")
     prod = F.col("n_a").cast("double") * F.col("n_b")
     sd = F.sqrt(prod / 12 * (n + 1 - ratio("_ties", n * (n - 1))))
     z = ratio(F.greatest(F.abs(F.col("u") - prod / 2) - 0.5, F.lit(0.0)), sd)
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return g.withColumn("_p", F.get(names, F.col("pair"))).select(
-        "pair", "_p.a", "_p.b", "n_a", "n_b", "u", (ratio(F.col("u") * 2, prod) - 1).alias("cliffs_delta"), z.alias("z"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(labels, 2)])
+    return g.withColumn("_p", F.get(names, F.col("pair").cast("int"))).select(
+        F.col("pair").cast("int").alias("pair"), "_p.a", "_p.b", "n_a", "n_b", "u", (ratio(F.col("u") * 2, prod) - 1).alias("cliffs_delta"), z.alias("z"))
 
 
 def mann_whitney(df: DataFrame, label: str, value: str, labels: list[str]) -> DataFrame:

@@ -60,6 +60,16 @@ def running(counts: DataFrame, groups: list[str], order: list[str], measures: li
     return out.select(*counts.columns, *[f"{m}_below" for m in measures], *[f"{m}_total" for m in measures])
 
 
+def exact_parts(value: Column | str, name: str) -> dict[str, Column]:
+    """A double as two decimals, ``name_w`` (nearest whole number, below 10^28) and ``name_f`` (the rest, to 18 places).
+
+    Sums of decimals are exact, so they do not depend on the order of rows and differences of running sums lose nothing.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    whole = v.cast("decimal(28,0)")
+    return {f"{name}_w": whole, f"{name}_f": (v - whole.cast("double")).cast("decimal(26,18)")}
+
+
 def comparable(df: DataFrame, value: Column | str, exact: bool) -> Column:
     """The value as double, NaN as NULL; with ``exact`` whole numbers and decimals keep their type."""
     v = F.col(value) if isinstance(value, str) else value

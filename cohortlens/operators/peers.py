@@ -39,21 +39,24 @@ def peer_band_summary(df: DataFrame, groups: list[str], entity: str, size: str,
     """Number of rule-based peers and their mean value for every entity, self excluded.
 
     Each entity asks two prefix-sum questions (below its band, up to the end of its band); the
-    questions are rows in the same ordering as the data, so the job is one distributed running sum.
+    questions are rows in the same ordering as the data, so the job is one distributed running sum. Values are summed as
+    decimals: a peer mean is the same in any order of rows, whatever large values stand elsewhere in the group.
     """
     d = df.select(*groups, entity, F.col(size).cast("double").alias("_x"), F.col(value).cast("double").alias("_v"))
     d = d.filter(F.col("_x").isNotNull() & F.col("_v").isNotNull())
     marks = F.array(
-        F.struct((F.col("_x") * (1 - tolerance)).alias("x"), F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(0.0).alias("s")),
-        F.struct(F.col("_x").alias("x"), F.lit(1).alias("kind"), F.lit(1).alias("n"), F.col("_v").alias("s")),
-        F.struct((F.col("_x") * (1 + tolerance)).alias("x"), F.lit(2).alias("kind"), F.lit(0).alias("n"), F.lit(0.0).alias("s")))
-    events = d.select(*groups, entity, "_v", F.inline(marks))
-    r = ordering.running(events, groups, ["x", "kind", entity], ["n", "s"])
+        F.struct((F.col("_x") * (1 - tolerance)).alias("x"), F.lit(0).alias("kind"), F.lit(0).alias("n")),
+        F.struct(F.col("_x").alias("x"), F.lit(1).alias("kind"), F.lit(1).alias("n")),
+        F.struct((F.col("_x") * (1 + tolerance)).alias("x"), F.lit(2).alias("kind"), F.lit(0).alias("n")))
+    parts = ordering.exact_parts("_v", "s")
+    events = d.withColumns({f"_{k}": c for k, c in parts.items()}).select(*groups, entity, *[f"_{k}" for k in parts], F.inline(marks))
+    events = events.withColumns({k: F.when(F.col("kind") == 1, F.col(f"_{k}")).otherwise(F.lit(0).cast("decimal(1,0)")) for k in parts})
+    r = ordering.running(events, groups, ["x", "kind", entity], ["n", *parts])
 
     def at(kind, c):
         return F.max(F.when(F.col("kind") == kind, F.col(c)))
     n = at(2, "n_below") - at(0, "n_below") - 1
-    s = at(2, "s_below") - at(0, "s_below") - F.max("_v")
+    s = sum(((at(2, f"{k}_below") - at(0, f"{k}_below") - F.max(f"_{k}")).cast("double") for k in parts), F.lit(0.0))
     return r.groupBy(*groups, entity).agg(n.alias("n_peers"), F.when(n > 0, s / n).alias("peer_mean"))
 
 
