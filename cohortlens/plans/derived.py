@@ -128,13 +128,12 @@ def _(t: Tables):
 
 _FORMS_SQL = """
     , forms as (
-      select unitid, 'F1A' std, 0 pos, total_revenue rev, tuition_revenue tui, total_enrollment endow from sup_panel
-        where survey_year = 1996 and control < 12
-      union all select unitid, 'F2', 1, total_revenue * 2, tuition_revenue, null from sup_panel where survey_year = 1996 and control >= 8)"""
+      select unitid * 10000 + survey_year unitid, 'F1A' std, 0 pos, total_revenue rev, tuition_revenue tui, total_enrollment endow from sup_panel where control < 12
+      union all select unitid * 10000 + survey_year, 'F2', 1, total_revenue * 2, tuition_revenue, null from sup_panel where control >= 8)"""
 
 
 def _forms(t: Tables):
-    p = t.sup_panel.filter("survey_year = 1996")
+    p = t.sup_panel.withColumn("unitid", F.col("unitid") * 10000 + F.col("survey_year"))
     f1 = p.filter("control < 12").select(F.col("unitid").alias("UNITID"), F.col("total_revenue").alias("F1B27"),
                                          F.col("tuition_revenue").alias("F1B01"), F.col("total_enrollment").alias("F1H02"))
     f2 = p.filter("control >= 8").select(F.col("unitid").alias("UNITID"), (F.col("total_revenue") * 2).alias("F2D16"),

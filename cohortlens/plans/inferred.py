@@ -294,9 +294,9 @@ INDICATORS = {"retention": 1, "completion": 1, "yield_rate": 1, "price": -1, "si
 SCORED = [c for c, s in INDICATORS.items() if s]
 
 _SCORE = """
-    , i as (select unitid, r_name peer_group, completers / cohort_size retention, case when admits > 30 then enrolled / admits end completion,
+    , i as (select unitid * 10000 + survey_year unitid, r_name peer_group, completers / cohort_size retention, case when admits > 30 then enrolled / admits end completion,
         enrolled / applicants yield_rate, total_revenue / total_enrollment price, total_enrollment as "size"
-      from sup_panel join nation on control = n_nationkey join region on n_regionkey = r_regionkey where survey_year = 1999),
+      from sup_panel join nation on control = n_nationkey join region on n_regionkey = r_regionkey),
     l as (select unitid, peer_group, c, v, s from i, lateral (values ('retention', retention, 1), ('completion', completion, 1), ('yield_rate', yield_rate, 1),
         ('price', price, -1), ('size', "size", 1)) x(c, v, s)),
     m as (select peer_group, c, median(v) m from l group by 1, 2),
@@ -306,8 +306,8 @@ _SCORE = """
 
 
 def _indicators(t: Tables):
-    p = t.sup_panel.filter("survey_year = 1999").join(t.boards, "control")
-    return p.select("unitid", F.col("board").alias("peer_group"), nulls.ratio("completers", "cohort_size").alias("retention"),
+    p = t.sup_panel.join(t.boards, "control")
+    return p.select((F.col("unitid") * 10000 + F.col("survey_year")).alias("unitid"), F.col("board").alias("peer_group"), nulls.ratio("completers", "cohort_size").alias("retention"),
                     F.when(F.col("admits") > 30, nulls.ratio("enrolled", "admits")).alias("completion"),
                     nulls.ratio("enrolled", "applicants").alias("yield_rate"), nulls.ratio("total_revenue", "total_enrollment").alias("price"),
                     F.col("total_enrollment").alias("size"))
@@ -349,14 +349,14 @@ def _(t: Tables):
 
 
 @query("t24_focal_scorecard", _SCORE + """
-    , f as (select peer_group g from i where unitid = 7), q as (select c, count(v) n_reporting, median(v) med, quantile_cont(v, 0.25) q1, quantile_cont(v, 0.75) q3 from l, f where peer_group = g group by 1),
-    own as (select c, v from l where unitid = 7)
+    , f as (select peer_group g from i where unitid = 71999), q as (select c, count(v) n_reporting, median(v) med, quantile_cont(v, 0.25) q1, quantile_cont(v, 0.75) q3 from l, f where peer_group = g group by 1),
+    own as (select c, v from l where unitid = 71999)
     select c metric, round(own.v, 6) focal_value, round(med, 6) peer_median, round(q1, 6) peer_q1, round(q3, 6) peer_q3, n_reporting,
       round((select 100 * avg(cast(x.v < own.v as int)) from l x, f where x.peer_group = g and x.c = q.c and x.v is not null), 6) percentile,
-      round((select z from z where z.unitid = 7 and z.c = q.c), 6) oriented_z, (select round(comp, 6) from comp where unitid = 7) composite
+      round((select z from z where z.unitid = 71999 and z.c = q.c), 6) oriented_z, (select round(comp, 6) from comp where unitid = 71999) composite
     from q join own using (c)""", "sup_panel")
 def _(t: Tables):
-    return focal_scorecard(t, 7)
+    return focal_scorecard(t, 71999)
 
 
 def focal_scorecard(t: Tables, focal: int):

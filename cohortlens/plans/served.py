@@ -19,12 +19,12 @@ R = F.round
 
 
 def _universe(t: Tables):
-    return t.once("cust_panel").filter("survey_year = 1999").join(
+    return t.once("cust_panel").join(
         t.customer.select(F.col("c_custkey").alias("unitid"), F.col("c_nationkey").alias("level"), "c_acctbal"), "unitid")
 
 
 _U = """
-    , u as (select p.*, c_nationkey as "level", c_acctbal from cust_panel p join customer on unitid = c_custkey where survey_year = 1999),
+    , u as (select p.*, c_nationkey as "level", c_acctbal from cust_panel p join customer on unitid = c_custkey),
     v as (select * from u where sector in ('BUILDING', 'MACHINERY'))"""
 
 
