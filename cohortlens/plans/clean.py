@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import labels, nulls, text
-from ..operators import cleaning
+from ..operators import cleaning, guards
 from .registry import query
 from .tables import Tables
 
@@ -311,3 +314,23 @@ def _(t: Tables):
 def _(t: Tables):
     return t.part.select("p_partkey", nulls.clean(F.col("p_retailprice") / 8, 1).alias("places1"),
                          nulls.clean(F.col("p_size") / 2, 0).alias("places0"))
+
+
+_REQUIRED = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "zip", "a_missing_one"], "lineitem": ["l_orderkey", "l_tax", "l_absent"]}
+
+
+@query("p07_required_columns", """
+    select 'orders' "table", '' missing, count(*) n_rows, 0 refused from orders
+    union all select 'customer', 'a_missing_one,zip', count(*), count(*) from customer union all select 'lineitem', 'l_absent', count(*), count(*) from lineitem""")
+def _(t: Tables):
+    """Each table behind its guard: the columns it lacks, its rows, and the rows that a refused table keeps from going on."""
+    out = []
+    for name, needs in _REQUIRED.items():
+        df, missing = getattr(t, name), []
+        try:
+            guards.require(df, needs, name)
+        except ValueError as refused:
+            missing = re.findall(r"'(\w+)'", str(refused).partition(":")[2])
+        n = F.count("*").alias("n_rows")
+        out.append(df.agg(n).select(F.lit(name).alias("table"), F.lit(",".join(missing)).alias("missing"), "n_rows", (F.col("n_rows") * int(bool(missing))).alias("refused")))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -134,6 +134,14 @@ def _(t: Tables):
     return rounded(b, ["low", "high"])
 
 
+@query("j15_draws_by_entity", _BOOT.replace(" where r_name in ('ASIA', 'EUROPE')", "") + f"""
+    , draws as (select g, rep, {_HASH60.format("'15|' || g || '|' || rep || '|' || pos")} % n idx from pos_t, (select unnest(generate_series(0, 49)) rep))
+    select rep::int rep, d.g, count(*) n, count(distinct p.id) n_distinct, round(sum(p.v), 6) total from draws d join pos_t p on d.g = p.g and d.idx = p.pos group by 1, 2""", "sup_panel")
+def _(t: Tables):
+    rows = rs.bootstrap_rows(_two_boards(t).filter(F.col("v").isNotNull()), "g", "id", ["id", "v"], 50, seed=15)
+    return rounded(rows.groupBy("rep", "g").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.sum("v").alias("total")), ["total"])
+
+
 @query("t06_permutation_test", _BOOT + f"""
     , sh as (select rep, v, row_number() over (partition by rep order by {_HASH60.format("'12|' || rep || '|' || id")}, id) rk, g from pos_t, (select unnest(generate_series(0, 4999)) rep)),
     k as (select count(*) filter (g = 'ASIA') na, count(*) n, sum(v) s, avg(v) filter (g = 'ASIA') - avg(v) filter (g = 'EUROPE') obs from pos_t),

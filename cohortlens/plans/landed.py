@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -311,9 +312,19 @@ def _(t: Tables):
     return t.spark.read.parquet(path).groupBy("survey_year").agg(F.count("*").alias("n"))
 
 
-@query("k03_schema_lock")
+@query("k03_schema_lock", """
+    with n as (select count(*) n_rows from customer), c as (select count(*) n_columns from (describe customer))
+    select 1 step, 'created' status, '' added, '' removed, n_columns, n_rows from n, c
+    union all select 2, 'changed', 'c_new', 'c_name', n_columns, n_rows from n, c union all select 3, 'unchanged', '', '', n_columns, n_rows from n, c""")
 def _(t: Tables):
+    """The table is curated three times under one lock; the written rows and columns are read back each time."""
     path = f"{run_dir(t.spark)}/{uuid.uuid4().hex}"
-    first = sinks.lock_schema(t.customer, path)
-    second = sinks.lock_schema(t.customer.drop("c_name").withColumn("c_new", F.lit(1)), path)
-    return first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+    out = []
+    for step, df in enumerate([t.customer, t.customer.drop("c_name").withColumn("c_new", F.lit(1)), t.customer], 1):
+        lock = sinks.lock_schema(df, path)
+        df.write.parquet(f"{path}-{step}")
+        back = t.spark.read.parquet(f"{path}-{step}")
+        named = lock.select(F.lit(step).alias("step"), "status", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"),
+                            F.lit(len(back.columns)).cast("long").alias("n_columns"))
+        out.append(named.withColumn("n_rows", back.agg(F.count("*")).scalar()))
+    return reduce(lambda a, b: a.unionByName(b), out)

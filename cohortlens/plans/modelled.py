@@ -174,6 +174,33 @@ def _(t: Tables):
                                    R(of("ridge", "rmse"), 6).alias("ridge_rmse"), R(of("lasso", "rmse"), 6).alias("lasso_rmse"))
 
 
+@query("m09_mean_baseline", """
+    with o as (select o_custkey id, log10(sum(o_totalprice)) y from orders group by 1), d as (select *, ('0x' || substr(md5('42|' || id), 1, 8))::bigint % 5 fold from o),
+    m as (select f, avg(y) my from d, (select unnest(generate_series(0, 4)) f) where fold <> f group by 1),
+    r as (select fold, sqrt(avg(pow(y - my, 2))) r from d join m on fold = f group by 1)
+    select 'baseline (mean)' model, round(avg(r), 6) rmse, round(stddev_pop(r), 6) fold_sd, round(pow(10, avg(r)), 6) multiplicative_error from r""")
+def _(t: Tables):
+    d = t.orders.groupBy("o_custkey").agg(F.log10(F.sum("o_totalprice")).alias("y")).withColumn("fold", mo.hash_fold("o_custkey", 5, 42))
+    return rounded(mo.fold_rmse(mo.mean_baseline(d, "y"), "y", "baseline (mean)"), ["rmse", "fold_sd", "multiplicative_error"])
+
+
+@query("m09_ols_one_feature", """
+    with o as (select o_custkey id, count(*)::double x, log10(sum(o_totalprice)) y from orders group by 1), d as (select *, ('0x' || substr(md5('42|' || id), 1, 8))::bigint % 5 fold from o),
+    b as (select f, regr_slope(y, x) s, regr_intercept(y, x) i from d, (select unnest(generate_series(0, 4)) f) where fold <> f group by 1)
+    select fold::int fold, count(*) n, round(sqrt(avg(pow(y - i - s * x, 2))), 6) rmse from d join b on fold = f group by 1""")
+def _(t: Tables):
+    d = t.orders.groupBy("o_custkey").agg(F.count("*").cast("double").alias("x"), F.log10(F.sum("o_totalprice")).alias("y"))
+    return penalised.linear_comparison(d, ["x"], [], "y", "o_custkey", names=("OLS",)).select("fold", "n", R("rmse", 6).alias("rmse"))
+
+
+@query("m12_prevalence", """
+    with o as (select o_custkey, count(*) n, sum(o_totalprice) s, c_mktsegment g from orders join customer on o_custkey = c_custkey group by 1, 4),
+    m as (select g, median(log10(s)) med from o group by 1), y as (select avg((log10(s) > med)::int) p, count(*) n from o join m using (g))
+    select n, 0.5::double auc, round(p * (1 - p), 6) brier, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) log_loss from y""")
+def _(t: Tables):
+    return rounded(mo.prevalence_metrics(_above(t), "above"), ["brier", "log_loss"])
+
+
 @query("m10_missing_strategies")
 def _(t: Tables):
     return mo.missing_strategies(_customers(t), ["n_orders", "done_share"], "balance", ["segment"], "log_spend", "o_custkey")
