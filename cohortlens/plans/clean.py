@@ -124,10 +124,7 @@ def _(t: Tables):
                            nulls.round_half_up("k", "n", 3).alias("rate3"))
 
 
-_FAMILY_SQL = " ".join(f"when p_size between {a} and {b} then '{f.replace(chr(39), chr(39) * 2)}'"
-                       for a, b, f in labels.CARNEGIE_FAMILIES)
-_LABEL_SQL = " ".join(f"when p_size = {i} then '{x.replace(chr(39), chr(39) * 2)}'"
-                      for i, x in enumerate(labels.CARNEGIE_LABELS, start=1))
+_LABEL_SQL, _FAMILY_SQL = (" ".join(f"when p_size = {row[0]} then '{row[k].replace(chr(39), chr(39) * 2)}'" for row in labels.CARNEGIE) for k in (1, 2))
 
 
 @query("p11_carnegie_labels", f"""
