@@ -15,10 +15,10 @@ difference is at most D = (a + b) * (100 - t) / (100 + t).
 
 Texts with equal sets are one class from the start. A meeting place (bucket) never yields all its pairs: each member
 is paired with the bucket's first and with the one before it, and the verified links are joined to components. Buckets that
-still hold several components, one of those with the same members, go on: their members meet a few others by chance, which joins
-most components of a group of near copies; what is left after that, without members whose shingles no other component has, is compared in
-place. In a bucket of at most ``FEW`` members the pairs that pass the sketch test go on to verification; a larger one is compared tile by
-tile, verified there, and a spanning forest leaves each tile.
+still hold several components, one of those with the same members and without members whose shingles no other component has, are
+compared in place. In a bucket of at most ``FEW`` members the pairs that pass the sketch test go on to verification. In a larger one the members
+first meet by chance in cells of that size, which joins most components of a group of near copies, and what is left is compared
+tile by tile; cells and tiles verify on the spot, and a spanning forest leaves them.
 Sets and classes are known by 64-bit hashes.
 """
 
@@ -38,7 +38,6 @@ from .joins import sized
 WORDS = 5
 PERCENT = 80
 TILE, TILE_BYTES = 512, 4 << 20
-TURNS = 3
 FEW = 64
 SAMPLE = 4096  # classes in which heavy shingles are looked for
 STEP = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F),
@@ -463,14 +462,10 @@ def neighbours(members: DataFrame) -> DataFrame:
     return near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
 
 
-def met_by_chance(rest: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Links between components of open buckets (sign, node, root, rows): members meet in cells of about eight, dealt anew each turn."""
-    cell = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rows") / 8))
-    pairs = neighbours(buckets(rest.select(F.xxhash64("sign", cell, F.lit(turn)).alias("sign"), "node")))
-    placed = cut(rest.select("node", "root").distinct())
-    left, right = (placed.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")) for side in "ab")
-    apart = pairs.join(left, "a").join(right, "b").filter("_a <> _b").select("a", "b")
-    return cut(verified(cut(sketch_test(apart, nodes, percent)), sets, percent))
+def by_chance(members: DataFrame) -> DataFrame:
+    """The members (sign, node, root, rows) dealt to cells of about ``FEW``, each a bucket of its own."""
+    cell = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / FEW))
+    return members.select(F.xxhash64("sign", cell).alias("sign"), "node", "root")
 
 
 def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -498,18 +493,17 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, n: int = WORDS)
     placed = with_roots(members, links)
     rest = cut(placed.join(open_buckets(placed), "sign").select("sign", "node", "root", "rows"))
     sets = cut(sets_of(docs, nodes, rest.select("node").distinct(), n))
-    for turn in range(TURNS):
-        more = met_by_chance(rest, nodes, sets, percent, turn)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        placed = with_roots(rest.select("sign", "node"), links)
-        rest = cut(placed.join(open_buckets(placed), "sign").select("sign", "node", "root", "rows"))
     rest = could_link(rest.drop("rows"), sets, nodes, percent)
-    crowded = cut(rest.groupBy("sign").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("sign"))
+    crowded = cut(rest.groupBy("sign").agg(F.count("*").alias("rows")).filter(F.col("rows") > FEW))
     # in a bucket of few members a member meets few others: those pairs go to where the sets are, in a larger one the sets come to the tiles
-    few = cut(links_across(rest.join(sized(crowded), "sign", "left_anti"), nodes, None, percent).distinct())
-    links = links.unionByName(cut(verified(few, sets, percent))).unionByName(cut(links_across(rest.join(sized(crowded), "sign", "left_semi"), nodes, sets, percent)))
+    few = cut(links_across(rest.join(sized(crowded.select("sign")), "sign", "left_anti"), nodes, None, percent).distinct())
+    links = links.unionByName(cut(verified(few, sets, percent)))
+    if not crowded.isEmpty():
+        many = cut(rest.join(sized(crowded), "sign"))
+        links = links.unionByName(cut(links_across(by_chance(many), nodes, sets, percent)))
+        placed = with_roots(many.select("sign", "node"), links)
+        still = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sign")
+        links = links.unionByName(cut(links_across(cut(placed.join(still, "sign")), nodes, sets, percent)))
 
     roots = components(links)
     placed = table.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
