@@ -54,8 +54,8 @@ def norm_two_sided(z):
     return np.array([math.erfc(v) for v in z.ravel()]).reshape(z.shape)
 
 
-def _beta_fraction(a, b, x, steps=400):
-    """Continued fraction of the incomplete beta function (modified Lentz), elementwise."""
+def _beta_fraction(a, b, x, steps=100_000):
+    """Continued fraction of the incomplete beta function (modified Lentz), elementwise; an error if it does not settle."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
@@ -69,9 +69,9 @@ def _beta_fraction(a, b, x, steps=400):
             c = np.where(np.abs(c) < tiny, tiny, c)
             delta = c * d
             h = h * delta
-        if np.all(np.abs(delta - 1) < 1e-14):
-            break
-    return h
+        if np.all(np.abs(delta - 1) < 4e-15):
+            return h
+    raise RuntimeError(f"the incomplete beta function did not settle in {steps} terms")
 
 
 def betainc(a, b, x):
@@ -104,8 +104,8 @@ def beta_ppf(p, a, b):
         done = np.all(np.abs(new - x) < 1e-13)
         x = new
         if done:
-            break
-    return x
+            return x
+    raise RuntimeError("the beta quantile did not settle in 100 steps")
 
 
 def f_sf(f, d1, d2):
@@ -143,5 +143,7 @@ def chi2_sf(x, df):
                 frac *= d * c
                 if abs(d * c - 1) < 1e-15:
                     break
+            else:
+                raise RuntimeError("the upper tail of chi-square did not settle in 2000 terms")
             out.append(front * frac)
     return np.array(out)

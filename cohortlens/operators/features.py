@@ -300,11 +300,5 @@ def year_pivot(df: DataFrame, key: list[str], year: str, value: str, years: list
     return df.groupBy(*key).agg(*[F.sum(F.when(F.col(year) == y, F.col(value))).alias(f"{prefix}{y}") for y in years])
 
 
-def running_steps(df: DataFrame, key: str, step: str, amount: str) -> DataFrame:
-    """Cumulative amount over a short fixed list of steps per key."""
-    w = W.partitionBy(key).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(amount).over(w))
-
-
 def relative(first: str, last: str) -> Column:
     return change(first, last)

@@ -206,14 +206,22 @@ def count_models(df: DataFrame, y: str, x: str) -> DataFrame:
 
 # --- event study -----------------------------------------------------------------------------
 
-def event_study(df: DataFrame, group: str, entity: str, time: str, value: str, periods: list[int], reference: int) -> DataFrame:
+def event_study(df: DataFrame, group: str, entity: str, time: str, value: str, periods: list[int] | None, reference: int) -> DataFrame:
     """Two-way fixed effects per group: within-entity regression on period dummies.
 
+    Without ``periods`` every period of the data but the reference has a dummy; a period of the data that a given list lacks
+    is an error, since its rows would join the reference.
+
     Standard errors are clustered by entity with the usual small-sample factor. Everything stays
     grouped: entity means by aggregate and join, cross-products per group, one small solve per group
     row in Arrow, scores summed per (group, entity).
     """
-    others = [p for p in periods if p != reference]
+    found = sorted(r[0] for r in df.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(time).distinct().collect())
+    if reference not in found:
+        raise ValueError(f"no rows in the reference period {reference}")
+    if periods is not None and set(found) - set(periods):
+        raise ValueError(f"periods without a dummy: {sorted(set(found) - set(periods))}")
+    others = [p for p in (found if periods is None else periods) if p != reference]
     names = [f"_d{p}" for p in others]
     d = df.filter(F.col(value).isNotNull()).select(group, entity, F.col(value).cast("double").alias("_y"),
                                                    *[(F.col(time) == p).cast("double").alias(n) for p, n in zip(others, names)])
@@ -366,7 +374,3 @@ def loading_summary(stability: DataFrame, cols: list[str]) -> DataFrame:
     sd = stability.groupBy("component").agg(*[F.stddev_pop(F.get("loadings", F.lit(i))).alias(f"sd_{c}") for i, c in enumerate(cols)])
     q = ordering.quantiles(stability, ["component"], "congruence", {"congruence_median": 0.5, "congruence_p5": 0.05})
     return sd.join(q, "component")
-
-
-def relative_gain(a: str, b: str) -> Column:
-    return 1 - ratio(b, a)

@@ -256,7 +256,7 @@ def _(t: Tables):
 
 def _event(t: Tables):
     d = pn.balanced(t.once("sup_panel").join(t.boards, "control").withColumn("v", nulls.ratio("completers", "cohort_size") * 100), "unitid", "survey_year", "v")
-    return ln.event_study(d, "board", "unitid", "survey_year", "v", [1995, 1996, 1997, 1998, 1999, 2000, 2001], 1998)
+    return ln.event_study(d, "board", "unitid", "survey_year", "v", None, 1998)
 
 
 @query("t18_event_study_estimates", """

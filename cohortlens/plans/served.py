@@ -150,12 +150,13 @@ def _(t: Tables):
 
 @query("k06_extract_with_years", """
     , w as (select unitid, any_value(sector) sector, """ + ", ".join(f"max(n) filter (survey_year = {y}) n_{y}" for y in range(1995, 2002)) + """, sum(n) s from cust_panel group by 1)
-    select unitid, sector, round(s / 7, 6) rate, """ + ", ".join(f"n_{y}" for y in range(1995, 2002)) + """ from w""", "cust_panel")
+    select unitid, sector, round(s / (select count(distinct survey_year) from cust_panel), 6) rate, """ + ", ".join(f"n_{y}" for y in range(1995, 2002)) + """ from w""", "cust_panel")
 def _(t: Tables):
     tot = t.cust_panel.groupBy("unitid").agg(F.sum("n").alias("s"))
-    d = t.cust_panel.join(tot, "unitid").withColumn("rate", R(nulls.ratio("s", F.lit(7)), 6))
+    years = years_of(t.cust_panel)
+    d = t.cust_panel.join(tot, "unitid").withColumn("rate", R(nulls.ratio("s", F.lit(len(years))), 6))
     held = cleaning.hold_small_cohorts(d, {"rate": "s"}, 8)
-    return sinks.export_extract(held, ["unitid", "sector"], ["rate"], "survey_year", "n", years_of(t.cust_panel))
+    return sinks.export_extract(held, ["unitid", "sector"], ["rate"], "survey_year", "n", years)
 
 
 @query("k07_column_dictionary", """
