@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import specfun
-from ..functions.nulls import ratio
 from .lineage import cut
 from .resample import bootstrap_rows
 

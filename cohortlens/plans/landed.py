@@ -18,7 +18,6 @@ from ..functions import text
 from ..operators import panel as pn
 from ..operators.lineage import cut, run_dir
 from ..sources import parsers, readers, records, sinks
-from .derived import rounded
 from .registry import query
 from .served import landed
 from .tables import Tables, years_of
