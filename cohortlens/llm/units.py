@@ -14,6 +14,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from .blocks import spans
+
 CHUNK = 200  # units encoded side by side
 REMEMBERED = 300_000  # units
 BLANKS = frozenset((9, 10, 11, 12, 13, 32))
@@ -117,7 +119,9 @@ class UnitIds:
         end = np.r_[start[1:], len(raw)].astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, end[-1:]].astype(np.int64)), pa.py_buffer(raw)])
         coded = column.dictionary_encode()
-        units, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        bytes_, unit_at = spans(coded.dictionary)
+        text, edge = bytes_.tobytes(), unit_at.tolist()
+        units, index = [text[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], coded.indices.to_numpy()
         ends_well = np.zeros(len(units), np.int8)
         ends_well[index] = solid
         known, get = len(self.number), self.number.get
