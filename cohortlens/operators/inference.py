@@ -173,6 +173,17 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.col("N").cast("long").alias("n"), ari.alias("ari"))
 
 
+def adjusted_rand_of_cells(cells: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """(group, n, ari) from the contingency counts (group, a, b, n) of many pairs of labelings."""
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    side = lambda c, name: cells.groupBy(group, c).agg(F.sum("n").cast("double").alias("n")).groupBy(group).agg(two("n").alias(name))
+    s = cells.groupBy(group).agg(two("n").alias("both"), F.sum("n").cast("double").alias("N")).join(side(a, "sa"), group).join(side(b, "sb"), group)
+    total = F.col("N") * (F.col("N") - 1) / 2
+    expected, top = F.try_divide(F.col("sa") * F.col("sb"), total), (F.col("sa") + F.col("sb")) / 2
+    ari = F.when(top == expected, 1.0).otherwise(F.try_divide(F.col("both") - expected, top - expected))
+    return s.select(group, F.col("N").cast("long").alias("n"), ari.alias("ari"))
+
+
 def funnel_limits(df: DataFrame, k: str, n: str, z: float) -> DataFrame:
     """Pooled rate, its z limits per cohort size, and whether the rate falls outside."""
     pooled = df.agg(ratio(F.sum(k), F.sum(n))).scalar()

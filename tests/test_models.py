@@ -154,9 +154,9 @@ def test_boosting_queries_grow_300_trees(spark, monkeypatch, name):
     assert asked and set(asked) == {300}
 
 
-@pytest.mark.parametrize("name, starts, mixtures", [("m04_embedding_clusters_vs_labels", 10, 0), ("m05_choose_k", 20, 3), ("m06_stability", 10, 0), ("m06_mixture_agreement", 10, 5)])
+@pytest.mark.parametrize("name, starts, mixtures", [("m04_embedding_clusters_vs_labels", 10, 0), ("m05_choose_k", 20, 3), ("m06_mixture_agreement", 10, 5)])
 def test_clustering_queries_take_all_starts(spark, monkeypatch, name, starts, mixtures):
-    """The distinct seeds of each number of clusters (of m06_stability: of the full fit and of each run)."""
+    """The distinct seeds of each number of clusters."""
     from cohortlens.plans import catalog
     inner, asked = segments.fit_kmeans, []
 
