@@ -60,7 +60,7 @@ def _beta_fraction(a, b, x, steps=100_000):
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
+    h, settled = d.copy(), np.zeros(np.shape(d), bool)
     for m in range(1, steps + 1):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
@@ -68,8 +68,9 @@ def _beta_fraction(a, b, x, steps=100_000):
             c = 1 + num / np.where(np.abs(c) < tiny, tiny, c)
             c = np.where(np.abs(c) < tiny, tiny, c)
             delta = c * d
-            h = h * delta
-        if np.all(np.abs(delta - 1) < 4e-15):
+            h = np.where(settled, h, h * delta)
+        settled |= (np.abs(delta - 1) < 1e-14) | ~np.isfinite(delta)  # a missing value stays one
+        if settled.all():
             return h
     raise RuntimeError(f"the incomplete beta function did not settle in {steps} terms")
 
