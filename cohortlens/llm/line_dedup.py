@@ -14,6 +14,7 @@ from cohortlens.operators.lineage import cut
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 20, 3
+OWN = ("_doc", "_row", "_lines", "_flags", "_kept")  # columns on the way
 
 
 def normalised(line: Column) -> Column:
@@ -51,6 +52,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     without doc_id counts in no document and keeps its lines. A text column null stays null. Columns named like the
     results are replaced.
     """
+    clashing = {c: f"{c}_of_input" for c in docs.columns if c.lower() in OWN}
+    docs = docs.withColumnsRenamed(clashing)
     flags = dropped_lines(docs, min_chars, min_docs)
     kept = F.filter(F.col("_lines"), lambda _, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
     out = (docs.join(flags, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").withColumn("_lines", lines_of(F.col("text")))
@@ -59,7 +62,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         "text": F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")),
         "n_lines": F.size("_lines").cast("long"),
         "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-    }).drop("_doc", "_row", "_lines", "_flags", "_kept")
+    }).drop(*OWN).withColumnsRenamed({new: c for c, new in clashing.items()})
 
 
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:

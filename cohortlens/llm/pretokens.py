@@ -22,14 +22,18 @@ def pretokens(text: Column, pattern: str) -> Column:
 
 
 def with_pretokens(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
-    return docs.select(*keep, pretokens(F.col("text"), pattern).alias("_pieces"))
+    """Columns ``keep`` and, last, the pre-tokens under a name that none of them has."""
+    name = "_pieces"
+    while name in {c.lower() for c in keep}:
+        name += "_"
+    return docs.select(*keep, pretokens(F.col("text"), pattern).alias(name))
 
 
 def piece_blocks(batches: Iterator[pa.RecordBatch], limit: int = PIECES) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
     """(rows, distinct pieces, number of each piece in text order, n+1 offsets of the rows) for slices with at
     most ``limit`` pieces, or one row."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("_pieces"))
+        column = batch.column(batch.num_columns - 1)
         at = column.offsets.to_numpy().astype(np.int64)
         lo = 0
         while lo < batch.num_rows:

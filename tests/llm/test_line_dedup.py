@@ -47,3 +47,11 @@ def test_keeper_copies_and_borders(spark):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_with_the_names_used_on_the_way(spark):
+    line = "a line that three documents share"
+    df = spark.createDataFrame([(i, f"{line}\nown {i}", i, f"k{i}", [i]) for i in range(4)], "doc_id long, text string, _row int, _kept string, _lines array<int>")
+    out = dedup_lines(df)
+    assert set(df.columns) < set(out.columns)
+    assert sorted((r.doc_id, r.text, r["_row"], r["_kept"], r["_lines"]) for r in out.collect()) == [(i, f"own {i}" if i < 3 else f"{line}\nown 3", i, f"k{i}", [i]) for i in range(4)]

@@ -83,3 +83,11 @@ def test_unigram_counts_equal_the_definition(all_rows):
 def test_zipf_weights_prefer_fewer_tokens():
     weight = {b"a": 11, b"b": 11, b"ab": 21, b"c": 5, b"abc": 27}
     assert trie_counts.singly(b"ab", weight, 3) == (21, 1) and trie_counts.singly(b"abc", weight, 3) == (26, 2)
+
+
+def test_a_column_named_like_the_pre_tokens(odd):
+    named = odd.withColumnRenamed("node", "_pieces")
+    got = merge_replay.encode(named, and_decode=True)
+    assert got.columns[:4] == ["doc_id", "lang", "source", "_pieces"]
+    plain = merge_replay.encode(odd, and_decode=True)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
