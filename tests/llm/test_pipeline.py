@@ -36,11 +36,11 @@ def test_stages_against_brute_force(spark):
 
 def test_registered_queries_equal_their_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     for name, sql in registered.ORACLES.items():
         df = registered.QUERIES[name](spark, FOLDER)
         cur = con.execute(sql)
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
         assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall()), name
-    assert {n.split("_")[0] for n in registered.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registered.QUERIES} == {f"op{i}" for i in range(1, 14)}
