@@ -25,10 +25,16 @@ def focal_row(df: DataFrame, cond: Column, what: str) -> dict:
 
 
 def rule_peers(panel: DataFrame, target: int, year: int, group_cols: list[str], size: str = "total_enrollment",
-               tolerance: float = 0.25) -> DataFrame:
-    """Others of the same year and groups whose size is within +/- tolerance of the target's."""
+               tolerance: float = 0.25, *, missing_ok: bool = False) -> DataFrame:
+    """Others of the same year and groups whose size is within +/- tolerance of the target's.
+
+    A target without a row in that year raises; with ``missing_ok`` it has no peers.
+    """
     require(panel, [*group_cols, "unitid", "survey_year", size], "panel")
-    at = focal_row(panel, (F.col("unitid") == target) & (F.col("survey_year") == year), f"unitid {target} in {year}")
+    own = (F.col("unitid") == target) & (F.col("survey_year") == year)
+    if missing_ok and panel.filter(own).isEmpty():
+        return panel.limit(0)
+    at = focal_row(panel, own, f"unitid {target} in {year}")
     conds = [F.col("survey_year") == year, F.col("unitid") != target,
              F.col(size).between(at[size] * (1 - tolerance), at[size] * (1 + tolerance))]
     conds += [F.col(c) == at[c] for c in group_cols]

@@ -76,7 +76,7 @@ def _(t: Tables):
     select s.unitid, round(s.total_enrollment, 2) size from s, tgt where s.survey_year = 1997 and s.unitid <> 7 and s.sector = tgt.sector
       and s.total_enrollment between tgt.total_enrollment * 0.75 and tgt.total_enrollment * 1.25""", "cust_panel")
 def _(t: Tables):
-    p = pe.rule_peers(t.once("cust_panel"), 7, 1997, ["sector"])
+    p = pe.rule_peers(t.once("cust_panel"), 7, 1997, ["sector"], missing_ok=True)
     return p.select("unitid", R("total_enrollment", 2).alias("size"))
 
 
