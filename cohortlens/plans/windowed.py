@@ -69,7 +69,7 @@ def _(t: Tables):
     select sector, round(avg(cast(n < v as int)), 6) share_below from cust_panel, f group by 1""", "cust_panel")
 def _(t: Tables):
     focal = t.once("cust_panel").filter("unitid = 7 and survey_year = 1997").agg(F.max("n").alias("v")).scalar()
-    p = t.once("cust_panel").withColumn("_focal", focal)
+    p = t.once("cust_panel").withColumn("_focal", focal).filter("_focal is not null")
     return p.groupBy("sector").agg(R(ordering.share_below(p, "n", F.col("_focal")), 6).alias("share_below"))
 
 
