@@ -140,9 +140,12 @@ def with_p(tests: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman correlation: Pearson correlation of average ranks over rows with both values."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
-        F.count("*").alias("n"))
+    """Spearman correlation: Pearson correlation of average ranks over rows with both values.
+
+    The counts are written once: sums of doubles computed again may differ in their last digits, and would miss their own ranks.
+    """
+    d = cut(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
+        F.count("*").alias("n")))
 
     def ranks(c):
         per = d.groupBy(c).agg(F.sum("n").alias("n"))
