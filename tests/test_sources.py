@@ -70,3 +70,13 @@ def test_period_check(frame):
     assert {r["table"]: r["ok"] for r in readers.check_periods(intro, want).collect()} == {"A": True, "B": False, "C": False, "D": False}
     with pytest.raises(ValueError):
         readers.assert_periods(intro, want)
+
+
+def test_landed_zips_are_zips():
+    import io
+    import zipfile
+
+    from cohortlens.plans import landed
+    members = [("a.csv", b"n,q\r\n1,2\r\n"), ("a_rv.csv", "François €".encode("cp1252")), ("empty.txt", b"")]
+    with zipfile.ZipFile(io.BytesIO(landed.zip_bytes(members))) as z:
+        assert z.testzip() is None and [(n, z.read(n)) for n in z.namelist()] == members
