@@ -166,7 +166,7 @@ def tree_preparation(numeric: list[str], categorical: list[str]) -> list:
 
 def boosting(kind, y: str, seed: int, iterations: int):
     """300 trees of at most 32 leaves at a step of 0.05, split at up to 256 cut points."""
-    return kind(featuresCol="_x", labelCol=y, seed=seed, maxIter=iterations, maxDepth=5, stepSize=0.05, maxBins=256, minInstancesPerNode=20, cacheNodeIds=True)
+    return kind(featuresCol="_x", labelCol=y, seed=seed, maxIter=iterations, maxDepth=5, stepSize=0.05, maxBins=256, minInstancesPerNode=20)
 
 
 def few_files(df: DataFrame) -> DataFrame:
