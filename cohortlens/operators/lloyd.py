@@ -44,8 +44,19 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """(rows, models, k) squared distances."""
     m, k, d = centres.shape
     flat = centres.reshape(m * k, d)
-    out = (x * x).sum(1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(1)[None]
-    return np.maximum(out, 0).reshape(len(x), m, k)
+    out = x @ flat.T  # one array, changed in place: it is the largest there is
+    out *= -2.0
+    out += (x * x).sum(1)[:, None]
+    out += (flat * flat).sum(1)[None]
+    return np.maximum(out, 0, out=out).reshape(len(x), m, k)
+
+
+def cluster_sums(x: np.ndarray, label: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
+    """(models, k, dim + 1): sums of x and the number of rows by cluster; label and inside are (rows, models)."""
+    models, size = label.shape[1], label.shape[1] * k
+    place = (label + np.arange(models) * k).ravel()
+    out = [np.bincount(place, (inside * x[:, c, None]).ravel(), size) for c in range(x.shape[1])]
+    return np.stack([*out, np.bincount(place, inside.ravel(), size)], axis=1).reshape(models, k, -1)
 
 
 def _blocks(batches):
@@ -115,13 +126,7 @@ def many_kmeans(rows: DataFrame, k: int, seed: list[int], sample: list[int], max
         def sums(blocks, now=now, own=own):
             total = np.zeros((len(own), k, d + 1))
             for _, x, inside in blocks:
-                label = distances(x, now).argmin(axis=2)
-                for j in range(len(own)):
-                    mine = inside[:, own[j]]
-                    at = label[mine, j]
-                    total[j, :, d] += np.bincount(at, minlength=k)
-                    for c in range(d):
-                        total[j, :, c] += np.bincount(at, x[mine, c], minlength=k)
+                total += cluster_sums(x, distances(x, now).argmin(axis=2), inside[:, own], k)
             return total
 
         total = _summed(rows, sums, len(active) * k * (d + 1)).reshape(len(active), k, d + 1)

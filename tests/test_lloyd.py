@@ -82,3 +82,17 @@ def test_query_takes_all_starts(spark, monkeypatch):
     monkeypatch.setattr(segments, "many_kmeans", lambda rows, k, seed, sample: (asked.append((k, len(seed), len(set(sample)))), inner(rows, k, seed, sample, max_iter=2))[1])
     assert catalog.queries()["m06_stability"](spark, "/root/testdata/sf0.001").count() == 30
     assert asked == [(6, 310, 31)]
+
+
+def test_cluster_sums_of_all_models_at_once():
+    from cohortlens.operators import lloyd
+    r = np.random.default_rng(1)
+    x, centres, inside = r.normal(size=(70, 3)), r.normal(size=(5, 4, 3)), r.random((70, 5)) < 0.7
+    squared = ((x[:, None, None] - centres) ** 2).sum(axis=3)
+    assert np.allclose(lloyd.distances(x, centres), squared)
+    label = squared.argmin(axis=2)
+    got = lloyd.cluster_sums(x, label, inside, 4)
+    for m in range(5):
+        for k in range(4):
+            mine = inside[:, m] & (label[:, m] == k)
+            assert np.allclose(got[m, k], [*x[mine].sum(axis=0), mine.sum()])
