@@ -143,6 +143,7 @@ def block_rows(owner: np.ndarray, value: np.ndarray, size: np.ndarray, bands: Ba
     Shingles in ``heavy`` (sorted) are left out of both sides' sketches, which cannot raise the difference. A document
     left with too few filled blocks also sends the sketch of its whole set, and its empty blocks if that has too few.
     Of two linked documents either one has enough filled blocks, or both send the fuller sketch: they meet.
+    A signature has 48 bits, for they are most of what is shuffled; a chance meeting costs one sketch test.
     """
     common = np.zeros(len(value), bool)
     if len(heavy):
@@ -161,7 +162,7 @@ def block_rows(owner: np.ndarray, value: np.ndarray, size: np.ndarray, bands: Ba
             send = filled | short[doc] if whole else filled
             place = band[doc[send]].astype(U64) << U64(42) | block[send].astype(U64) << U64(2) | filled[send].astype(U64) << U64(1) | U64(whole)
             docs.append(doc[send])
-            signs.append(mix(parity[send] ^ mix(place, 32)))
+            signs.append(mix(parity[send] ^ mix(place, 32)) >> U64(16))
     return np.concatenate(docs), np.concatenate(signs)
 
 
@@ -353,8 +354,8 @@ def could_link(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: i
     return members
 
 
-def tiled(members: DataFrame, *carried: str) -> DataFrame:
-    """(sign, i, j, tile, node, root, n_shingles, sketch, carried columns): members dealt to pairs of tiles of their bucket.
+def tiled(members: DataFrame) -> DataFrame:
+    """(sign, i, j, tile, node, root, n_shingles, sketch): members dealt to pairs of tiles of their bucket.
 
     The members of a bucket's largest component need not meet one another: they have tiles of their own, which meet only those of the
     other members. A tile has about ``TILE`` members and ``TILE_BYTES`` of shingles.
@@ -370,7 +371,7 @@ def tiled(members: DataFrame, *carried: str) -> DataFrame:
     met = F.sequence(F.lit(0), F.when(in_big, F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
     rows = rows.withColumn("tile", tile)
     meets = F.explode(F.transform(met, lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"))))
-    return rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch", *carried)
+    return rows.withColumn("m", meets).select("sign", "m.i", "m.j", "tile", "node", "root", "n_shingles", "sketch")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -379,53 +380,32 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
-    """Links (a, b) that join different components (root) of the buckets (sign, node, root).
+def passing_pairs(t: pa.Table, percent: int):
+    """Pairs of rows of ``t``, whole groups (sign, i, j) one after the other, whose sketches allow a link between two components.
 
-    Each pair of tiles is one bounded group: sketches are compared with whole-array operations, pairs that pass and are not yet
-    joined there are verified on the spot, and a spanning forest of what they join leaves it. Without ``sets`` the pairs that pass
-    leave it unverified.
+    Yields (first row of the group, rows, rows), a bounded number at a time. Sketches are compared with whole-array operations.
     """
-    members = members.select("sign", "node", "root").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    rows = tiled(members) if sets is None else tiled(members.join(sets, "node"), "shingles")
-    verify = sets is not None
-
-    def compared(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in ("sign", "i", "j", "tile", "node", "root", "n_shingles"))
-        raw, at = raw_rows(t.column("sketch").chunk(0))
-        shingle, set_at = raw_rows(t.column("shingles").chunk(0)) if verify else (None, None)
-        head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        found: list[tuple[int, int]] = []
-        for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
-            width = int(np.diff(at[lo: hi + 1]).min()) // 8  # every sketch folds to the narrowest
-            folded = np.array([np.bitwise_xor.reduce(raw[at[r]: at[r + 1]].view(np.uint64).reshape(-1, width), axis=0) for r in range(lo, hi)])
-            n, r, c = size[lo:hi], root[lo:hi], node[lo:hi]
-            left = np.arange(hi - lo) if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == i[lo])
-            right = left if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == j[lo])
-            parent = {x: x for x in set(r.tolist())}
-
-            def find(x, parent=parent):
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            of = lambda k, lo=lo: shingle[set_at[lo + k]: set_at[lo + k + 1]].view(np.uint64)
-            for part in range(0, len(left), 64):  # bounded temporaries
-                x = left[part: part + 64]
-                apart = np.bitwise_count(folded[x][:, None] ^ folded[right][None]).sum(2, dtype=np.int64)
-                nx, ny = n[x][:, None], n[right][None]
-                good = ((apart * (100 + percent) <= (nx + ny) * (100 - percent)) & (nx * percent <= ny * 100) & (ny * percent <= nx * 100)
-                        & (r[x][:, None] != r[right][None]) & (c[x][:, None] < c[right][None] if i[lo] == j[lo] else True))
-                for p, q in zip(*(k.tolist() for k in np.nonzero(good)), strict=True):
-                    a, b = x[p], right[q]
-                    if verify:
-                        ra, rb = find(r[a]), find(r[b])
-                        if ra == rb or not similar(of(a), of(b), percent):
-                            continue
-                        parent[ra] = rb
-                    found.append((min(c[a], c[b]), max(c[a], c[b])))
-        return pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], ["a", "b"])
+    sign, i, j, tile, node, root, size = (t.column(c).to_numpy() for c in ("sign", "i", "j", "tile", "node", "root", "n_shingles"))
+    raw, at = raw_rows(t.column("sketch").chunk(0))
+    head = np.flatnonzero(np.r_[True, (sign[1:] != sign[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    for lo, hi in zip(head, np.r_[head[1:], len(sign)], strict=True):
+        width = int(np.diff(at[lo: hi + 1]).min()) // 8  # every sketch folds to the narrowest
+        folded = np.array([np.bitwise_xor.reduce(raw[at[r]: at[r + 1]].view(np.uint64).reshape(-1, width), axis=0) for r in range(lo, hi)])
+        n, r, c = size[lo:hi], root[lo:hi], node[lo:hi]
+        left = np.arange(hi - lo) if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == i[lo])
+        right = left if i[lo] == j[lo] else np.flatnonzero(tile[lo:hi] == j[lo])
+        for part in range(0, len(left), 64):  # bounded temporaries
+            x = left[part: part + 64]
+            apart = np.bitwise_count(folded[x][:, None] ^ folded[right][None]).sum(2, dtype=np.int64)
+            nx, ny = n[x][:, None], n[right][None]
+            good = ((apart * (100 + percent) <= (nx + ny) * (100 - percent)) & (nx * percent <= ny * 100) & (ny * percent <= nx * 100)
+                    & (r[x][:, None] != r[right][None]) & (c[x][:, None] < c[right][None] if i[lo] == j[lo] else True))
+            p, q = np.nonzero(good)
+            yield lo, lo + x[p], lo + right[q]
+
+
+def by_group(rows: DataFrame, compared, schema: str) -> DataFrame:
+    """``compared`` of tables of whole groups (sign, i, j)."""
 
     def run(batches):
         held = None  # the group that may go on in the next batch
@@ -438,11 +418,63 @@ def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame | None, p
             last = int(np.flatnonzero(np.any([k != k[-1] for k in key], axis=0)).max(initial=-1)) + 1
             held = t.slice(last)
             if last:
-                yield compared(t.slice(0, last))
+                yield compared(t.slice(0, last).combine_chunks())
         if held is not None and held.num_rows:
-            yield compared(held)
+            yield compared(held.combine_chunks())
+
+    return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, schema)
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``tiled`` members that have a partner in their pair of tiles: only these need their sets there."""
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        keep = np.zeros(t.num_rows, bool)
+        for _, a, b in passing_pairs(t, percent):
+            keep[a] = keep[b] = True
+        return t.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else t.to_batches()[0].slice(0, 0)
+
+    return by_group(rows, compared, "sign long, i int, j int, tile int, node long, root long, n_shingles long, sketch binary")
+
+
+def links_across(members: DataFrame, nodes: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
+    """Links (a, b) that join different components (root) of the buckets (sign, node, root).
+
+    Each pair of tiles is one bounded group. Sketches are compared first; the members with a partner that passes are compared again with their
+    sets: pairs that pass and are not yet joined there are verified on the spot, and a spanning forest of what they join leaves it.
+    Without ``sets`` the pairs that pass leave it unverified.
+    """
+    members = members.select("sign", "node", "root").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    rows, verify = tiled(members), sets is not None
+    if verify:
+        rows = meeting(rows, percent).join(sets, "node")
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        shingle, set_at = raw_rows(t.column("shingles").chunk(0)) if verify else (None, None)
+        found: list[tuple[int, int]] = []
+        group, parent = None, {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        of = lambda k: shingle[set_at[k]: set_at[k + 1]].view(np.uint64)
+        for lo, left, right in passing_pairs(t, percent):
+            if lo != group:
+                group = lo
+                parent.clear()
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                if verify:
+                    ra, rb = find(root[a]), find(root[b])
+                    if ra == rb or not similar(of(a), of(b), percent):
+                        continue
+                    parent[ra] = rb
+                found.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long")
+    return by_group(rows, compared, "a long, b long")
 
 
 def with_roots(members: DataFrame, links: DataFrame) -> DataFrame:

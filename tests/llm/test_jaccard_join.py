@@ -113,6 +113,26 @@ def test_tiles_give_a_forest_that_joins_what_pairs_would(spark, monkeypatch, wei
     assert len({find(r) for r in root.values()}) == 1 and len(set(links)) < 60
 
 
+def test_only_members_that_meet_carry_their_sets(spark):
+    """A crowded bucket of strangers and two near copies: the sets of two members travel to the tiles, not those of all."""
+    sketch = np.random.default_rng(3).integers(0, 1 << 62, 300)
+    sketch[1] = sketch[0] ^ 1
+    members = spark.createDataFrame([(7, n, n) for n in range(300)], "sign long, node long, root long")
+    nodes = spark.createDataFrame([(n, 40, sketch[n].tobytes()) for n in range(300)], "node long, n_shingles long, sketch binary")
+    rows = jaccard_join.tiled(members.join(nodes, "node"))
+    met = jaccard_join.meeting(rows, 80)
+    assert rows.count() >= 300 and sorted(r.node for r in met.collect()) == [0, 1]
+    sets = spark.createDataFrame([(n, hashes_of([*range(39), 40 + n])) for n in range(300)], "node long, shingles binary")
+    assert [tuple(r) for r in jaccard_join.links_across(members, nodes, sets, 80).collect()] == [(0, 1)]
+    assert jaccard_join.links_across(members.filter("node > 1"), nodes, sets, 80).count() == 0
+
+
+def test_signatures_have_48_bits():
+    value = np.sort(np.random.default_rng(4).integers(0, 1 << 63, 500).astype(np.uint64))
+    _, sign = jaccard_join.block_rows(np.zeros(500, np.int64), value, np.array([500]), Bands(80), np.zeros(0, np.uint64))
+    assert len(np.unique(sign)) == len(sign) > 200 and sign.max() < 1 << 48
+
+
 def test_a_group_of_near_copies_below_the_limit(spark, monkeypatch):
     """Copies with so many edits that most pairs stay below the limit: few rows go through, and none is lost."""
     monkeypatch.setattr(jaccard_join, "TILE", 64)
