@@ -1,4 +1,4 @@
-"""Segmentation on Spark ML: k-means and mixtures, choice of k, stability and sensitivity.
+"""Segmentation: k-means on Spark ML, mixtures from its starts, choice of k, stability and sensitivity.
 
 The silhouette is Spark's squared-Euclidean one, which needs only cluster sums; the plain Euclidean
 form would compare every pair of rows.
@@ -20,6 +20,7 @@ from .inference import adjusted_rand, adjusted_rand_of_cells
 from .lineage import cut
 from .linear import standardise
 from .lloyd import crossed_labels, many_kmeans
+from .mixtures import Mixture, continued
 from .resample import uniform
 
 
@@ -38,11 +39,16 @@ def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(10)),
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def fit_mixture(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(5)), max_iter: int = 50):
-    """Best of several seeds by likelihood."""
+def points(v: DataFrame) -> DataFrame:
+    """(x) the features of ``v`` as arrays, written once, dealt to all cores."""
+    return cut(v.select(vector_to_array("features").alias("x")).repartition(v.sparkSession.sparkContext.defaultParallelism))
+
+
+def fit_mixture(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(5)), max_iter: int = 50, rows: DataFrame | None = None) -> Mixture:
+    """Best of several seeds by likelihood. Spark ML makes every start and its first step, the others run in shared scans of ``rows``, the ``points`` of ``v``."""
     with ThreadPool(min(8, len(seeds))) as pool:
-        fits = pool.map(lambda s: GaussianMixture(k=k, seed=s, maxIter=max_iter).fit(v), seeds)
-    return max(fits, key=lambda m: m.summary.logLikelihood)
+        first = pool.map(lambda s: GaussianMixture(k=k, seed=s, maxIter=1).fit(v), seeds)
+    return max(continued(points(v) if rows is None else rows, first, max_iter), key=lambda m: m.summary.logLikelihood)
 
 
 def segment(df: DataFrame, cols: list[str], keep: list[str], k: int, seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
@@ -61,9 +67,13 @@ def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...]
     """Per k: inertia, silhouette, mixture BIC and the smallest cluster."""
     n, rows = v.count(), []
     ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
-    for k in ks:
+    bics = [None] * len(ks)
+    if mixture:
+        x = points(v)
+        with ThreadPool(min(4, len(ks))) as pool:  # a scan is short: those of several k share the executors
+            bics = pool.map(lambda k: mixture_bic(fit_mixture(v, k, mixture_seeds, rows=x), n, p), ks, chunksize=1)
+    for k, bic in zip(ks, bics, strict=True):
         m = fit_kmeans(v, k, seeds)
-        bic = mixture_bic(fit_mixture(v, k, mixture_seeds), n, p) if mixture else None
         rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(v))), bic, int(min(m.summary.clusterSizes))))
     return v.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, bic double, smallest int")
 
