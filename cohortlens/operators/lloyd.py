@@ -9,9 +9,11 @@ that does not depend on how rows are dealt.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,21 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0, out=out).reshape(len(x), m, k)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(rows, models) the first of the nearest centres. Centre by centre over all rows: a minimum along a short last axis is slow."""
+    m, k, d = centres.shape
+    flat = centres.transpose(1, 0, 2).reshape(k * m, d)
+    far = flat @ x.T  # without the rows' own squares, which change no comparison
+    far *= -2.0
+    far += (flat * flat).sum(1)[:, None]
+    far = far.reshape(k, m, len(x))
+    least, label = far[0], np.zeros((m, len(x)), np.int64)
+    for j in range(1, k):
+        np.copyto(label, j, where=far[j] < least)
+        np.minimum(least, far[j], out=least)
+    return label.T
+
+
 def cluster_sums(x: np.ndarray, label: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
     """(models, k, dim + 1): sums of x and the number of rows by cluster; label and inside are (rows, models)."""
     models, size = label.shape[1], label.shape[1] * k
@@ -72,12 +89,9 @@ def _summed(rows: DataFrame, make, size: int) -> np.ndarray:
     """The sum over tasks of ``make(blocks)``, an array of ``size`` numbers a task."""
 
     def run(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.asarray(make(_blocks(batches)), float).ravel())], ["place", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(make(_blocks(batches)), float).ravel()], pa.list_(pa.float64()))], ["v"])
 
-    got = rows.mapInArrow(run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[got.column("place").to_numpy()] = got.column("v").to_numpy()
-    return out
+    return rows.mapInArrow(run, "v array<double>").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, size).sum(axis=0)
 
 
 def starts(rows: DataFrame, k: int, seed: np.ndarray, sample: np.ndarray) -> np.ndarray:
@@ -109,43 +123,102 @@ def starts(rows: DataFrame, k: int, seed: np.ndarray, sample: np.ndarray) -> np.
     return centres
 
 
-def many_kmeans(rows: DataFrame, k: int, seed: list[int], sample: list[int], max_iter: int = 40, tolerance: float = 1e-4) -> Fits:
-    """k-means for every (seed, sample) side by side.
+def several_kmeans(rows: DataFrame, ks: list[int], seed: list[int], sample: list[int], max_iter: int = 40, tolerance: float = 1e-4) -> list[Fits]:
+    """k-means for every (seed, sample) and every number of clusters side by side: the fits of each of ``ks``.
 
     rows (id long, x array<double>, inside array<boolean>): sample j holds the rows with inside[j]. A model has settled when no
-    centre moves by more than ``tolerance``, or after ``max_iter`` steps; a cluster that loses all rows keeps its centre.
+    centre moves by more than ``tolerance``, or after ``max_iter`` steps; a cluster that loses all rows keeps its centre. The starts
+    of a seed are the first centres of one draw, whatever the number of clusters.
     """
     rows = rows.select("id", "x", "inside")
     seed, sample = np.asarray(seed, np.int64), np.asarray(sample, np.int64)
-    centres = starts(rows, k, seed, sample)
-    m, _, d = centres.shape
-    steps, active = np.zeros(m, np.int64), np.arange(m)
+    begun = starts(rows, max(ks), seed, sample)
+    m, _, d = begun.shape
+    fits = [Fits(begun[:, :k].copy(), np.zeros(m), np.zeros(m, np.int64), sample) for k in ks]
+    active = [np.arange(m) for _ in ks]
     for _ in range(max_iter):
-        now, own = centres[active], sample[active]
+        now = [(f.centres[own], sample[own]) for f, own in zip(fits, active, strict=True) if len(own)]
 
-        def sums(blocks, now=now, own=own):
-            total = np.zeros((len(own), k, d + 1))
+        def sums(blocks, now=now):
+            total = [np.zeros((*c.shape[:2], d + 1)) for c, _ in now]
             for _, x, inside in blocks:
-                total += cluster_sums(x, distances(x, now).argmin(axis=2), inside[:, own], k)
-            return total
-
-        total = _summed(rows, sums, len(active) * k * (d + 1)).reshape(len(active), k, d + 1)
-        n = total[:, :, d:]
-        moved = np.where(n > 0, total[:, :, :d] / np.maximum(n, 1), now)
-        far = np.sqrt(((moved - now) ** 2).sum(axis=2)).max(axis=1)
-        centres[active] = moved
-        steps[active] += 1
-        active = active[far > tolerance]
-        if not len(active):
+                for t, (c, own) in zip(total, now, strict=True):
+                    t += cluster_sums(x, nearest(x, c), inside[:, own], c.shape[1])
+            return np.concatenate([t.ravel() for t in total])
+
+        sizes = [c.shape[0] * c.shape[1] * (d + 1) for c, _ in now]
+        parts = iter(np.split(_summed(rows, sums, sum(sizes)), np.cumsum(sizes)[:-1]))
+        for j, (f, own) in enumerate(zip(fits, active, strict=True)):
+            if not len(own):
+                continue
+            total = next(parts).reshape(len(own), -1, d + 1)
+            n = total[:, :, d:]
+            moved = np.where(n > 0, total[:, :, :d] / np.maximum(n, 1), f.centres[own])
+            far = np.sqrt(((moved - f.centres[own]) ** 2).sum(axis=2)).max(axis=1)
+            f.centres[own] = moved
+            f.steps[own] += 1
+            active[j] = own[far > tolerance]
+        if not any(map(len, active)):
             break
 
+    models = [f.centres for f in fits]
+
     def costs(blocks):
-        total = np.zeros(m)
+        total = np.zeros((len(models), m))
         for _, x, inside in blocks:
-            total += (distances(x, centres).min(axis=2) * inside[:, sample]).sum(axis=0)
+            mine = inside[:, sample]
+            for t, c in zip(total, models, strict=True):
+                t += (distances(x, c).min(axis=2) * mine).sum(axis=0)
         return total
 
-    return Fits(centres, _summed(rows, costs, m), steps, sample)
+    for f, cost in zip(fits, _summed(rows, costs, len(models) * m).reshape(-1, m), strict=True):
+        f.cost = cost
+    return fits
+
+
+def many_kmeans(rows: DataFrame, k: int, seed: list[int], sample: list[int], max_iter: int = 40, tolerance: float = 1e-4) -> Fits:
+    """``several_kmeans`` for one number of clusters."""
+    return several_kmeans(rows, [k], seed, sample, max_iter, tolerance)[0]
+
+
+@dataclass
+class Clusters:
+    """A k-means fit; ``summary`` has, as Spark ML's, its trainingCost and clusterSizes."""
+    centres: np.ndarray
+    summary: SimpleNamespace
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802
+        return list(self.centres)
+
+    def transform(self, v: DataFrame) -> DataFrame:
+        """``v`` (features) with the nearest centre of each row as ``prediction``."""
+        model = self.centres[None]
+
+        @F.arrow_udf("int")
+        def own(x: pa.Array) -> pa.Array:
+            points = x.flatten().to_numpy().reshape(len(x), -1)
+            parts = [nearest(points[lo: lo + BLOCK], model)[:, 0] for lo in range(0, len(points), BLOCK)]
+            return pa.array(np.concatenate([np.zeros(0, int), *parts]), pa.int32())
+
+        return v.withColumn("prediction", own(vector_to_array("features")))
+
+
+def best_kmeans(rows: DataFrame, ks: list[int], seed: list[int], max_iter: int = 40) -> list[Clusters]:
+    """Per number of clusters the cheapest of the fits from every seed, all stepping together. rows as in ``several_kmeans``, of one sample."""
+    fits = several_kmeans(rows, ks, seed, [0] * len(seed), max_iter)
+    best = [f.best(0) for f in fits]
+    models = [f.centres[b: b + 1] for f, b in zip(fits, best, strict=True)]
+
+    def sizes(blocks):
+        total = [np.zeros(k) for k in ks]
+        for _, x, _ in blocks:
+            for t, c in zip(total, models, strict=True):
+                t += np.bincount(nearest(x, c)[:, 0], minlength=len(t))
+        return np.concatenate(total)
+
+    n = np.split(_summed(rows.select("id", "x", "inside"), sizes, sum(ks)), np.cumsum(ks)[:-1])
+    return [Clusters(c[0], SimpleNamespace(trainingCost=float(f.cost[b]), clusterSizes=[int(r) for r in size]))
+            for c, f, b, size in zip(models, fits, best, n, strict=True)]
 
 
 def crossed_labels(rows: DataFrame, fits: Fits, base: int, others: list[int]) -> DataFrame:
@@ -156,7 +229,7 @@ def crossed_labels(rows: DataFrame, fits: Fits, base: int, others: list[int]) ->
     def run(batches):
         total = np.zeros((len(others), k, k), np.int64)
         for _, x, inside in _blocks(batches):
-            label = distances(x, models).argmin(axis=2)
+            label = nearest(x, models)
             for j, s in enumerate(others):
                 mine = inside[:, s]
                 total[j] += np.bincount(label[mine, 0] * k + label[mine, j + 1], minlength=k * k).reshape(k, k)

@@ -53,31 +53,45 @@ def _blocks(batches):
             yield part.column(0).flatten().to_numpy().reshape(part.num_rows, -1)
 
 
-def step(rows: DataFrame, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of every model over ``rows`` (x array<double>): new weights, means, covariances, and the log likelihoods before the step."""
-    m, k, d = means.shape
-    maps, factors = whitened(means, covs)
+def steps(rows: DataFrame, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """One step of every model over ``rows`` (x array<double>), in one scan. A group (weights, means, covariances) holds models of the same
+    number of components; it gets new weights, means, covariances, and the log likelihoods before the step."""
+    d = groups[0][1].shape[-1]
+    prepared = [(weights, *whitened(means, covs)) for weights, means, covs in groups]
     upper = np.triu_indices(d)
     wide = 1 + d + len(upper[0])
 
     def run(batches):
-        total, likely = np.zeros((m * k, wide)), np.zeros(m)
+        total, likely = [np.zeros((w.size, wide)) for w, _, _ in prepared], [np.zeros(len(w)) for w, _, _ in prepared]
         for x in _blocks(batches):
-            p = densities(x, weights, maps, factors)
-            norm = p.sum(axis=2)
-            likely += np.log(norm).sum(axis=0)
-            p /= norm[:, :, None]
-            total += p.reshape(len(x), m * k).T @ np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total.ravel(), likely])], pa.list_(pa.float64()))], ["v"])
-
-    # a row of m * k * wide + m sums a task; the rows are dealt to as many tasks as there are cores
-    out = rows.mapInArrow(run, "v array<double>").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, m * k * wide + m).sum(axis=0)
-    sums, likely = out[:-m].reshape(m, k, wide), out[-m:]
-    w = sums[:, :, 0]
-    new = sums[:, :, 1: 1 + d] / w[:, :, None]
-    cov = np.zeros((m, k, d, d))
-    cov[:, :, upper[0], upper[1]] = cov[:, :, upper[1], upper[0]] = sums[:, :, 1 + d:] / w[:, :, None]
-    return w / w.sum(axis=1, keepdims=True), new, cov - new[:, :, :, None] * new[:, :, None, :], likely
+            powers = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], axis=1)
+            for t, own, (weights, maps, factors) in zip(total, likely, prepared, strict=True):
+                p = densities(x, weights, maps, factors)
+                norm = p.sum(axis=2)
+                own += np.log(norm).sum(axis=0)
+                p /= norm[:, :, None]
+                t += p.reshape(len(x), -1).T @ powers
+        sums = np.concatenate([part.ravel() for pair in zip(total, likely, strict=True) for part in pair])
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["v"])
+
+    # a row of sums a task, whose size does not depend on the rows; those are dealt to as many tasks as there are cores
+    sizes = [n for weights, _, _ in groups for n in (weights.size * wide, len(weights))]
+    found = rows.mapInArrow(run, "v array<double>").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, sum(sizes)).sum(axis=0)
+    parts, out = iter(np.split(found, np.cumsum(sizes)[:-1])), []
+    for weights, _, _ in groups:
+        m, k = weights.shape
+        sums, likely = next(parts).reshape(m, k, wide), next(parts)
+        w = sums[:, :, 0]
+        new = sums[:, :, 1: 1 + d] / w[:, :, None]
+        cov = np.zeros((m, k, d, d))
+        cov[:, :, upper[0], upper[1]] = cov[:, :, upper[1], upper[0]] = sums[:, :, 1 + d:] / w[:, :, None]
+        out.append((w / w.sum(axis=1, keepdims=True), new, cov - new[:, :, :, None] * new[:, :, None, :], likely))
+    return out
+
+
+def step(rows: DataFrame, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``steps`` of one group."""
+    return steps(rows, [(weights, means, covs)])[0]
 
 
 @dataclass
@@ -104,21 +118,31 @@ class Mixture:
         return v.withColumn("prediction", likeliest(vector_to_array("features")))
 
 
-def continued(rows: DataFrame, first: list, max_iter: int, tolerance: float = 0.01) -> list[Mixture]:
-    """The mixtures that grow from ``first``, Spark ML models after one step, by up to ``max_iter`` steps in all.
+def continued_together(rows: DataFrame, firsts: list[list], max_iter: int, tolerance: float = 0.01) -> list[list[Mixture]]:
+    """The mixtures that grow from ``firsts``, groups of Spark ML models after one step, by up to ``max_iter`` steps in all.
 
-    rows (x array<double>). A model stops when its log likelihood moves by at most ``tolerance``.
+    rows (x array<double>). The models of a group have the same number of components; all groups share the scans. A model stops
+    when its log likelihood moves by at most ``tolerance``.
     """
-    parts = [[(g["mean"].toArray(), g["cov"].toArray()) for g in f.gaussiansDF.collect()] for f in first]
-    weights = np.array([f.weights for f in first])
-    means, covs = (np.array([[g[j] for g in p] for p in parts]) for j in (0, 1))
-    likely = np.array([f.summary.logLikelihood for f in first])
-    active = np.arange(len(first))
+    groups = []
+    for first in firsts:
+        parts = [[(g["mean"].toArray(), g["cov"].toArray()) for g in f.gaussiansDF.collect()] for f in first]
+        means, covs = (np.array([[g[j] for g in p] for p in parts]) for j in (0, 1))
+        groups.append(SimpleNamespace(weights=np.array([f.weights for f in first]), means=means, covs=covs,
+                                      likely=np.array([f.summary.logLikelihood for f in first]), active=np.arange(len(first))))
     for _ in range(1, max_iter):
-        weights[active], means[active], covs[active], now = step(rows, weights[active], means[active], covs[active])
-        moved = np.abs(now - likely[active])
-        likely[active] = now
-        active = active[moved > tolerance]
-        if not len(active):
+        moving = [g for g in groups if len(g.active)]
+        if not moving:
             break
-    return [Mixture(weights[j], means[j], covs[j], SimpleNamespace(logLikelihood=float(likely[j]))) for j in range(len(first))]
+        now = [(g.weights[g.active], g.means[g.active], g.covs[g.active]) for g in moving]
+        for g, new in zip(moving, [step(rows, *now[0])] if len(now) == 1 else steps(rows, now), strict=True):
+            g.weights[g.active], g.means[g.active], g.covs[g.active], likely = new
+            moved = np.abs(likely - g.likely[g.active])
+            g.likely[g.active] = likely
+            g.active = g.active[moved > tolerance]
+    return [[Mixture(*each[:3], SimpleNamespace(logLikelihood=float(each[3]))) for each in zip(g.weights, g.means, g.covs, g.likely, strict=True)] for g in groups]
+
+
+def continued(rows: DataFrame, first: list, max_iter: int, tolerance: float = 0.01) -> list[Mixture]:
+    """``continued_together`` for models of one number of components."""
+    return continued_together(rows, [first], max_iter, tolerance)[0]

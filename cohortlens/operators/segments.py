@@ -1,4 +1,4 @@
-"""Segmentation: k-means on Spark ML, mixtures from its starts, choice of k, stability and sensitivity.
+"""Segmentation: k-means of many starts in shared scans, mixtures from Spark ML's starts, choice of k, stability and sensitivity.
 
 The silhouette is Spark's squared-Euclidean one, which needs only cluster sums; the plain Euclidean
 form would compare every pair of rows.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .inference import adjusted_rand, adjusted_rand_of_cells
 from .lineage import cut
 from .linear import standardise
-from .lloyd import crossed_labels, many_kmeans
-from .mixtures import Mixture, continued
+from .lloyd import Clusters, best_kmeans, crossed_labels, many_kmeans
+from .mixtures import Mixture, continued_together
 from .resample import uniform
 
 
@@ -32,11 +32,12 @@ def feature_vectors(df: DataFrame, cols: list[str], keep: list[str]) -> DataFram
     return cut(VectorAssembler(inputCols=cols, outputCol="features").transform(z).drop(*cols))
 
 
-def fit_kmeans(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(10)), max_iter: int = 40):
-    """Best of several seeds by within-cluster cost."""
-    with ThreadPool(min(8, len(seeds))) as pool:  # the starts' jobs share the executors
-        fits = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=max_iter, initSteps=4).fit(v), seeds)
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(v: DataFrame, k: int | list[int], seeds: tuple[int, ...] = tuple(range(10)), max_iter: int = 40) -> Clusters | list[Clusters]:
+    """Best of several seeds by within-cluster cost, one for each k of a list. All share the scans. A start tells rows apart by the columns of ``v``."""
+    names = F.xxhash64(*[c for c in v.columns if c != "features"], vector_to_array("features"))
+    rows = cut(v.select(names.alias("id"), vector_to_array("features").alias("x"), F.array(F.lit(True)).alias("inside")).repartition(v.sparkSession.sparkContext.defaultParallelism))
+    fits = best_kmeans(rows, [k] if isinstance(k, int) else k, list(seeds), max_iter)
+    return fits[0] if isinstance(k, int) else fits
 
 
 def points(v: DataFrame) -> DataFrame:
@@ -44,11 +45,14 @@ def points(v: DataFrame) -> DataFrame:
     return cut(v.select(vector_to_array("features").alias("x")).repartition(v.sparkSession.sparkContext.defaultParallelism))
 
 
-def fit_mixture(v: DataFrame, k: int, seeds: tuple[int, ...] = tuple(range(5)), max_iter: int = 50, rows: DataFrame | None = None) -> Mixture:
-    """Best of several seeds by likelihood. Spark ML makes every start and its first step, the others run in shared scans of ``rows``, the ``points`` of ``v``."""
-    with ThreadPool(min(8, len(seeds))) as pool:
-        first = pool.map(lambda s: GaussianMixture(k=k, seed=s, maxIter=1).fit(v), seeds)
-    return max(continued(points(v) if rows is None else rows, first, max_iter), key=lambda m: m.summary.logLikelihood)
+def fit_mixture(v: DataFrame, k: int | list[int], seeds: tuple[int, ...] = tuple(range(5)), max_iter: int = 50, rows: DataFrame | None = None) -> Mixture | list[Mixture]:
+    """Best of several seeds by likelihood, one for each k of a list. Spark ML makes every start and its first step, the others run in shared scans of ``rows``, the ``points`` of ``v``."""
+    ks = [k] if isinstance(k, int) else k
+    with ThreadPool(8) as pool:
+        first = pool.starmap(lambda j, s: GaussianMixture(k=j, seed=s, maxIter=1).fit(v), [(j, s) for j in ks for s in seeds], chunksize=1)
+    grown = continued_together(points(v) if rows is None else rows, [first[i: i + len(seeds)] for i in range(0, len(first), len(seeds))], max_iter)
+    best = [max(g, key=lambda m: m.summary.logLikelihood) for g in grown]
+    return best[0] if isinstance(k, int) else best
 
 
 def segment(df: DataFrame, cols: list[str], keep: list[str], k: int, seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
@@ -65,16 +69,16 @@ def mixture_bic(model, n: int, p: int) -> float:
 def selection_table(v: DataFrame, ks: list[int], p: int, seeds: tuple[int, ...] = tuple(range(20)), mixture: bool = True,
                     mixture_seeds: tuple[int, ...] = tuple(range(3))) -> DataFrame:
     """Per k: inertia, silhouette, mixture BIC and the smallest cluster."""
-    n, rows = v.count(), []
-    ev = ClusteringEvaluator(distanceMeasure="squaredEuclidean")
-    bics = [None] * len(ks)
-    if mixture:
-        x = points(v)
-        with ThreadPool(min(4, len(ks))) as pool:  # a scan is short: those of several k share the executors
-            bics = pool.map(lambda k: mixture_bic(fit_mixture(v, k, mixture_seeds, rows=x), n, p), ks, chunksize=1)
-    for k, bic in zip(ks, bics, strict=True):
-        m = fit_kmeans(v, k, seeds)
-        rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(v))), bic, int(min(m.summary.clusterSizes))))
+    n = v.count()
+    bics = [mixture_bic(m, n, p) for m in fit_mixture(v, ks, mixture_seeds)] if mixture else [None] * len(ks)
+    fits = fit_kmeans(v, ks, seeds)
+
+    def silhouette(m: Clusters) -> float:
+        return float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(m.transform(v)))
+
+    with ThreadPool(min(4, len(ks))) as pool:
+        shapes = pool.map(silhouette, fits, chunksize=1)
+    rows = [(k, float(m.summary.trainingCost), shape, bic, int(min(m.summary.clusterSizes))) for k, m, shape, bic in zip(ks, fits, shapes, bics, strict=True)]
     return v.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, bic double, smallest int")
 
 

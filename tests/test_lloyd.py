@@ -96,3 +96,23 @@ def test_cluster_sums_of_all_models_at_once():
         for k in range(4):
             mine = inside[:, m] & (label[:, m] == k)
             assert np.allclose(got[m, k], [*x[mine].sum(axis=0), mine.sum()])
+    assert (lloyd.nearest(x, centres) == label).all()
+
+
+def test_all_numbers_of_clusters_share_the_scans(spark, points, monkeypatch):
+    """The fits of three k from two seeds equal those of each k alone, in as many scans as the slowest."""
+    x, _ = points
+    scans, inner = [], lloyd._summed
+    monkeypatch.setattr(lloyd, "_summed", lambda *a: (scans.append(a[2]), inner(*a))[1])
+    v = segments.feature_vectors(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, a double, b double, c double"), ["a", "b", "c"], ["id"])
+    rows = spark.createDataFrame([(i, p.tolist(), [True]) for i, p in enumerate(x)], "id long, x array<double>, inside array<boolean>")
+    got = lloyd.several_kmeans(rows, [2, 4, 5], [1, 2], [0, 0])
+    assert len(scans) == max(f.steps.max() for f in got) + 1
+    begun = lloyd.starts(rows, 5, np.array([1, 2]), np.zeros(2, int))
+    for k, fits in zip((2, 4, 5), got, strict=True):
+        for j in range(2):
+            centres, cost, steps = plain(x, begun[j, :k])
+            assert fits.centres[j] == pytest.approx(centres) and fits.cost[j] == pytest.approx(cost) and fits.steps[j] == steps
+    scans.clear()
+    table = segments.selection_table(v, [2, 4, 5], 3, (0, 1), mixture=False)
+    assert len(scans) <= 42 and segments.choose_k(table, 2, 5) == 4 and table.filter("k = 4").first().smallest == 50

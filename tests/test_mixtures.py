@@ -43,3 +43,12 @@ def test_flat_covariance_has_a_pseudo_inverse():
     assert p[0, 0, 0] == pytest.approx(np.exp(-0.5 - np.log(2 * np.pi)) / 2)
     with pytest.raises(ValueError):
         mixtures.whitened(np.zeros((1, 1, 2)), np.zeros((1, 1, 2, 2)))
+
+
+def test_several_numbers_of_components_share_the_steps(v, monkeypatch):
+    scans, steps = [], mixtures.steps
+    monkeypatch.setattr(mixtures, "steps", lambda rows, groups: (scans.append(len(groups)), steps(rows, groups))[1])
+    both = segments.fit_mixture(v, [2, 3], (0, 1))
+    assert scans[0] == 2 and len(scans) < 50
+    for k, m in zip((2, 3), both, strict=True):
+        assert m.getK() == k and m.summary.logLikelihood == pytest.approx(segments.fit_mixture(v, k, (0, 1)).summary.logLikelihood, rel=1e-12)
