@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
+from . import boosting as trees
 from . import ordering, penalised
 from .guards import require
 from .lineage import cut
@@ -200,9 +201,9 @@ def fold_summary(per_fold: DataFrame) -> DataFrame:
 def boosted_folds(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42, iterations: int = 300) -> DataFrame:
     """(fold, y, p): out-of-fold predictions of boosting on the folds of ``penalised``; missing values stay missing."""
     d = df.select(entity, F.col(y).cast("double").alias(y), *numeric, *categorical).dropna(subset=[y, *categorical])
-    d = few_files(two_sided(d, numeric).withColumn("fold", hash_fold(entity, folds, seed)))
-    stages = [*tree_preparation(numeric, categorical), boosting(GBTRegressor, y, seed, iterations)]
-    return cut(out_of_fold(d, stages, folds, F.col("prediction")).select("fold", y, "p"))
+    d = cut(d.withColumn("fold", hash_fold(entity, folds, seed)))
+    fit = trees.fit_folds(d, numeric, categorical, y, boosting(GBTRegressor, y, seed, iterations), folds, binary=False)
+    return cut(fit.transform(d.select("fold", y, *numeric, *categorical)).select("fold", y, "p"))
 
 
 def compare_regressions(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, *, folds: int = 5, seed: int = 42,
@@ -237,7 +238,8 @@ def missing_strategies(df: DataFrame, numeric: list[str], sparse: str, categoric
     parts = [ols(df, numeric, "drop the variable", "all"), ols(df, every, "impute and indicator", "all"),
              ols(reporters, every, "complete cases", "reporters"), ols(reporters, numeric, "drop the variable", "reporters")]
     if native:
-        parts += [boosted(df, "all"), boosted(reporters, "reporters")]
+        with ThreadPool(2) as pool:  # a scan is short: both samples share the executors
+            parts += pool.starmap(boosted, [(df, "all"), (reporters, "reporters")])
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -297,11 +299,10 @@ def subgroup_audit(df: DataFrame, by: str, y: str, p: str, bins: int = 3, thresh
 PROBABILITY = vector_to_array
 
 
-def classification_models(numeric: list[str], categorical: list[str], y: str, n_train: int, seed: int = 42, iterations: int = 300) -> dict[str, list]:
+def classification_models(numeric: list[str], categorical: list[str], y: str, n_train: int, seed: int = 42) -> dict[str, list]:
     """Unit penalty strength: 1 / n_train in Spark's scale, where the loss is a mean."""
     lab = dict(featuresCol="_x", labelCol=y)
-    return {"logistic": [*preparation(numeric, categorical, indicators=False), LogisticRegression(**lab, regParam=1 / max(1, n_train), standardization=False)],
-            "gradient boosting": [*tree_preparation(numeric, categorical), boosting(GBTClassifier, y, seed, iterations)]}
+    return {"logistic": [*preparation(numeric, categorical, indicators=False), LogisticRegression(**lab, regParam=1 / max(1, n_train), standardization=False)]}
 
 
 def classify_oof(df: DataFrame, numeric: list[str], categorical: list[str], y: str, entity: str, model: str, *, folds: int = 5, seed: int = 42,
@@ -309,9 +310,13 @@ def classify_oof(df: DataFrame, numeric: list[str], categorical: list[str], y: s
     """Out-of-fold probabilities of one model on stratified folds: (entity, y, p, carried columns)."""
     cols = list(dict.fromkeys([entity, y, *numeric, *categorical, *carry]))
     d = stratified_folds(df.select(*cols).withColumn(y, F.col(y).cast("double")), y, entity, folds, seed)
-    d = few_files(two_sided(with_indicators(d, numeric), numeric))
-    stages = classification_models(numeric, categorical, y, d.count() * (folds - 1) // folds, seed, iterations)[model]
-    oof = out_of_fold(d, stages, folds, F.get(vector_to_array("probability"), F.lit(1)))
+    if model == "gradient boosting":
+        d = cut(d)
+        oof = trees.fit_folds(d, numeric, categorical, y, boosting(GBTClassifier, y, seed, iterations), folds, binary=True).transform(d)
+    else:
+        d = few_files(with_indicators(d, numeric))
+        stages = classification_models(numeric, categorical, y, d.count() * (folds - 1) // folds, seed)[model]
+        oof = out_of_fold(d, stages, folds, F.get(vector_to_array("probability"), F.lit(1)))
     return cut(oof.select(entity, y, "fold", "p", *[c for c in carry if c not in (entity, y)]))
 
 
